@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,18 @@ from .common import as_text, documents, map_rows, texts_of
 from .vocab import tokenizer_path
 
 
+@lru_cache(maxsize=1)
+def word_bpe(path: str) -> WordBpe:
+    """One automaton for all tasks of a Python worker."""
+    return WordBpe(path)
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``ids`` (array of int) of every whole text; null and empty texts have no ids. Each row is encoded on its
     own, so repeated rows and ids give repeated rows; further columns are not read."""
 
     def make():
-        bpe = WordBpe(tokenizer)
+        bpe = word_bpe(tokenizer)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             blobs = [bpe.encode(t) for t in texts_of(batch.column(1))]
@@ -35,7 +42,7 @@ def decode_documents(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", id
     """id and ``text`` of every list of ids; a null list decodes to null."""
 
     def make():
-        bpe = WordBpe(tokenizer)
+        bpe = word_bpe(tokenizer)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [None if x is None else bpe.decode(x) for x in batch.column(1).to_pylist()]
@@ -50,7 +57,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded."""
 
     def make():
-        bpe = WordBpe(tokenizer)
+        bpe = word_bpe(tokenizer)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, back = [], [], []

@@ -56,3 +56,12 @@ def texts_of(column: pa.Array) -> list[str]:
 def as_text(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """Only the named columns, so that further columns of any name can't clash; null texts are empty."""
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+
+
+#: A side of a join is broadcast only if it is a written table with at most so many rows of a few numbers each.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a written table: broadcast behind a check of its row count, else a shuffled join. Results are the same."""
+    return left.join(F.broadcast(right) if right.count() <= rows else right, on, how)

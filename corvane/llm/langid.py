@@ -12,6 +12,7 @@ vocabulary lacks is a piece of its own with a small probability, the same for al
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -181,6 +182,17 @@ class Scorer:
         return langs, scores
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(key: str, model: LanguageModel) -> Scorer:
+    """One scorer for all tasks of a Python worker; the last model's only."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model)
+    return _SCORERS[key]
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of every whole text.
 
@@ -189,10 +201,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     languages gives ``und``.
     """
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def make():
-        score = Scorer(shared.value)
+        score = _scorer(key, shared.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = [], []

@@ -9,9 +9,11 @@ and one that asks for metadata reads no ids at all.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,15 @@ TOKEN_FILE_SCHEMA = "part int, seq int, doc_id long, n_tokens int, ids array<int
 
 
 class CachedEncoder:
-    """A ``tokenizers`` byte-level BPE that encodes each distinct space-led chunk once.
+    """A ``tokenizers`` byte-level BPE that encodes each distinct chunk of text once.
 
     The pre-tokenizer never joins text across a single space that has other characters than white space on both
-    sides, so such spaces cut a text into chunks that can be encoded alone. Texts with longer white space around a
-    space, or with an added token's string, go to the library whole. At most ``limit`` chunks are kept.
+    sides, so such spaces cut a text into chunks that the library can encode alone, many in one call. Texts with
+    longer white space around a space, or with an added token's string, go to the library whole. At most ``limit``
+    chunks are kept.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -40,42 +43,56 @@ class CachedEncoder:
         self.lib.no_padding()
         self.limit, self.known = limit, {}
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.line = self._ids("\n")
+        self.kind = "<u2" if self.lib.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = int(self.kind[-1])
+        self.mark = self._ids("\r")
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
     def _learn(self, new: list[str]) -> None:
-        """Encode new chunks: as lines of one text where they hold no line break, which is a token of its own there."""
-        plain, other = [x for x in new if "\n" not in x], [x for x in new if "\n" in x]
-        if len(self.line) == 1 and plain:
-            ids = self._ids("".join([f" {x}\n" for x in plain]))
-            ends = np.flatnonzero(ids == self.line[0])
+        """Encode new chunks in one text, a carriage return after each: it stands alone before and after other characters."""
+        known, rest = self.known, new
+        plain = [x for x in new if "\r" not in x]
+        if len(self.mark) == 1 and plain:
+            ids = self._ids("\r".join([*plain, ""]))
+            ends = np.flatnonzero(ids == self.mark[0]).tolist()
             if len(ends) == len(plain):
-                blob, a = ids.tobytes(), 0
-                for x, b in zip(plain, ends.tolist(), strict=True):
-                    self.known[x], a = blob[4 * a : 4 * b], b + 1
-                plain = []
-        for x in [*plain, *other]:
-            self.known[x] = self._ids(" " + x).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        first, *rest = text.split(" ")
-        if first[-1:].isspace() or any(t in text for t in self.added):
-            return self._ids(text).tobytes()
-        known = self.known
-        try:
-            tail = b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            new = [x for x in dict.fromkeys(rest) if x not in known]
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in new):
-                return self._ids(text).tobytes()
-            self._learn(new)
-            tail = b"".join(map(known.__getitem__, rest))
-        return (self._ids(first).tobytes() if first else b"") + tail
+                blob, a, w = ids.tobytes(), 0, self.width
+                for x, b in zip(plain, ends, strict=True):
+                    known[x], a = blob[w * a : w * b], b + 1
+                rest = [x for x in new if "\r" in x]
+        for x in rest:
+            known[x] = self._ids(x).tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        cut = [t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
+        all_ = set().union(*[c for c in cut if c])
+        new = [x for x in all_ if x not in self.known]
+        odd = {x for x in new if x.strip() != x.removeprefix(" ") or x == " "}
+        if len(self.known) + len(new) > self.limit:
+            self.known.clear()
+            new = list(all_)
+        if len(new) > len(odd):
+            self._learn([x for x in new if x not in odd])
+        out, known = [], self.known.__getitem__
+        for text, chunks in zip(texts, cut, strict=True):
+            if chunks is None or any(t in text for t in self.added) or odd and not odd.isdisjoint(chunks):
+                out.append(self._ids(text))
+            else:
+                out.append(np.frombuffer(b"".join(map(known, chunks)), self.kind))
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> CachedEncoder:
+    """One encoder for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return CachedEncoder(path)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
@@ -87,27 +104,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, part, seq = CachedEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        coder, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sub = batch.slice(at, 256)
-                blobs = [coder.encode(x) + end for x in sub.column(1).to_pylist()]
-                sizes = np.array([len(x) // 4 for x in blobs], dtype=np.int32)
-                ids = pa.array(np.frombuffer(b"".join(blobs), dtype="<i4"))
-                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), ids)
+                lists = coder.encode_many(sub.column(1).to_pylist())
+                sizes = np.array([len(x) + 1 for x in lists], dtype=np.int32)
+                at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = np.full(at[-1], end_id, dtype=np.int32)
+                ids[np.delete(np.arange(at[-1]), at[1:] - 1)] = np.concatenate(lists)
+                lists = pa.ListArray.from_arrays(at, pa.array(ids))
                 place = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.arange(seq, seq + len(sizes), dtype=np.int32))]
                 seq += len(sizes)
                 yield pa.RecordBatch.from_arrays([*place, sub.column(0), pa.array(sizes), lists], ["part", "seq", "doc_id", "n_tokens", "ids"])
 
     spark = docs.sparkSession
     rows = as_text(docs, text_col, id_col).toDF("doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "tie", "text")
     (dealt.select("doc_id", "text").mapInArrow(encode, TOKEN_FILE_SCHEMA).write
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
