@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, documents, map_rows, texts_of
+from .common import documents, map_rows, texts_of
 from .vocab import tokenizer_path
 
 MARK = "▁"
@@ -193,15 +193,19 @@ def _scorer(key: str, model: LanguageModel) -> Scorer:
     return _SCORERS[key]
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred and score of every whole text.
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id (or the columns ``keep``), lang_pred and score of every whole text.
 
     Null, empty and letterless texts are ``und`` with score 0; ties go to the language that sorts first. Each row is
     scored on its own, so repeated rows and ids give repeated rows; further columns are not read. A model without
     languages gives ``und``.
     """
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    names = keep or [id_col]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("scored__text"))
+    schema = StructType([*[docs.schema[c] for c in names], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def make():
         score = _scorer(key, shared.value)
@@ -209,14 +213,14 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             langs, scores = [], []
             for at in range(0, batch.num_rows, 128):
-                a, b = score(texts_of(batch.column(1).slice(at, 128)))
+                a, b = score(texts_of(batch.column(len(names)).slice(at, 128)))
                 langs += a
                 scores += b
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 
         return step
 
-    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` long, lang_pred string, score double")
+    return map_rows(rows, make, schema)
 
 
 def fitted(docs: DataFrame, pieces_path: str | None = None) -> LanguageModel:

@@ -67,17 +67,19 @@ def budgets(leaves: DataFrame, budget: Column, weights: dict[str, dict[str, int]
 
 def select_mix(docs: DataFrame, weights: dict[str, dict[str, int]], numerator: int = 3, denominator: int = 5, max_epochs: int = 1, seed: int = 17,
                domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, text_key, domain, lang, source, n_tokens and copies of the rows chosen, at least one copy each.
+    """doc_id, text_key, domain, lang, source, n_tokens, n_rows and copies of what is chosen, at least one copy each.
 
     The budget is ``numerator / denominator`` of the corpus' tokens (words). Null languages and sources are a child
     named ``none``; null and wordless texts have no tokens and come with the prefix they fall into, without cost.
-    Null ids hash as the empty text; rows that tie in their hash are ordered by id and text; repeated rows are
-    documents of their own. An empty table gives no rows. Further columns aren't read.
+    Null ids hash as the empty text; what ties in its hash is ordered by id and text. Rows equal in all that is read
+    are one item of ``n_rows`` rows: n_tokens counts them all, and they are chosen together. An empty table gives no
+    rows. Further columns aren't read.
     """
     plain = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("none")).alias("lang"),
                         F.coalesce(F.col(f"`{source_col}`"), F.lit("none")).alias("source"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     domain = F.concat(F.lit("d"), F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as long)"), F.lit(0)) % 4) if domain is None else domain
-    rows = written(plain.select("doc_id", F.xxhash64("text").alias("text_key"), domain.alias("domain"), "lang", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_tokens")), "sizes")
+    rows = plain.select("doc_id", F.xxhash64("text").alias("text_key"), domain.alias("domain"), "lang", "source", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_tokens"))
+    rows = written(rows.groupBy("doc_id", "text_key", *LEVELS).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")), "sizes")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     budget = F.expr(f"tokens * {numerator} div {denominator}")
     plan = budgets(leaves, budget, weights, max_epochs)
@@ -97,24 +99,22 @@ def select_mix(docs: DataFrame, weights: dict[str, dict[str, int]], numerator: i
     inner = Window.partitionBy(*LEVELS, "bucket").orderBy("place", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = keyed.where("start <= rest and upto > rest").withColumn("chosen", (F.col("start") + F.sum("n_tokens").over(inner) <= F.col("rest")).cast("int"))
     got = whole.unionByName(out).unionByName(edge).withColumn("copies", (F.col("epochs") + F.col("chosen")).cast("long"))
-    return got.where("copies > 0").select("doc_id", "text_key", *LEVELS, "n_tokens", "copies")
+    return got.where("copies > 0").select("doc_id", "text_key", *LEVELS, "n_tokens", "n_rows", "copies")
 
 
 #: The production weights of the query and of the pipeline.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
 
 
-def mixed_rows(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, **options) -> DataFrame:
-    """The chosen rows of ``docs`` with every column, each as often as it has copies. Rows of equal id and text are
-    alike and come as often as all of them were chosen."""
-    chosen = select_mix(docs, WEIGHTS if weights is None else weights, **options)
-    chosen = written(chosen.groupBy("doc_id", "text_key").agg(F.sum("copies").alias("copies")), "chosen")
+def mixed_rows(docs: DataFrame, weights: dict[str, dict[str, int]] | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The chosen rows of ``docs`` with every column, each as often as it has copies. Rows of equal id and text but
+    another language or source come if one of them is chosen, with the most copies that one has."""
+    chosen = select_mix(docs, WEIGHTS if weights is None else weights, id_col=id_col, text_col=text_col, **options)
+    chosen = written(chosen.groupBy(F.col("doc_id").alias("chosen__id"), F.col("text_key").alias("chosen__key")).agg(F.max("copies").cast("int").alias("chosen__n")), "chosen")
     names = docs.columns
-    keyed = docs.withColumn("own_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    alike = Window.partitionBy("doc_id", "own_key").orderBy(F.lit(1))
-    join = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))
-    rows = sized_join(keyed, chosen.withColumnRenamed("doc_id", "own_id"), join, "inner")
-    return rows.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("own__key"))
+    rows = sized_join(keyed, chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("chosen__id")) & (F.col("own__key") == F.col("chosen__key")), "inner")
+    return rows.withColumn("again__n", F.explode(F.sequence(F.lit(1), F.col("chosen__n")))).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7
+from .jaccard import op2
 from .langid import op9
+from .lines import op6
 from .matroska import op5
+from .mixing import LEVELS, WEIGHTS, op10
 from .secrets import op4
 from .substrings import op3
 from .tokens_out import op8
+from .vamana import op1
+
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 #: DuckDB SQL of the queries that SQL expresses.
 WORDS_SQL = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
@@ -28,13 +41,62 @@ kept AS (SELECT d.r, d.doc_id, len(w) AS n, coalesce(len(cut), 0) AS x,
 SELECT doc_id, n::BIGINT AS n_words, x::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
 
+JACCARD_SQL = f"""
+WITH RECURSIVE t AS (SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+d AS (SELECT doc_id, {WORDS_SQL} AS w FROM t),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS x FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * x >= 90 * (na + nb - x)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, least(s.doc_id, min(r.b))::BIGINT AS component_id FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s)
+"""
+
+
+def _case(level: str) -> str:
+    return f"CASE {level} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END" if level in WEIGHTS else "1"
+
+
+def _level_sql(i: int) -> str:
+    """The shares of one level of the tree, as common table expressions n0..n2 over the level above."""
+    names, up = ", ".join(LEVELS[: i + 1]), LEVELS[:i]
+    part = f"PARTITION BY {', '.join(up)}" if up else ""
+    parent = f"JOIN n{i - 1} USING ({', '.join(up)})" if up else "CROSS JOIN (SELECT least(sum(tokens) * 3 // 5, sum(cap)) AS share FROM leaf)"
+    budget = f"n{i - 1}.share" if up else "share"
+    return f"""c{i} AS (SELECT {names}, sum(cap)::HUGEINT AS cap, ({_case(LEVELS[i])})::HUGEINT AS weight FROM leaf GROUP BY {names}),
+b{i} AS (SELECT c{i}.*, ({budget})::HUGEINT AS budget FROM c{i} {parent}),
+o{i} AS (SELECT *, budget - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lb, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lw
+  FROM b{i} WINDOW w AS ({part} ORDER BY cap::DOUBLE / weight::DOUBLE, {LEVELS[i]})),
+f{i} AS (SELECT *, cap * lw <= weight * lb AS is_full FROM o{i}),
+n{i} AS (SELECT {names}, CASE WHEN is_full THEN cap ELSE weight * (budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (w), 0))
+  // greatest(coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER (w), 0), 1) END AS share FROM f{i} WINDOW w AS ({part}))"""
+
+
+MIX_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, len({WORDS_SQL})::BIGINT AS n_tokens FROM documents),
+t AS (SELECT 'd' || (coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % 4) AS domain, * FROM d),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * 2 AS cap FROM t GROUP BY ALL),
+{', '.join(_level_sql(i) for i in range(3))},
+plan AS (SELECT leaf.*, share, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs FROM leaf JOIN n2 USING (domain, lang, source)),
+k AS (SELECT t.*, epochs, share - epochs * tokens AS rest, md5('17:' || epochs || ':' || doc_id) AS place FROM t JOIN plan USING (domain, lang, source)),
+c AS (SELECT *, epochs + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM k)
+SELECT doc_id, domain, lang, source, n_tokens, 1::BIGINT AS n_rows, copies::BIGINT AS copies FROM c WHERE copies > 0
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vamana_search": op1,
+    "op2_ngram_jaccard": op2,
     "op3_substring_dedup": op3,
     "op4_secret_scan": op4,
     "op5_media_matroska": op5,
+    "op6_line_dedup": op6,
     "op7_bpe_automaton": op7,
     "op8_token_parquet": op8,
     "op9_language_id": op9,
+    "op10_source_mix": op10,
+    "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op3_substring_dedup": SUBSTRING_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": JACCARD_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op10_source_mix": MIX_SQL}
