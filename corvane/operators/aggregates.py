@@ -53,16 +53,16 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     parts = by.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.max("s").alias("top"))
     before = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("nn").over(before), F.lit(0)).alias("fp0"))
-    total = by.agg(F.sum("p").alias("P"), F.sum("n").alias("N"))
+    total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
     w = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = by.join(F.broadcast(parts), "part").withColumn("tp", F.col("tp0") + F.sum("p").over(w)).withColumn("fp", F.col("fp0") + F.sum("n").over(w))
     run = run.crossJoin(F.broadcast(total))  # one row
     tp1, fp1 = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
     precision1 = F.when(tp1 + fp1 > 0, tp1 / (tp1 + fp1)).otherwise(F.lit(1.0))
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    roc = F.sum(F.col("n") * (F.col("tp") + tp1) / 2.0) / (F.max("P") * F.max("N"))
-    pr = F.sum(F.col("p") * (precision + precision1) / 2.0) / F.max("P")
+    both = (F.col("all_p") > 0) & (F.col("all_n") > 0)
+    roc = F.sum(F.col("n") * (F.col("tp") + tp1) / 2.0) / (F.max("all_p") * F.max("all_n"))
+    pr = F.sum(F.col("p") * (precision + precision1) / 2.0) / F.max("all_p")
     return run.where(both).agg(roc.alias("roc_auc"), pr.alias("pr_auc"))
 
 

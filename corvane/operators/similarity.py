@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.scores import similarity
 from .aggregates import weighted_stats
@@ -46,7 +47,7 @@ def local_score(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def local_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The local alignment score over twice the shorter length; null if either is empty or null."""
     def one(p, q):
