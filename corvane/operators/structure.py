@@ -100,7 +100,7 @@ def align_numbering(rows: DataFrame, keys: list[str]) -> DataFrame:
     next structure residue of its letter; after one that finds none, all the others are null too. A stateful walk by
     chain, so one Arrow group a chain.
     """
-    schema = rows.select(*keys, F.lit(0).alias("at"), F.lit("").alias("label"), F.lit("").alias("matched")).schema
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema], "at int", "label string", "matched string"])
 
     def walk(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("at", kind="stable")

@@ -48,21 +48,21 @@ def replica_stats(spark, sf_dir):
     return got.select("l_orderkey", *[r6(F.col(c)).alias(c) for c in got.columns[1:]])
 
 
-PART = filters.Thresholds({"size": {"strong": 10, "weak": 25}, "price": {"strong": 1500, "weak": 1000}}, frozenset({"size"}), {"size": "p_size", "price": "p_retailprice"})
+PART = filters.Thresholds({"size": {"strong": 10, "weak": 25}, "price": {"strong": 970, "weak": 930}}, frozenset({"size"}), {"size": "p_size", "price": "p_retailprice"})
 
 
-@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size <= 25 AND p_retailprice >= 1000")
+@query("SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size <= 25 AND p_retailprice >= 930")
 def preset_filter(spark, sf_dir):
     return filters.preset_filter(table(spark, sf_dir, "part"), "size_weak + price_weak", PART).select("p_partkey", "p_size", "p_retailprice")
 
 
-@query("SELECT count(*) AS step_0, count(*) FILTER (p_size <= 10) AS step_1, count(*) FILTER (p_size <= 10 AND p_retailprice >= 1000) AS step_2 FROM part")
+@query("SELECT count(*) AS step_0, count(*) FILTER (p_size <= 10) AS step_1, count(*) FILTER (p_size <= 10 AND p_retailprice >= 930) AS step_2 FROM part")
 def preset_counts(spark, sf_dir):
     return filters.preset_counts(table(spark, sf_dir, "part"), "size_strong + price_weak", PART)
 
 
 @query("""SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice FROM lineitem
-WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10 AND p_retailprice >= 1500)""")
+WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 10 AND p_retailprice >= 970)""")
 def preset_semi(spark, sf_dir):
     passed = filters.preset_filter(table(spark, sf_dir, "part"), "size_strong + price_strong", PART).select(F.col("p_partkey").alias("l_partkey"))
     return joins.semi_null_safe(table(spark, sf_dir, "lineitem"), passed, ["l_partkey"]).select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
@@ -409,11 +409,11 @@ def token_batches(spark, sf_dir):
 
 #: A small ensemble in the layout of gradient boosting models: two trees over two features.
 TREES = json.dumps({"learner": {"learner_model_param": {"base_score": "5E-1"}, "objective": {"name": "binary:logistic"}, "gradient_booster": {"model": {"trees": [
-    {"left_children": [1, -1, 3, -1, -1], "right_children": [2, -1, 4, -1, -1], "split_indices": [0, 0, 1, 0, 0], "split_conditions": [25.0, -0.5, 1500.0, 0.25, 0.75], "default_left": [1, 0, 0, 0, 0]},
-    {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [1, 0, 0], "split_conditions": [1200.0, 0.125, -0.25], "default_left": [0, 0, 0]}]}}}})
+    {"left_children": [1, -1, 3, -1, -1], "right_children": [2, -1, 4, -1, -1], "split_indices": [0, 0, 1, 0, 0], "split_conditions": [25.0, -0.5, 950.0, 0.25, 0.75], "default_left": [1, 0, 0, 0, 0]},
+    {"left_children": [1, -1, -1], "right_children": [2, -1, -1], "split_indices": [1, 0, 0], "split_conditions": [930.0, 0.125, -0.25], "default_left": [0, 0, 0]}]}}}})
 
 
-@query("""SELECT p_partkey, round(1 / (1 + exp(-(CASE WHEN p_size < 25 THEN -0.5 WHEN p_retailprice::FLOAT < 1500 THEN 0.25 ELSE 0.75 END + CASE WHEN p_retailprice::FLOAT < 1200 THEN 0.125 ELSE -0.25 END))), 5) AS probs FROM part""")
+@query("""SELECT p_partkey, round(1 / (1 + exp(-(CASE WHEN p_size < 25 THEN -0.5 WHEN p_retailprice::FLOAT < 950 THEN 0.25 ELSE 0.75 END + CASE WHEN p_retailprice::FLOAT < 930 THEN 0.125 ELSE -0.25 END))), 5) AS probs FROM part""")
 def tree_predict(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("float"), F.col("p_retailprice").cast("float")).alias("x"))
     return ml.tree_predict(rows, TREES, "p_partkey").select("p_partkey", F.round(F.col("probs").cast("double"), 5).alias("probs"))

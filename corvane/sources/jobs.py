@@ -34,10 +34,10 @@ def job_layouts(files: DataFrame) -> DataFrame:
 
 
 def complete_models(files: DataFrame) -> DataFrame:
-    """job, model, layout and the paths of model, confidences and summary; models that lack one are left out. Where
+    """job, model, layout and the paths model_path, confidences_path and summary_path; models that lack one are left out. Where
     both layouts have a model, the local one counts."""
-    rows = classify(files).groupBy("job", "model", "layout").agg(*[F.min(F.when(F.col("kind") == k, F.col("path"))).alias(k) for k in HOSTED])
-    rows = rows.dropna(subset=list(HOSTED))
+    rows = classify(files).groupBy("job", "model", "layout").agg(*[F.min(F.when(F.col("kind") == k, F.col("path"))).alias(f"{k}_path") for k in HOSTED])
+    rows = rows.dropna(subset=[f"{k}_path" for k in HOSTED])
     w = Window.partitionBy("job", "model").orderBy(F.desc("layout"))
     return rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
@@ -58,11 +58,11 @@ def model_paths(files: DataFrame) -> DataFrame:
 
 
 def read_confidences(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.schema(CONFIDENCES).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    return spark.read.schema(CONFIDENCES).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
 
 
 def read_summaries(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.schema(SUMMARY).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
+    return spark.read.schema(SUMMARY).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
 
 
 def rankings(summaries: DataFrame) -> DataFrame:

@@ -70,14 +70,14 @@ def read_pdb(spark: SparkSession, path: str | list[str], hetatm: bool = True) ->
 
 
 def read_cif(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return parse_cif(spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value"))
+    return parse_cif(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def read_structures(spark: SparkSession, folder: str) -> DataFrame:
     """All structure files below a folder, by suffix. A file that can't be read gives no rows."""
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-    cif = read.option("pathGlobFilter", "*.cif").text(folder).select(F.input_file_name().alias("path"), "value")
-    pdb = read.option("pathGlobFilter", "*.pdb").text(folder).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    read = spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
+    cif = read.text(folder, wholetext=True, pathGlobFilter="*.cif").select(F.col("_metadata.file_path").alias("path"), "value")
+    pdb = read.text(folder, wholetext=True, pathGlobFilter="*.pdb").select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     return parse_cif(cif).unionByName(parse_pdb(pdb))
 
 

@@ -37,9 +37,9 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: str) -> DataFra
     return read_delimited(spark, path, schema, sep="\t")
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], hidden: str = "[^_]+") -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, line, text: the lines of whole small text files, numbered from 0 within each file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
 
 
