@@ -6,9 +6,11 @@ Jaccard similarity reaches a fraction.
 
 1. One scan finds each document's set size and fingerprint; documents with equal sets become one node.
 2. A second scan takes each node's prefix in the global order: sets as similar as asked share an n-gram of their
-   prefixes. N-grams of one prefix only are dropped.
-3. The n-grams of the nodes left are cut into fragments of the order (ranges of hashes). For a candidate pair, each
-   fragment's overlap is counted apart and the counts are summed by pair.
+   prefixes. N-grams of one prefix only are dropped, and so are those that stand too late in a prefix for any partner:
+   all before the first shared one are differences, so its place bounds the overlap and with it the partner's size.
+3. The order is cut into fragments (ranges of hashes). A pair can't share more n-grams than the smaller of its two
+   segments in each fragment, summed over a fine cut; pairs that can't reach the fraction go. For the others, each
+   fragment's overlap of a coarse cut is counted apart and the counts are summed by pair.
 4. Candidates come in two steps, so that a large group of copies doesn't give all its pairs. First each node pairs
    with the least node of each prefix n-gram that it has; the links give components. Then all pairs that share a
    prefix n-gram and lie in different components are counted. No link between different components is missed.
@@ -26,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, documents, written
+from .common import as_text, documents, sized_join, written
 from .components import components
 from .words import Words, chunks
 
-FRAGMENTS = 4
+FRAGMENTS, FINE = 4, (32, 4096)
 #: An n-gram is reported as frequent by a task from so many documents of a batch of sets on; so many are kept at most.
 FREQUENT_IN_TASK, FREQUENT_KEPT, BATCH_GRAMS = 8, 100_000, 1 << 21
 
@@ -55,6 +57,27 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _edges(fragments: int) -> np.ndarray:
+    """Where the fragments but the first begin."""
+    return np.array([((f << 64) + fragments - 1) // fragments for f in range(1, fragments)], dtype=np.uint64)
+
+
+def _sizes(s: np.ndarray) -> bytes:
+    """How many hashes lie in each of a power of two of ranges, about two in each: a byte each, or four after a byte of 4."""
+    bits = min(max(int(len(s)).bit_length() - 1, FINE[0].bit_length() - 1), FINE[1].bit_length() - 1)
+    n = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    wide = int(n.max(initial=0)) > 255
+    return bytes([4 if wide else 1]) + n.astype("<u4" if wide else "u1").tobytes()
+
+
+def _most(x: bytes, y: bytes) -> int:
+    """The most hashes that two sets of these sizes can share; the finer cut is summed up to the coarser."""
+    a, b = (np.frombuffer(v, "<u4" if v[0] == 4 else "u1", offset=1).astype(np.int64) for v in (x, y))
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.minimum(a.reshape(len(b), -1).sum(1), b).sum())
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -88,8 +111,9 @@ def _prefixes(k: int, num: int, den: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = frequent.value
         for batch in batches:
-            fp, out = [], []
+            fp, out, sizes = [], [], []
             for s in gram_sets(batch.column(1), k):
+                sizes.append(_sizes(s))
                 if not len(s):
                     fp.append(None)
                     out.append(s.view(np.int64))
@@ -103,14 +127,14 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 out.append(s[: len(s) + (-num * len(s)) // den + 1].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), lists], ["doc_id", "fp", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(sizes, pa.binary()), lists], ["doc_id", "fp", "sizes", "prefix"])
 
     return run
 
 
 def _segments(k: int, fragments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.array([((f << 64) + fragments - 1) // fragments for f in range(1, fragments)], dtype=np.uint64)
+        edges = _edges(fragments)
         for batch in batches:
             rows = []
             for node, s in zip(batch.column(0).to_pylist(), gram_sets(batch.column(1), k), strict=True):
@@ -144,6 +168,19 @@ def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     return total.where(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
 
 
+def _possible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose segment sizes admit the fraction."""
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            most = (_most(p, q) for p, q in zip(x, y, strict=True))
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array([den * m >= num * (p + q - m) for m, p, q in zip(most, na, nb, strict=True)], pa.bool_()))
+
+    both = pairs.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
+    return both.mapInArrow(bound, "a long, b long, na long, nb long").distinct()
+
+
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
     """id, n_shingles and component_id of every row: the groups that links of similarity >= num / den make.
 
@@ -164,34 +201,45 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     firsts = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
     nodes = written(firsts.select(F.monotonically_increasing_id().alias("node"), "fp", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("rep_id"), "least_id", "n"), "nodes")
 
-    prefix = rows.select("doc_id", "text").mapInArrow(_prefixes(k, num, den, frequent), "doc_id long, fp binary, prefix array<long>")
+    prefix = rows.select("doc_id", "text").mapInArrow(_prefixes(k, num, den, frequent), "doc_id long, fp binary, sizes binary, prefix array<long>")
     own = nodes.select(F.col("fp").alias("node_fp"), "rep_id", "node", "n")
-    prefix = prefix.join(own, (F.col("fp") == F.col("node_fp")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "n", "prefix")
-    posts = written(prefix, "prefixes").select("node", "n", F.explode("prefix").alias("gram"))
-
-    shared = posts.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select("gram", "hub")
-    shared = written(posts.join(shared, "gram").select("gram", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-    fits = lambda x, y: den * F.least(x, y) >= num * F.greatest(x, y)
-    stars = shared.where((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n")))
-    stars = written(stars.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct(), "stars")
-
-    active = shared.select("node").distinct().join(nodes, "node").select("node", "text_key", "rep_id")
-    texts = rows.join(active.withColumnRenamed("text_key", "own_key"), (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "text")
-    segments = written(texts.mapInArrow(_segments(k, fragments), "node long, fragment int, grams binary"), "segments")
-
-    links = written(_linked(stars, segments, num, den), "links")
-    groups = components(links)
-    home = shared.select("gram", "node", "n").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prefix = prefix.join(own, (F.col("fp") == F.col("node_fp")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "n", "sizes", "prefix")
+    prefix = written(prefix, "prefixes")
+    posts, sizes = prefix.select("node", "n", F.posexplode("prefix").alias("pos", "gram")), prefix.select("node", "sizes")
+
+    shared = posts.groupBy("gram").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.max("node").alias("last"), F.min("n").alias("low")).where("hub.node <> last").select("gram", "hub", "low")
+    largest = F.expr(f"(({num} + {den}) * (n - pos) - {num} * n) div {num}")  # the largest set that can be a partner if this is the first shared n-gram
+    shared = posts.join(shared, "gram").where(largest >= F.col("low"))
+    shared = written(shared.select("gram", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "shared")
+
+    def fits(n, pos, m, at):
+        """Whether sets of n and m can be partners whose first shared n-gram stands at these places."""
+        n, pos, m, at = (F.col(c) for c in (n, pos, m, at))
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & (num * (n + m) <= (num + den) * F.least(n - pos, m - at))
+
+    stars = shared.where((F.col("node") != F.col("hub")) & fits("n", "pos", "hub_n", "hub_pos"))
+    stars = stars.select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb")).distinct()
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs that link; only the texts of their nodes are read again."""
+        pairs = written(_possible(pairs, sizes, num, den), "pairs")
+        active = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
+        active = written(active.select("node", F.col("text_key").alias("own_key"), "rep_id"), "active")
+        texts = sized_join(rows, active, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "inner").select("node", "text")
+        segments = written(texts.mapInArrow(_segments(k, fragments), "node long, fragment int, grams binary"), "segments")
+        return written(_linked(pairs, segments, num, den), "links")
+
+    found = links(stars)
+    groups = components(found)
+    home = shared.select("gram", "node", "n", "pos").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = home.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("gram")
-    home = written(home.join(mixed, "gram", "left_semi"), "mixed")
-    home = home.select("node", "gram", "n", "component")
-    x, y = home.toDF("node_x", "gram", "n_x", "c_x"), home.toDF("node_y", "gram", "n_y", "c_y")
-    rest = x.join(y, "gram").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & fits(F.col("n_x"), F.col("n_y")))
-    rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    more = written(_linked(rest, segments, num, den), "links")
+    home = written(home.join(mixed, "gram", "left_semi").select("node", "gram", "n", "pos", "component"), "mixed")
+    x, y = home.toDF("node_x", "gram", "n_x", "pos_x", "c_x"), home.toDF("node_y", "gram", "n_y", "pos_y", "c_y")
+    rest = x.join(y, "gram").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & fits("n_x", "pos_x", "n_y", "pos_y"))
+    rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct()
+    more = links(rest)
     if not more.isEmpty():
-        groups = components(links.union(more))
+        groups = components(found.union(more))
 
     home = nodes.select("fp", "node", "least_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
