@@ -3,6 +3,7 @@ import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -38,13 +39,3 @@ def duck(sf_dir):
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     return con
-
-
-def plain(df):
-    """Rows of a pandas frame as comparable text, columns by name."""
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        if df[c].dtype.kind == "f":
-            df[c] = df[c].astype(float).round(6) + 0.0
-    rows = df.astype(object).where(df.notna(), None).astype(str).map(lambda s: s.removesuffix(".0"))
-    return sorted(map(tuple, rows.to_numpy().tolist()))

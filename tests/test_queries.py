@@ -1,7 +1,7 @@
 """Every core query against its SQL on the small tables."""
 
 import pytest
-from conftest import plain
+from rows import plain
 
 from corvane.queries import ORACLES, QUERIES
 
