@@ -207,10 +207,10 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     prefix = written(prefix, "prefixes")
     posts, sizes = prefix.select("node", "n", F.posexplode("prefix").alias("pos", "gram")), prefix.select("node", "sizes")
 
-    shared = posts.groupBy("gram").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.max("node").alias("last"), F.min("n").alias("low")).where("hub.node <> last").select("gram", "hub", "low")
+    shared = posts.groupBy("gram").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.max("node").alias("last"), F.min("n").alias("low"), F.count("*").alias("members")).where("hub.node <> last").drop("last")
     largest = F.expr(f"(({num} + {den}) * (n - pos) - {num} * n) div {num}")  # the largest set that can be a partner if this is the first shared n-gram
     shared = posts.join(shared, "gram").where(largest >= F.col("low"))
-    shared = written(shared.select("gram", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos")), "shared")
+    shared = written(shared.select("gram", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), "members"), "shared")
 
     def fits(n, pos, m, at):
         """Whether sets of n and m can be partners whose first shared n-gram stands at these places."""
@@ -230,8 +230,8 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
         return written(_linked(pairs, segments, num, den), "links")
 
     found = links(stars)
-    groups = components(found)
-    home = shared.select("gram", "node", "n", "pos").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    groups = components(found)  # of an n-gram of two nodes, the star was the only pair
+    home = shared.where("members > 2").select("gram", "node", "n", "pos").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = home.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("gram")
     home = written(home.join(mixed, "gram", "left_semi").select("node", "gram", "n", "pos", "component"), "mixed")
     x, y = home.toDF("node_x", "gram", "n_x", "pos_x", "c_x"), home.toDF("node_y", "gram", "n_y", "pos_y", "c_y")
