@@ -207,53 +207,48 @@ def pdockq2_like(spark, sf_dir):
     return got.select("chain_from", "chain_to", *[r6(F.col(c)).alias(c) for c in ("mean_ptm", "mean_plddt", "pdockq2")])
 
 
-#: Of each label, the vectors that stand for a chain's residues here: a fixed panel, as a chain is no larger.
-PANEL = 40
-
-
 def matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """(ordered residue pairs with an error, chain lengths) of a panel of residues, as a predictor gives for one model."""
-    w = Window.partitionBy("chain").orderBy("vec_id")
-    p = points(spark, sf_dir).withColumn("i", F.row_number().over(w)).where(F.col("i") <= PANEL)
-    a, b = spatial.side(p, "1", ["model"], ["chain", "i", "w", "u"]), spatial.side(p, "2", ["model"], ["chain", "i", "w", "u"])
-    pae = F.abs(F.col("w_1") - F.col("u_2")) * 100
-    pairs = a.join(b, "model").where("chain_1 <> chain_2").select(F.col("chain_1").alias("chain1"), F.col("i_1").alias("i"), F.col("chain_2").alias("chain2"), F.col("i_2").alias("j"), pae.alias("pae"))
-    return pairs, p.groupBy("chain").agg(F.count("*").alias("length"))
+    """(ordered residue pairs with an error, chain lengths) of every order: lines are residues, return flags chains."""
+    w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("chain"), F.row_number().over(w).alias("i"), F.col("l_quantity").alias("q"))
+    a, b = spatial.side(rows, "1", ["l_orderkey"], ["chain", "i", "q"]), spatial.side(rows, "2", ["l_orderkey"], ["chain", "i", "q"])
+    pairs = a.join(b, "l_orderkey").where("chain_1 <> chain_2").select("l_orderkey", F.col("chain_1").alias("chain1"), F.col("i_1").alias("i"), F.col("chain_2").alias("chain2"), F.col("i_2").alias("j"), F.abs(F.col("q_1") - F.col("q_2")).alias("pae"))
+    return pairs, rows.groupBy("l_orderkey", "chain").agg((F.count("*") * 20).alias("length"))
 
 
-MATRIX = f"""{POINTS}, q AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY vec_id) AS i FROM p), q2 AS (SELECT * FROM q WHERE i <= {PANEL}),
-mx AS (SELECT a.chain AS chain1, a.i AS i, b.chain AS chain2, b.i AS j, abs(a.w - b.u) * 100 AS pae FROM q2 a JOIN q2 b ON a.chain <> b.chain), len AS (SELECT chain, count(*) AS n FROM q2 GROUP BY chain)"""
+MATRIX = """q AS (SELECT l_orderkey, l_returnflag AS chain, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+mx AS (SELECT a.l_orderkey, a.chain AS chain1, a.i AS i, b.chain AS chain2, b.i AS j, abs(a.q - b.q) AS pae FROM q a JOIN q b ON a.l_orderkey = b.l_orderkey AND a.chain <> b.chain), len AS (SELECT l_orderkey, chain, count(*) * 20 AS n FROM q GROUP BY ALL)"""
 
 
-@query(f"WITH {MATRIX} SELECT chain1, chain2, round(coalesce(avg(CASE WHEN pae < 12 THEN (12 - pae) / 12 END), 0), 6) AS lis FROM mx GROUP BY ALL")
+@query(f"WITH {MATRIX} SELECT l_orderkey, chain1, chain2, round(coalesce(avg(CASE WHEN pae < 12 THEN (12 - pae) / 12 END), 0), 6) AS lis FROM mx GROUP BY ALL")
 def lis_by_pair(spark, sf_dir):
-    return interface.lis(matrix(spark, sf_dir)[0], ["chain1", "chain2"]).select("chain1", "chain2", r6(F.col("LIS")).alias("lis"))
+    return interface.lis(matrix(spark, sf_dir)[0], ["l_orderkey", "chain1", "chain2"]).select("l_orderkey", "chain1", "chain2", r6(F.col("LIS")).alias("lis"))
 
 
 D0 = "CASE WHEN {0} > 27 THEN greatest(1.0, 1.24 * cbrt({0}::DOUBLE - 15) - 1.8) ELSE 1.0 END"
 
 
-@query(f"""WITH {MATRIX}, dom AS (SELECT chain1, chain2, count(DISTINCT i) FILTER (pae < 10) AS nres1, count(DISTINCT j) FILTER (pae < 10) AS nres2 FROM mx GROUP BY ALL),
-d AS (SELECT chain1, chain2, nres1, nres2, l1.n + l2.n AS n0chn, nres1 + nres2 AS n0dom FROM dom JOIN len l1 ON l1.chain = chain1 JOIN len l2 ON l2.chain = chain2),
+@query(f"""WITH {MATRIX}, dom AS (SELECT l_orderkey, chain1, chain2, count(DISTINCT i) FILTER (pae < 10) AS nres1, count(DISTINCT j) FILTER (pae < 10) AS nres2 FROM mx GROUP BY ALL),
+d AS (SELECT dom.*, l1.n + l2.n AS n0chn, nres1 + nres2 AS n0dom FROM dom JOIN len l1 ON l1.l_orderkey = dom.l_orderkey AND l1.chain = chain1 JOIN len l2 ON l2.l_orderkey = dom.l_orderkey AND l2.chain = chain2),
 e AS (SELECT *, {D0.format('n0chn')} AS d0chn, {D0.format('n0dom')} AS d0dom FROM d),
-r AS (SELECT chain1, chain2, i, count(*) FILTER (pae < 10) AS n0res FROM mx GROUP BY ALL),
+r AS (SELECT l_orderkey, chain1, chain2, i, count(*) FILTER (pae < 10) AS n0res FROM mx GROUP BY ALL),
 s AS (SELECT *, greatest(1.0, 1.24 * cbrt(greatest(n0res, 26)::DOUBLE - 15) - 1.8) AS d0res FROM r),
-b AS (SELECT mx.chain1, mx.chain2, mx.i, any_value(n0res) AS n0res, avg(1 / (1 + pow(pae / d0chn, 2))) AS iptm, coalesce(avg(1 / (1 + pow(pae / d0chn, 2))) FILTER (pae < 10), 0) AS chn,
+b AS (SELECT mx.l_orderkey, mx.chain1, mx.chain2, mx.i, any_value(n0res) AS n0res, avg(1 / (1 + pow(pae / d0chn, 2))) AS iptm, coalesce(avg(1 / (1 + pow(pae / d0chn, 2))) FILTER (pae < 10), 0) AS chn,
   coalesce(avg(1 / (1 + pow(pae / d0dom, 2))) FILTER (pae < 10), 0) AS dom, coalesce(avg(1 / (1 + pow(pae / d0res, 2))) FILTER (pae < 10), 0) AS res
-  FROM mx JOIN e USING (chain1, chain2) JOIN s USING (chain1, chain2, i) GROUP BY ALL),
-m AS (SELECT chain1, chain2, max(res) AS ipsae, max(chn) AS ipsae_d0chn, max(dom) AS ipsae_d0dom, max(iptm) AS iptm_d0chn FROM b GROUP BY ALL)
-SELECT chain1, chain2, round(ipsae, 6) AS ipsae, round(ipsae_d0chn, 6) AS ipsae_d0chn, round(ipsae_d0dom, 6) AS ipsae_d0dom, round(iptm_d0chn, 6) AS iptm_d0chn, n0chn, n0dom, nres1, nres2 FROM m JOIN d USING (chain1, chain2)""")
+  FROM mx JOIN e USING (l_orderkey, chain1, chain2) JOIN s USING (l_orderkey, chain1, chain2, i) GROUP BY ALL),
+m AS (SELECT l_orderkey, chain1, chain2, max(res) AS ipsae, max(chn) AS ipsae_d0chn, max(dom) AS ipsae_d0dom, max(iptm) AS iptm_d0chn FROM b GROUP BY ALL)
+SELECT l_orderkey, chain1, chain2, round(ipsae, 6) AS ipsae, round(ipsae_d0chn, 6) AS ipsae_d0chn, round(ipsae_d0dom, 6) AS ipsae_d0dom, round(iptm_d0chn, 6) AS iptm_d0chn, n0chn, n0dom, nres1, nres2 FROM m JOIN d USING (l_orderkey, chain1, chain2)""")
 def ipsae_by_pair(spark, sf_dir):
     pairs, lengths = matrix(spark, sf_dir)
-    got = interface.ipsae(pairs, lengths)
-    return got.select("chain1", "chain2", *[r6(F.col(a)).alias(a.lower()) for a in ("ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn")], "n0chn", "n0dom", "nres1", "nres2")
+    got = interface.ipsae(pairs, lengths, ["l_orderkey"])
+    return got.select("l_orderkey", "chain1", "chain2", *[r6(F.col(a)).alias(a.lower()) for a in ("ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn")], "n0chn", "n0dom", "nres1", "nres2")
 
 
-@query(f"""WITH {MATRIX}, l AS (SELECT chain1, chain2, round(coalesce(avg(CASE WHEN pae < 12 THEN (12 - pae) / 12 END), 0), 6) AS s FROM mx GROUP BY ALL)
-SELECT a.chain1 AS chain_a, a.chain2 AS chain_b, greatest(a.s, b.s) AS score, CASE WHEN a.s > b.s THEN a.chain1 ELSE a.chain2 END AS from_chain FROM l a JOIN l b ON a.chain1 = b.chain2 AND a.chain2 = b.chain1 WHERE a.chain1 < a.chain2""")
+@query(f"""WITH {MATRIX}, l AS (SELECT l_orderkey, chain1, chain2, round(coalesce(avg(CASE WHEN pae < 12 THEN (12 - pae) / 12 END), 0), 6) AS s, max(i) AS n FROM mx GROUP BY ALL)
+SELECT a.l_orderkey, a.chain1 AS chain_a, a.chain2 AS chain_b, greatest(a.s, b.s) AS score, CASE WHEN a.s > b.s THEN a.chain1 ELSE a.chain2 END AS from_chain FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.chain1 = b.chain2 AND a.chain2 = b.chain1 WHERE a.chain1 < a.chain2""")
 def symmetric_best(spark, sf_dir):
-    got = interface.lis(matrix(spark, sf_dir)[0], ["chain1", "chain2"]).withColumn("score", r6(F.col("LIS"))).withColumn("from_chain", F.col("chain1"))
-    return interface.symmetric_max(got, [], "score", ["from_chain"])
+    got = interface.lis(matrix(spark, sf_dir)[0], ["l_orderkey", "chain1", "chain2"]).withColumn("score", r6(F.col("LIS"))).withColumn("from_chain", F.col("chain1"))
+    return interface.symmetric_max(got, ["l_orderkey"], "score", ["from_chain"])
 
 
 @query(f"WITH {POINTS}, k AS (SELECT DISTINCT a.chain AS ca, b.chain AS cb FROM p a JOIN p b ON a.chain < b.chain) SELECT ca, cb, EXISTS (SELECT 1 FROM p a JOIN p b ON a.chain = ca AND b.chain = cb AND {DIST} <= 0.02) AS has_contacts FROM k")
@@ -419,13 +414,13 @@ def tree_predict(spark, sf_dir):
     return ml.tree_predict(rows, TREES, "p_partkey").select("p_partkey", F.round(F.col("probs").cast("double"), 5).alias("probs"))
 
 
-@query("""WITH n AS (SELECT n_nationkey, n_name, split_part(n_name, '_', 1) AS k FROM nation), m AS (SELECT k, max(c_mktsegment) AS tcra, min(CASE WHEN c_acctbal < -900 THEN c_mktsegment END) AS tcrb FROM n JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey % 4 <> 1 GROUP BY k)
-SELECT n.k, m.k IS NULL AS missing, (m.k IS NOT NULL AND (tcra IS NULL OR tcrb IS NULL)) AS incomplete FROM (SELECT DISTINCT k FROM n) n LEFT JOIN m ON m.k = n.k""")
+@query("""WITH m AS (SELECT n_name, max(c_mktsegment) AS tcra, min(CASE WHEN c_acctbal > 9850 THEN c_mktsegment END) AS tcrb FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_acctbal > 9700 GROUP BY 1)
+SELECT n_name, m.tcra IS NULL AS missing, (m.tcra IS NOT NULL AND tcrb IS NULL) AS incomplete FROM nation LEFT JOIN m USING (n_name)""")
 def mapping_check(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").withColumn("k", joins.mapping_key(F.col("n_name"), "prefix_before_underscore"))
-    own = names.where("n_nationkey % 4 <> 1").join(table(spark, sf_dir, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
-    mapping = own.groupBy("k").agg(F.max("c_mktsegment").alias("tcra"), F.min(F.when(F.col("c_acctbal") < -900, F.col("c_mktsegment"))).alias("tcrb"))
-    return joins.mapping_report(names.select("k").distinct(), mapping, "k", ["tcra", "tcrb"])
+    names = table(spark, sf_dir, "nation").withColumn("n_name", joins.mapping_key(F.col("n_name"), "exact"))
+    own = names.join(table(spark, sf_dir, "customer").where("c_acctbal > 9700"), F.col("c_nationkey") == F.col("n_nationkey"))
+    mapping = own.groupBy("n_name").agg(F.max("c_mktsegment").alias("tcra"), F.min(F.when(F.col("c_acctbal") > 9850, F.col("c_mktsegment"))).alias("tcrb"))
+    return joins.mapping_report(names.select("n_name"), mapping, "n_name", ["tcra", "tcrb"])
 
 
 @query("SELECT n_name, c_mktsegment, round(sum(c_acctbal), 4) AS total, max(c_custkey) AS last_key FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
