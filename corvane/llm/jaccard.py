@@ -8,11 +8,13 @@ Jaccard similarity reaches a fraction.
 2. A second scan takes each node's prefix in the global order: sets as similar as asked share an n-gram of their
    prefixes. N-grams of one prefix only are dropped, and so are those that stand too late in a prefix for any partner:
    all before the first shared one are differences, so its place bounds the overlap and with it the partner's size.
-3. The order is cut into fragments (ranges of hashes). A pair can't share more n-grams than the smaller of its two
+3. Each set has an odd sketch: the parities of its counts in 256 cells. Sets differ in at least as many n-grams as
+   their sketches differ in cells. The order is cut into fragments (ranges of hashes). A pair can't share more n-grams than the smaller of its two
    segments in each fragment, summed over a fine cut; pairs that can't reach the fraction go. For the others, each
    fragment's overlap of a coarse cut is counted apart and the counts are summed by pair.
 4. Candidates come in two steps, so that a large group of copies doesn't give all its pairs. First each node pairs
-   with the least node of each prefix n-gram that it has; the links give components. Then all pairs that share a
+   with one node of each prefix n-gram that it has, the one in whose order it stands first: what a copy has changed
+   stands before, so this is the least changed one. The links give components. Then all pairs that share a
    prefix n-gram and lie in different components are counted. No link between different components is missed.
 
 The frequent list only shapes the order; with or without an n-gram in it results are the same.
@@ -70,6 +72,12 @@ def _sizes(s: np.ndarray) -> bytes:
     return bytes([4 if wide else 1]) + n.astype("<u4" if wide else "u1").tobytes()
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    """The parities of the set's counts in 256 cells, as four 64-bit integers."""
+    odd = (np.bincount((s & np.uint64(0xFF)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def _most(x: bytes, y: bytes) -> int:
     """The most hashes that two sets of these sizes can share; the finer cut is summed up to the coarser."""
     a, b = (np.frombuffer(v, "<u4" if v[0] == 4 else "u1", offset=1).astype(np.int64) for v in (x, y))
@@ -111,9 +119,10 @@ def _prefixes(k: int, num: int, den: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = frequent.value
         for batch in batches:
-            fp, out, sizes = [], [], []
+            fp, out, sizes, cells = [], [], [], []
             for s in gram_sets(batch.column(1), k):
                 sizes.append(_sizes(s))
+                cells.append(_sketch(s))
                 if not len(s):
                     fp.append(None)
                     out.append(s.view(np.int64))
@@ -127,7 +136,7 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 out.append(s[: len(s) + (-num * len(s)) // den + 1].view(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(at, pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(sizes, pa.binary()), lists], ["doc_id", "fp", "sizes", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(sizes, pa.binary()), pa.array(cells, pa.list_(pa.int64())), lists], ["doc_id", "fp", "sizes", "cells", "prefix"])
 
     return run
 
@@ -201,13 +210,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     firsts = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
     nodes = written(firsts.select(F.monotonically_increasing_id().alias("node"), "fp", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("rep_id"), "least_id", "n"), "nodes")
 
-    prefix = rows.select("doc_id", "text").mapInArrow(_prefixes(k, num, den, frequent), "doc_id long, fp binary, sizes binary, prefix array<long>")
+    prefix = rows.select("doc_id", "text").mapInArrow(_prefixes(k, num, den, frequent), "doc_id long, fp binary, sizes binary, cells array<long>, prefix array<long>")
     own = nodes.select(F.col("fp").alias("node_fp"), "rep_id", "node", "n")
-    prefix = prefix.join(own, (F.col("fp") == F.col("node_fp")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "n", "sizes", "prefix")
+    prefix = prefix.join(own, (F.col("fp") == F.col("node_fp")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "n", "sizes", "cells", "prefix")
     prefix = written(prefix, "prefixes")
     posts, sizes = prefix.select("node", "n", F.posexplode("prefix").alias("pos", "gram")), prefix.select("node", "sizes")
+    cells = prefix.select("node", *[F.col("cells")[i].alias(f"k{i}") for i in range(4)])
 
-    shared = posts.groupBy("gram").agg(F.min(F.struct("node", "n", "pos")).alias("hub"), F.max("node").alias("last"), F.min("n").alias("low"), F.count("*").alias("members")).where("hub.node <> last").drop("last")
+    shared = posts.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.min("n").alias("low"), F.count("*").alias("members")).where("members > 1")
     largest = F.expr(f"(({num} + {den}) * (n - pos) - {num} * n) div {num}")  # the largest set that can be a partner if this is the first shared n-gram
     shared = posts.join(shared, "gram").where(largest >= F.col("low"))
     shared = written(shared.select("gram", "node", "n", "pos", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"), "members"), "shared")
@@ -233,9 +243,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     groups = components(found)  # of an n-gram of two nodes, the star was the only pair
     home = shared.where("members > 2").select("gram", "node", "n", "pos").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = home.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("gram")
-    home = written(home.join(mixed, "gram", "left_semi").select("node", "gram", "n", "pos", "component"), "mixed")
-    x, y = home.toDF("node_x", "gram", "n_x", "pos_x", "c_x"), home.toDF("node_y", "gram", "n_y", "pos_y", "c_y")
-    rest = x.join(y, "gram").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & fits("n_x", "pos_x", "n_y", "pos_y"))
+    home = home.join(mixed, "gram", "left_semi").join(cells, "node")
+    home = written(home.select("gram", "node", "n", "pos", "component", "k0", "k1", "k2", "k3"), "mixed")
+    x, y = (home.toDF("gram", *[f"{c}_{side}" for c in ("node", "n", "pos", "c", "k0", "k1", "k2", "k3")]) for side in "xy")
+    apart = sum((F.bit_count(F.col(f"k{i}_x").bitwiseXOR(F.col(f"k{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("k0_x").bitwiseXOR(F.col("k0_y"))))
+    near = (num + den) * apart <= (den - num) * (F.col("n_x") + F.col("n_y"))
+    rest = x.join(y, "gram").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & fits("n_x", "pos_x", "n_y", "pos_y") & near)
     rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct()
     more = links(rest)
     if not more.isEmpty():
