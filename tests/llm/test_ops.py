@@ -328,7 +328,7 @@ def test_recall_on_the_table(spark):
 def simhash(norm):
     import xxhash
 
-    w = norm.split(" ")
+    w = set(norm.split(" "))
     h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w]
     return sum(1 << b for b in range(63) if b % 21 < 14 and 2 * sum(x >> b & 1 for x in h) > len(w))
 
@@ -350,7 +350,7 @@ def edit(a, b):
     return row[-1]
 
 
-def brute_lines(docs, min_words=5, percent=90):
+def brute_lines(docs, min_words=5, percent=80):
     """The (doc, position) of the lines that go."""
     import re
 
@@ -370,9 +370,8 @@ def brute_lines(docs, min_words=5, percent=90):
     for i in range(len(seen)):
         for j in range(i):
             a, b = seen[i], seen[j]
-            most = (100 - percent) * max(len(a[2]), len(b[2])) // 100
-            short, long = sorted((len(a[2]), len(b[2])))
-            if a[2] == b[2] or bin(a[3] ^ b[3]).count("1") < 2 and 100 * short >= percent * long and edit(a[2], b[2]) <= most:
+            u, v = a[2].split(" "), b[2].split(" ")
+            if a[2] == b[2] or bin(a[3] ^ b[3]).count("1") < 2 and edit(u, v) <= (100 - percent) * max(len(u), len(v)) // 100:
                 parent[find(i)] = find(j)
     best = {}
     for i, s in enumerate(seen):
