@@ -253,8 +253,9 @@ def store_samples(payload: bytes, lacing: int = EBML_LACING) -> bytes:
     for c in range(0, len(frames), LACED * BLOCKS):
         base = c * FRAME * 1000 // RATE
         blocks = [uint(TIMESTAMP, base)]
-        for b in range(c, min(c + LACED * BLOCKS, len(frames)), LACED):
-            own = frames[b : b + LACED]
+        each = 1 if lacing == NO_LACING else LACED
+        for b in range(c, min(c + LACED * BLOCKS, len(frames)), each):
+            own = frames[b : b + each]
             kind = lacing if len(own) > 1 else NO_LACING
             kind = EBML_LACING if kind == FIXED and len(own[-1]) != len(own[0]) else kind
             blocks.append(element(SIMPLE_BLOCK, b"\x81" + (b * FRAME * 1000 // RATE - base).to_bytes(2, "big") + bytes([0x80 | kind << 1]) + lace(own, kind)))

@@ -70,7 +70,8 @@ def select_mix(docs: DataFrame, weights: dict[str, dict[str, int]], numerator: i
     """doc_id, text_key, domain, lang, source, n_tokens, n_rows and copies of what is chosen, at least one copy each.
 
     The budget is ``numerator / denominator`` of the corpus' tokens (words). Null languages and sources are a child
-    named ``none``; null and wordless texts have no tokens and come with the prefix they fall into, without cost.
+    named ``none``; null and wordless texts have no tokens and come with
+    the whole epochs and the prefix they fall into, without cost.
     Null ids hash as the empty text; what ties in its hash is ordered by id and text. Rows equal in all that is read
     are one item of ``n_rows`` rows: n_tokens counts them all, and they are chosen together. An empty table gives no
     rows. Further columns aren't read.
@@ -94,10 +95,10 @@ def select_mix(docs: DataFrame, weights: dict[str, dict[str, int]], numerator: i
     sums = sums.withColumn("upto", F.sum("in_bucket").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     sums = sums.withColumn("start", F.col("upto") - F.col("in_bucket")).select(*LEVELS, "bucket", "start", "upto")
     keyed = keyed.join(sums, [*LEVELS, "bucket"])
-    whole = keyed.where("upto <= rest").withColumn("chosen", F.lit(1))
-    out = keyed.where("start > rest").withColumn("chosen", F.lit(0))
+    whole = keyed.where("upto <= rest and rest > 0").withColumn("chosen", F.lit(1))
+    out = keyed.where("start > rest or rest = 0").withColumn("chosen", F.lit(0))
     inner = Window.partitionBy(*LEVELS, "bucket").orderBy("place", "doc_id", "text_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = keyed.where("start <= rest and upto > rest").withColumn("chosen", (F.col("start") + F.sum("n_tokens").over(inner) <= F.col("rest")).cast("int"))
+    edge = keyed.where("start <= rest and upto > rest and rest > 0").withColumn("chosen", (F.col("start") + F.sum("n_tokens").over(inner) <= F.col("rest")).cast("int"))
     got = whole.unionByName(out).unionByName(edge).withColumn("copies", (F.col("epochs") + F.col("chosen")).cast("long"))
     return got.where("copies > 0").select("doc_id", "text_key", *LEVELS, "n_tokens", "n_rows", "copies")
 

@@ -81,7 +81,7 @@ leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tok
 {', '.join(_level_sql(i) for i in range(3))},
 plan AS (SELECT leaf.*, share, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS epochs FROM leaf JOIN n2 USING (domain, lang, source)),
 k AS (SELECT t.*, epochs, share - epochs * tokens AS rest, md5('17:' || epochs || ':' || doc_id) AS place FROM t JOIN plan USING (domain, lang, source)),
-c AS (SELECT *, epochs + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM k)
+c AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM k)
 SELECT doc_id, domain, lang, source, n_tokens, 1::BIGINT AS n_rows, copies::BIGINT AS copies FROM c WHERE copies > 0
 """
 

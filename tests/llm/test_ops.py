@@ -311,8 +311,8 @@ def test_vectors(spark):
         assert mine == sorted(mine, key=lambda m: (-m[1], m[0])) and all(i != q for i, _ in mine)
         assert len(mine) == len(want)
     assert set(by) == {d[0] for d in data if d[0] % 20 == 0} and found / total > 0.97
-    top = by[40]
-    assert [i for i, _ in top] == sorted(i for i, _ in top) and top[0][0] == 1000  # equal vectors, smaller ids first
+    copies = [i for i, _ in by[40] if i >= 1000]  # equal vectors, smaller ids first
+    assert copies and copies == list(range(1000, 1000 + len(copies)))
 
 
 def test_recall_on_the_table(spark):
@@ -442,8 +442,8 @@ def brute_mix(docs, weights, num, den, epochs):
         rest, run = share[k] - e * size[k], 0
         for d, n in sorted(rows, key=lambda x: (hashlib.md5(f"17:{e}:{x[0]}".encode()).hexdigest(), x[0])):
             run += n
-            if e + (run <= rest):
-                out[d] = e + (run <= rest)
+            if e + (run <= rest > 0):
+                out[d] = e + (run <= rest > 0)
     return out
 
 
