@@ -341,6 +341,16 @@ def test_line_fingerprints(spark):
     assert rows[0].simhash == simhash("one two three four five") and rows[3].simhash == simhash(long)
 
 
+def least(norm):
+    import xxhash
+
+    from corvane.llm.lines import ORDER
+
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in norm.split(" ")]
+    signed = lambda v: v - (1 << 64) * (v >> 63)
+    return min(map(signed, h)), min(signed(v ^ ORDER) for v in h)
+
+
 def edit(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -371,7 +381,7 @@ def brute_lines(docs, min_words=5, percent=80):
         for j in range(i):
             a, b = seen[i], seen[j]
             u, v = a[2].split(" "), b[2].split(" ")
-            if a[2] == b[2] or bin(a[3] ^ b[3]).count("1") < 2 and edit(u, v) <= (100 - percent) * max(len(u), len(v)) // 100:
+            if a[2] == b[2] or bin(a[3] ^ b[3]).count("1") < 2 and least(a[2]) == least(b[2]) and edit(u, v) <= (100 - percent) * max(len(u), len(v)) // 100:
                 parent[find(i)] = find(j)
     best = {}
     for i, s in enumerate(seen):
