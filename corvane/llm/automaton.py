@@ -88,7 +88,7 @@ class MergeAutomaton:
                     if at is not None and since < at <= until:
                         known = False
                         break
-            if len(self.arcs) > 2_000_000:
+            if len(self.arcs) > 500_000:
                 self.arcs.clear()
             self.arcs[key] = known
         return known
@@ -128,7 +128,7 @@ class WordBpe:
     at most ``limit`` are kept.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 

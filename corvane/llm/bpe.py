@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .automaton import WordBpe
-from .common import as_text, documents, map_rows, texts_of
+from .common import as_text, documents, held, map_rows, texts_of
 from .vocab import tokenizer_path
 
 
-@lru_cache(maxsize=1)
 def word_bpe(path: str) -> WordBpe:
     """One automaton for all tasks of a Python worker."""
-    return WordBpe(path)
+    return held(("word_bpe", path), lambda: WordBpe(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,6 +49,17 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, kept for later tasks of this Python worker; the worker keeps one such object at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """The texts of a column as Python strings; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, texts_of
+from .common import documents, held, map_rows, texts_of
 from .vocab import tokenizer_path
 
 MARK = "▁"
@@ -149,7 +149,7 @@ def sample_words(labelled: DataFrame, per_language: int = 300) -> dict[str, Coun
 class Scorer:
     """Sums of word scores by text; at most ``limit`` distinct words are kept."""
 
-    def __init__(self, model: LanguageModel, limit: int = 500_000):
+    def __init__(self, model: LanguageModel, limit: int = 300_000):
         self.model, self.lattice, self.limit = model, Lattice(model.pieces), limit
         self.row: dict[str, int] = {}
         self.table = np.zeros((1 << 16, len(model.languages)), dtype=np.float64)
@@ -182,15 +182,9 @@ class Scorer:
         return langs, scores
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(key: str, model: LanguageModel) -> Scorer:
-    """One scorer for all tasks of a Python worker; the last model's only."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    """One scorer of a model for all tasks of a Python worker."""
+    return held(("scorer", key), lambda: Scorer(model))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -14,7 +14,6 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, documents, partitions, shared_dir
+from .common import as_text, documents, held, partitions, shared_dir
 
 TOKEN_FILE_SCHEMA = "part int, seq int, doc_id long, n_tokens int, ids array<int>"
 
@@ -64,11 +63,10 @@ class Encoder:
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str, engine: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, engine)
+    return held(("encoder", path, engine), lambda: Encoder(path, engine))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
