@@ -88,7 +88,7 @@ class MergeAutomaton:
                     if at is not None and since < at <= until:
                         known = False
                         break
-            if len(self.arcs) > 500_000:
+            if len(self.arcs) > 250_000:
                 self.arcs.clear()
             self.arcs[key] = known
         return known
@@ -128,15 +128,14 @@ class WordBpe:
     at most ``limit`` are kept.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 300_000):
         import regex
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         self.automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.lib = Tokenizer.from_file(path)
+        self.path, self._lib = path, None
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label = {**self.automaton.labels, **{i: t for t, i in self.added.items()}}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
@@ -148,6 +147,15 @@ class WordBpe:
         rest = [b for b in range(256) if b not in set(own)]
         self.chars = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
+    @property
+    def lib(self):
+        """The library's tokenizer, read when a text first needs it."""
+        if self._lib is None:
+            from tokenizers import Tokenizer
+
+            self._lib = Tokenizer.from_file(self.path)
+        return self._lib
+
     def symbols(self, word: str) -> list[str]:
         out = [self.chars[b] for b in word.encode("utf-8", "surrogatepass")]
         out[-1] += self.end
