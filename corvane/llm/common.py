@@ -37,6 +37,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of an Arrow batch that holds texts, so that batches stay small on both sides whatever the session has set.
+TEXT_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` of a function of a batch that ``make`` builds once in each task."""
 
@@ -46,6 +54,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
             if batch.num_rows:
                 yield step(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -67,6 +76,7 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def as_text(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """Only the named columns, so that further columns of any name can't clash; null texts are empty."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
