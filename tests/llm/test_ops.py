@@ -413,6 +413,48 @@ def test_line_dedup(spark):
     assert len(got) == len(texts)
 
 
+def whole_lines(docs, norm, takes_part, percent=80):
+    """The (doc, position) of the lines that go by plain edit similarity of all pairs of lines."""
+    seen = [(d, i, norm(line)) for d, t in sorted(docs) for i, line in enumerate((t or "").split("\n"))]
+    seen = [s for s in seen if takes_part(s[2])]
+    group = list(range(len(seen)))
+    for i, (_, _, a) in enumerate(seen):
+        for j in range(i):
+            b = seen[j][2]
+            if group[i] != group[j] and abs(len(a) - len(b)) * 100 <= (100 - percent) * max(len(a), len(b)) and edit(a, b) * 100 <= (100 - percent) * max(len(a), len(b)):
+                group = [group[j] if g == group[i] else g for g in group]
+    first = {}
+    return {s[:2] for s, g in zip(seen, group, strict=True) if first.setdefault(g, s[:2]) != s[:2]}
+
+
+def letter_words(seed, n, size=3000):
+    r = random.Random(seed)
+    return ["".join(chr(97 + int(c)) for c in str(min(r.randrange(1, size), r.randrange(1, size)))) for _ in range(n)]
+
+
+def edited(words, edits, seed):
+    r, w = random.Random(seed), list(words)
+    for e in range(edits):
+        at = r.randrange(len(w))
+        kind = r.randrange(3)
+        w[at : at + (kind != 1)] = [f"new{chr(97 + e % 26)}"] if kind != 2 else []
+    return w
+
+
+def test_line_dedup_finds_all_near_copies(spark):
+    """Lines of 5 to 120 words with as many edits as the similarity allows, and with a few more."""
+    texts = []
+    for i, n in enumerate([5, 6, 8, 9, 10, 14, 15, 20, 30, 60, 100, 120] * 3):
+        base = letter_words(i, n)
+        near = [base, *[edited(base, e, 7 * i + e) for e in (1, n // 5, n // 5 + 1, n // 5 + 2)]]
+        texts += [" ".join(x) for x in near]
+    docs = list(enumerate("\n".join(texts[i : i + 4]) for i in range(0, len(texts), 4)))
+    gone = whole_lines(docs, lambda x: x.split(" "), lambda w: len(w) >= 5)
+    got = {r.doc_key: r.places for r in lines.duplicate_lines(table(spark, [t for _, t in docs])).collect()}
+    keys = {r.doc_key: r.doc_id for r in lines.line_table(table(spark, [t for _, t in docs])).collect()}
+    assert {(keys[k], p) for k, places in got.items() for p in places} == gone and len(gone) > 80
+
+
 def brute_mix(docs, weights, num, den, epochs):
     """{doc_id: copies} by walking the tree."""
     tree, leaf = {}, {}
