@@ -455,6 +455,17 @@ def test_line_dedup_finds_all_near_copies(spark):
     assert {(keys[k], p) for k, places in got.items() for p in places} == gone and len(gone) > 80
 
 
+def test_line_dedup_of_very_long_lines(spark):
+    """Near copies of 12,000 words: words replaced in place, and words taken out so that the edit distance has to be found."""
+    base = [f"{'abcdefghij'[i % 10]}{''.join(chr(107 + int(c)) for c in str(i))}" for i in range(12_000)]
+    in_place = ["zz" if i % 10 == 0 else w for i, w in enumerate(base)]
+    shifted = [*(f"q{w}" for w in base[:1000]), *base[:500], "zz", *base[501:9000], *base[9500:]]
+    other = [f"y{w}" if i % 4 else w for i, w in enumerate(base)]
+    texts = [" ".join(x) for x in (base, in_place, shifted, other)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0}
+
+
 def brute_mix(docs, weights, num, den, epochs):
     """{doc_id: copies} by walking the tree."""
     tree, leaf = {}, {}
