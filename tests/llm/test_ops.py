@@ -466,6 +466,18 @@ def test_line_dedup_of_very_long_lines(spark):
     assert got == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
+def test_line_dedup_of_digits_codes_and_scripts(spark):
+    """Repeats without spaces or letters go, records that differ in their numbers stay."""
+    repeats = ["0x" + "4f1c" * 10, "2024-01-02 17:45:12 | 99.5 | 18 | 27", "山田さんは昨日の夕方に東京駅の近くで古い友人と会って長いあいだ話をしました", "สวัสดีครับวันนี้อากาศดีมากเราไปเดินเล่นกันเถอะ"]
+    records = [f"row {i} of table {7 * i + 1} holds {i * i} and {i + 1000} items" for i in range(20)]
+    short = ["12 345 6789 10", "点击查看更多内容", "see more"]
+    chinese = "今天早上他们一起去市场买了很多新鲜的蔬菜和水果然后回家做饭"
+    texts = ["\n".join([*repeats, *records[:10], *short, chinese]), "\n".join([*repeats, *records[10:], *short, chinese.replace("新鲜", "便宜")])]
+    got = {r.doc_id: r for r in lines.dedup_lines(table(spark, texts)).collect()}
+    assert got[0].n_removed == 0
+    assert got[1].text.split("\n") == [*records[10:], *short]
+
+
 def brute_mix(docs, weights, num, den, epochs):
     """{doc_id: copies} by walking the tree."""
     tree, leaf = {}, {}
