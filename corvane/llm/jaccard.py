@@ -198,6 +198,12 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     equal texts are one node; equal ids of different texts are different nodes. Null ids take part; they are smallest
     nowhere, so a group of null ids only has a null component_id. Further columns are not read.
     """
+    out = _grouped(docs, k, num, den, id_col, text_col, fragments)
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, fragments: int) -> DataFrame:
+    """doc_id, text_key, n, least_id (the smallest id) and best (the smallest id and text key) of every row's group; the last two are null without words."""
     spark = docs.sparkSession
     rows = as_text(docs, text_col, id_col).toDF("doc_id", "text").select("doc_id", F.md5("text").alias("text_key"), "text")
     found = written(rows.mapInArrow(_sets(k), "doc_id long, text_key string, n long, fp binary, gram long"), "sets")
@@ -207,8 +213,9 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     order = np.argsort(grams)
     frequent = spark.sparkContext.broadcast((grams[order], counts[order]))
 
-    firsts = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"))
-    nodes = written(firsts.select(F.monotonically_increasing_id().alias("node"), "fp", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("rep_id"), "least_id", "n"), "nodes")
+    firsts = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.min("doc_id").alias("least_id"),
+                                                   F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"), F.first("n").alias("n"))
+    nodes = written(firsts.select(F.monotonically_increasing_id().alias("node"), "fp", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("rep_id"), "least_id", "best", "n"), "nodes")
 
     prefix = rows.select("doc_id", "text").mapInArrow(_prefixes(k, num, den, frequent), "doc_id long, fp binary, sizes binary, cells array<long>, prefix array<long>")
     own = nodes.select(F.col("fp").alias("node_fp"), "rep_id", "node", "n")
@@ -254,19 +261,25 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_c
     if not more.isEmpty():
         groups = components(found.union(more))
 
-    home = nodes.select("fp", "node", "least_id").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    home = home.join(least, "component").select("fp", "component_id")
-    out = sets.select("doc_id", "n", "fp").join(home, "fp", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # the smallest id and text of a node stand for it; null ids come last, in a node and in a group
+    home = nodes.select("fp", "node", "least_id", "best").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = home.groupBy("component").agg(F.min("least_id").alias("least_id"), F.min("best").alias("best"))
+    home = home.drop("least_id", "best").join(least, "component").select("fp", "least_id", "best")
+    return sets.select("doc_id", "text_key", "n", "fp").join(home, "fp", "left").drop("fp")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, every column kept; of repeated rows one stays."""
-    groups = jaccard_groups(docs, id_col=id_col, **options)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id")).distinct()
-    rows = docs.join(keep, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5, fragments: int = FRAGMENTS) -> DataFrame:
+    """One row of each group of ``docs``, every column kept: that of the smallest id, and of the smallest text hash under it.
+
+    Rows of one id but different texts are different documents, null ids among them; null ids come last. Wordless texts
+    are groups of their own. Of rows equal in id and text one stays; a null text is the empty text.
+    """
+    found = _grouped(docs, k, num, den, id_col, text_col, fragments)
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    keep = found.where(F.col("best").isNull() | own.eqNullSafe(F.col("best"))).select(F.col("doc_id").alias("kept__id"), F.col("text_key").alias("kept__key")).distinct()
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("own__key"))
+    rows = rows.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("kept__id")) & (F.col("own__key") == F.col("kept__key")), "left_semi")
+    return rows.dropDuplicates([id_col, "own__key"]).drop("own__key")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,15 @@ def test_one_of_each_keeps_columns(spark):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    """Rows are known by id and text: none is lost because another has its id, and none stays that copies a smaller id."""
+    one, two, three, four = (prose(i, 60) for i in range(300, 304))
+    rows = [(None, one), (None, two), (None, two), (5, three), (5, four), (5, four), (2, four + " end"), (None, three), (7, None), (7, ""), (None, " "), (None, "")]
+    kept = jaccard.one_of_each(table(spark, [t for _, t in rows], [i for i, _ in rows]), k=5, num=4, den=5).collect()
+    want = [(None, one), (None, two), (5, three), (2, four + " end"), (7, ""), (None, " "), (None, "")]
+    assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted((str(i), t) for i, t in want)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 5)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
