@@ -128,17 +128,17 @@ def train(words: dict[str, Counter], pieces: list[str], rounds: int = 2, smooth:
 
 
 def sample_words(labelled: DataFrame, per_language: int = 300) -> dict[str, Counter]:
-    """Counts of marked words in a bounded, deterministic sample of labelled rows (doc_id, lang, text).
+    """Counts of marked words in a bounded, deterministic sample of labelled rows (lang, text).
 
-    Of each language, the ``per_language`` rows with the smallest hash of their text, whole. The bound only concerns
+    Of each language, the ``per_language`` distinct texts with the smallest hash, whole. The bound only concerns
     what is fitted.
     """
     from pyspark.sql import Window
 
-    keyed = labelled.where("text is not null and lang is not null").select("doc_id", "lang", F.xxhash64("text").alias("h"))
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    keyed = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h")).distinct()
+    w = Window.partitionBy("lang").orderBy("h")
     chosen = keyed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "h")
-    rows = labelled.select("lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen.distinct()), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text").collect()
+    rows = labelled.select("lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text").collect()
     out: dict[str, Counter] = {}
     for r in sorted(rows):
         out.setdefault(r.lang, Counter()).update(MARK + x for x in LETTERS.findall(r.text.lower()))

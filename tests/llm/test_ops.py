@@ -269,6 +269,14 @@ def test_language_id(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_sample_counts_texts_not_rows(spark):
+    """Many copies of one text take one place of the sample, whichever text it is."""
+    for copied in range(4):
+        texts = [w for i, w in enumerate(["alpha", "beta", "gamma", "delta"]) for _ in range(9 if i == copied else 1)]
+        rows = table(spark, texts).withColumn("lang", F.lit("xx"))
+        assert len(langid.sample_words(rows, per_language=4)["xx"]) == 4
+
+
 def test_forward_sums_all_segmentations():
     import itertools
 
