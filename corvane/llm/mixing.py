@@ -6,7 +6,9 @@ siblings by weight. A node's supply is the sum of its children's, so a shortage
 among the siblings of an ancestor only where a whole subtree runs short.
 
 At a leaf, the share is whole epochs over its documents and then a prefix of one more: documents in the order of a
-seeded hash, as many as the rest of the share holds. The prefix is found over 4,096 ranges of the hash by leaf, so no
+seeded hash, as many as the rest of the share holds. It ends before the first document that doesn't fit, and what is left
+of the share goes to no other leaf, so less than the budget is chosen (the README gives figures), and nothing of a leaf whose
+first document is longer than its share. The prefix is found over 4,096 ranges of the hash by leaf, so no
 task orders a whole leaf. All shares are whole numbers.
 """
 
