@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,20 +14,52 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a local one in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+_PLACE = "corvane_place"
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables ``written`` inside are deleted at the end, but for those that ``keep`` names, which the caller's scratch owns then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The written table ``df``, which outlives the innermost ``scratch``."""
+    path = getattr(df, _PLACE)
+    entry = next(x for x in _OPEN[-1] if x[1] == path)
+    _OPEN[-1].remove(entry)
+    if len(_OPEN) > 1:
+        _OPEN[-2].append(entry)
+    return df
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and lost executors do no harm."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    setattr(back, _PLACE, path)
+    if _OPEN:
+        _OPEN[-1].append((spark, path))
+    return back
 
 
 def partitions(spark: SparkSession) -> int:
@@ -80,10 +113,11 @@ def as_text(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
-#: A side of a join is broadcast only if it is a written table with at most so many rows of a few numbers each.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only if it is a written table whose files have at most so many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a written table: broadcast behind a check of its row count, else a shuffled join. Results are the same."""
-    return left.join(F.broadcast(right) if right.count() <= rows else right, on, how)
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join with a written table: broadcast behind a check of its files' size, else a shuffled join. Results are the same."""
+    size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return left.join(F.broadcast(right) if size <= most else right, on, how)
