@@ -11,35 +11,83 @@ clones; a state's lost labels are gathered once, when the state is first entered
 of every state that had its left part then, so an arc exists unless its state lost the label, or a left part of it
 before the next part was made.
 
-A word is encoded by one pass over its symbols: after each prefix there is one state (that of the prefix's only
-sequence), and the one token that ends there by an arc gives the next. Decoding emits the labels of the arcs.
+Words are encoded by two tables. One goes from symbol to symbol: a node for each prefix of a label, which knows the
+labels that end there. The other goes from state to state: (state, label) gives the state that the arc leads to, or
+none; an entry is worked out from the gadgets when it is first asked for. One pass over a word's symbols finds the state
+after each prefix (that of the prefix's only sequence), by the one label that ends there with an arc. Decoding
+emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable
 
 
+NONE = -1
+
+
 class MergeAutomaton:
-    """Raises ValueError where two merges make one label, or a merge's part has no arc: the list isn't proper."""
+    """Raises ValueError where two merges make one label, or a merge's part has no arc: the list isn't proper.
+
+    A label's symbols are its characters, the last one with the word end ``end`` where the label has it.
+    """
 
-    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]]):
-        self.vocab = vocab
+    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], end: str = ""):
+        self.vocab, self.end = vocab, end
         self.labels = {i: t for t, i in vocab.items()}
         self.made: dict[int, tuple[int, int, int]] = {}  # label: left part, right part, rule
         self.target: dict[int, int] = {}
         self.parent, self.lost, self.rule = [-1], [-1], [0]
         self._rows: list[dict[int, int] | None] = [{}]
         self._spines: dict[int, list[tuple[int, int, int]]] = {}
-        self.arcs: dict[int, bool] = {}
         for k, (a, b) in enumerate(merges, 1):
             u, v, uv = vocab[a], vocab[b], vocab[a + b]
             if uv in self.made:
                 raise ValueError(f"two merges make {a + b!r}")
             self._gadget(u, v, uv, k)
-        self.longest = max(map(len, vocab), default=0)
         self.width = max(self.labels, default=0) + 1
+        self.arcs: dict[int, int] = {}
+        self._nodes()
+
+    def symbols(self, label: str) -> list[str]:
+        """The symbols that a label spells."""
+        if self.end and label.endswith(self.end) and label != self.end:
+            bare = label[: -len(self.end)]
+            return [*bare[:-1], bare[-1] + self.end]
+        return list(label)
+
+    def _nodes(self) -> None:
+        """The table of symbols: each node's next ones, its longest proper suffix that is a node, and the labels ending there."""
+        self.next: list[dict[str, int]] = [{}]
+        own: list[tuple[int, int] | None] = [None]
+        for text, label in self.vocab.items():
+            spelt, node = self.symbols(text), 0
+            if len(spelt) > 1 and label not in self.made:
+                continue
+            for s in spelt:
+                to = self.next[node].get(s)
+                if to is None:
+                    to = self.next[node][s] = len(self.next)
+                    self.next.append({})
+                    own.append(None)
+                node = to
+            own[node] = (len(spelt), label)
+        self.suffix = [0] * len(self.next)
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.next)
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                for s, to in self.next[node].items():
+                    at = self.suffix[node]
+                    while at and s not in self.next[at]:
+                        at = self.suffix[at]
+                    self.suffix[to] = self.next[at].get(s, 0) if node else 0
+                    self.ends[to] = ((own[to],) if own[to] else ()) + self.ends[self.suffix[to]]
+                    below.append(to)
+            level = below
 
     def _gadget(self, u: int, v: int, uv: int, k: int) -> None:
         after_u = self.target.get(u, 0)
@@ -77,46 +125,43 @@ class MergeAutomaton:
         return found
 
     def has_arc(self, state: int, label: int) -> bool:
-        key = state * self.width + label
-        known = self.arcs.get(key)
-        if known is None:
-            row = self.row(state)
-            known = True
-            if row:
-                for part, since, until in self.spine(label):
-                    at = row.get(part)
-                    if at is not None and since < at <= until:
-                        known = False
-                        break
-            if len(self.arcs) > 250_000:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
+        row = self.row(state)
+        return not row or not any((at := row.get(part)) is not None and since < at <= until for part, since, until in self.spine(label))
+
+    def arc(self, state: int, label: int) -> int:
+        """The state that the arc of a label leads to, ``NONE`` where there is no such arc; kept in the table."""
+        to = self.target.get(label, 0) if self.has_arc(state, label) else NONE
+        if len(self.arcs) > 500_000:
+            self.arcs.clear()
+        self.arcs[state * self.width + label] = to
+        return to
 
     def encode(self, symbols: list[str]) -> list[int]:
         """The labels of the only accepted sequence that spells the symbols; KeyError for a symbol without a label."""
-        n = len(symbols)
-        states, back = [0] * (n + 1), [(0, 0)] * (n + 1)
-        get, target, has = self.vocab.get, self.target, self.has_arc
-        starts = [0] * (n + 1)
-        for i, s in enumerate(symbols):
-            starts[i + 1] = starts[i] + len(s)
-        text = "".join(symbols)
-        for end in range(1, n + 1):
-            stop = starts[end]
-            for at in range(end - 1, -1, -1):
-                if stop - starts[at] > self.longest:
-                    break
-                label = get(text[starts[at] : stop])
-                if label is not None and (end - at == 1 or label in self.made) and (not at or has(states[at], label)):
-                    states[end], back[end] = target.get(label, 0), (at, label)
+        after, ends, suffix, arcs, width = self.next, self.ends, self.suffix, self.arcs, self.width
+        states, back, node = [0], [], 0
+        for end, symbol in enumerate(symbols, 1):
+            to = after[node].get(symbol)
+            while to is None and node:
+                node = suffix[node]
+                to = after[node].get(symbol)
+            node = to or 0
+            for size, label in ends[node]:
+                state = states[end - size]
+                to = arcs.get(state * width + label)
+                if to is None:
+                    to = self.arc(state, label)
+                if to != NONE:
+                    states.append(to)
+                    back.append((size, label))
                     break
             else:
-                raise KeyError(f"no token ends with {symbols[end - 1]!r}")
-        out, at = [], n
+                raise KeyError(f"no token ends with {symbol!r}")
+        out, at = [], len(symbols)
         while at:
-            at, label = back[at]
+            size, label = back[at - 1]
             out.append(label)
+            at -= size
         return out[::-1]
 
 
@@ -134,7 +179,7 @@ class WordBpe:
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self.automaton = MergeAutomaton(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], self.end)
         self.path, self._lib = path, None
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label = {**self.automaton.labels, **{i: t for t, i in self.added.items()}}
@@ -170,36 +215,31 @@ class WordBpe:
         back = {c: b for b, c in self.chars.items()}
         return [bytes(back[c] for c in w).decode("utf-8") for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(clean)]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        import numpy as np
+    def _word(self, word: str) -> bytes:
+        return array("I", self.automaton.encode(self.symbols(word))).tobytes()
 
-        ids = self.automaton.encode(self.symbols(word))
-        return np.array(ids, dtype="<u4").tobytes(), " ".join([self.label[i] for i in ids])
-
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit integers, labels joined by a space) of each word or added token."""
-        import numpy as np
-
-        out: list[tuple[bytes, str]] = []
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as unsigned 32-bit integers in this machine's order, which is little-endian."""
+        out: list[bytes] = []
         for i, part in enumerate(self.cut.split(text) if self.cut and "<|" in text else [text]):
             if i % 2:
-                out.append((np.array([self.added[part]], dtype="<u4").tobytes(), part))
+                out.append(array("I", [self.added[part]]).tobytes())
                 continue
             words, known = self.words(part), self.known
             try:
-                out += [known[w] for w in words]
+                out += list(map(known.__getitem__, words))
             except KeyError:
                 if len(known) > self.limit:
                     known.clear()
                 for w in words:
                     if w not in known:
                         known[w] = self._word(w)
-                out += [known[w] for w in words]
-        return out
-
-    def encode(self, text: str) -> bytes:
-        return b"".join([a for a, _ in self.pieces(text)])
+                out += map(known.__getitem__, words)
+        return b"".join(out)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, joined as the library does where a file names no decoder; ids without one are left out."""
-        return " ".join([self.label[i] for i in ids if i in self.label])
+        try:
+            return " ".join(map(self.label.__getitem__, ids))
+        except KeyError:
+            return " ".join([self.label[i] for i in ids if i in self.label])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .automaton import WordBpe
-from .common import as_text, documents, map_rows, texts_of
+from .common import as_text, documents, kind, map_rows, texts_of
 from .vocab import tokenizer_path
 
 
@@ -28,7 +29,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
         return step
 
-    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` long, ids array<int>")
+    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, ids array<int>")
 
 
 def decode_documents(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -43,11 +44,14 @@ def decode_documents(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", id
 
         return step
 
-    return map_rows(rows.select(id_col, ids_col), make, f"`{id_col}` long, text string")
+    return map_rows(rows.select(id_col, ids_col), make, f"`{id_col}` {kind(rows, id_col)}, text string")
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded."""
+    """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text: encoded, and the ids decoded.
+
+    Ids keep their type and may be null or repeated; null and empty texts have no tokens; further columns are not read.
+    """
 
     def make():
         bpe = WordBpe(tokenizer)
@@ -55,16 +59,15 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, back = [], [], []
             for text in texts_of(batch.column(1)):
-                pieces = bpe.pieces(text)
-                blob = b"".join([a for a, _ in pieces])
+                blob = bpe.encode(text)
                 n.append(len(blob) // 4)
                 ids.append(hashlib.sha256(blob).hexdigest())
-                back.append(hashlib.sha256(" ".join([b for _, b in pieces]).encode("utf-8")).hexdigest())
+                back.append(hashlib.sha256(bpe.decode(array("I", blob)).encode("utf-8")).hexdigest())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return step
 
-    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,6 +63,12 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return back
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver look for plans that nothing refers to any more, so that Spark deletes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -107,6 +114,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def kind(df: DataFrame, col: str) -> str:
+    """The type of a column, for schemas that carry it on."""
+    return df.schema[col].dataType.simpleString()
+
+
 def as_text(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """Only the named columns, so that further columns of any name can't clash; null texts are empty."""
     small_batches(df.sparkSession)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,48 +30,77 @@ TOKEN_FILE_SCHEMA = "part int, seq int, doc_id long, n_tokens int, ids array<int
 class Encoder:
     """The ids that the ``tokenizers`` library gives for a byte-level BPE file.
 
-    ``engine="tokenizers"`` calls the library for every text. ``engine="ranks"`` reads the same file's vocabulary as
-    merge ranks and encodes with tiktoken, five times as fast; it is used only if the file's ids follow its merges,
-    and only for texts without an added token's string whose characters are Latin ones, since the two libraries'
-    character classes may be of different Unicode versions. All other texts go to the library. Tests hold the two
-    engines against each other.
+    The library cuts a text into words by a fixed pattern and encodes each word on its own, so the ids of a text are those
+    of its words. Words are encoded by the library once and held, while at most ``limit`` are; texts whose characters
+    Python's tables might class otherwise (all but Latin ones), and texts with an added token's string, go to the
+    library whole, as do all texts if the file normalises, trains on another pattern or sets a space before texts.
     """
 
-    def __init__(self, path: str, engine: str = "ranks"):
-        import regex
-        import tiktoken
+    #: The fixed pattern of byte-level pre-tokenizing, for characters of ``PLAIN``: no digits but 0-9 are among them.
+    WORD = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
+    PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f]*")
+
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\u024f]*").fullmatch
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that print stand for themselves
-        byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*own}))}
-        in_order = all(model["vocab"].get(a + b) == 256 + i for i, (a, b) in enumerate(merges))
-        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
-        # The fixed pattern of byte-level pre-tokenizing.
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if engine == "ranks" and in_order and len(ranks) == 256 + len(merges) else None
-
-    def encode(self, text: str) -> np.ndarray:
-        if self.fast is None or any(t in text for t in self.added) or not self.plain(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
-
-
-def encoder(path: str, engine: str) -> Encoder:
+            spec = json.load(f)
+        cut = spec["pre_tokenizer"] or {}
+        self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and spec["normalizer"] is None
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        vocab = self.lib.get_vocab()
+        self.after_space = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.after_space[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the fixed character of a space
+        self.known: dict[str, bytes] = {}
+        self.limit = limit
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<i4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: set[str]) -> None:
+        """Have the library encode words. Those of a space and letters are joined to one text, which it cuts into them again."""
+        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        for at in range(0, len(spaced), 2000):
+            part = spaced[at : at + 2000]
+            ids = np.array(self.lib.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<i4")
+            cut = np.flatnonzero(self.after_space[ids])
+            if len(cut) != len(part):
+                self.known.update(zip(part, self._whole(part), strict=True))
+                continue
+            blob, cut = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+            self.known.update({w: blob[a:b] for w, a, b in zip(part, cut[:-1], cut[1:], strict=True)})
+        rest = list(words.difference(spaced))
+        self.known.update(zip(rest, self._whole(rest), strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
+        plain = [i for i, t in enumerate(texts) if self.by_word and self.PLAIN.fullmatch(t) and not any(a in t for a in self.added)]
+        out: list[bytes] = [b""] * len(texts)
+        rest = sorted(set(range(len(texts))).difference(plain))
+        for i, blob in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+            out[i] = blob
+        cut = [self.WORD.findall(texts[i]) for i in plain]
+        if len(self.known) > self.limit:
+            self.known.clear()
+        new = {w for words in cut for w in words if w not in self.known}
+        if new:
+            self._learn(new)
+        for i, words in zip(plain, cut, strict=True):
+            out[i] = b"".join(map(self.known.__getitem__, words))
+        return out
+
+
+def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return held(("encoder", path, engine), lambda: Encoder(path, engine))
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
-                      row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, encoding: str = "dictionary", codec: str = "zstd", engine: str = "ranks") -> None:
+                      row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, encoding: str = "dictionary", codec: str = "zstd") -> None:
     """Encode every whole text, append ``end_id`` and write the token files at ``path``.
 
     Null text is the empty text: its row holds ``end_id`` only. Null ids sort first. Repeated rows are repeated
@@ -80,16 +110,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         raise ValueError(f"unknown encoding {encoding!r}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seq = encoder(tokenizer, engine), TaskContext.get().partitionId(), 0
+        coder, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], dtype="<i4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sub = batch.slice(at, 256)
-                lists = [coder.encode(x) for x in sub.column(1).to_pylist()]
-                sizes = np.array([len(x) + 1 for x in lists], dtype=np.int32)
+                blobs = coder.encode_batch(sub.column(1).to_pylist())
+                sizes = np.array([len(b) // 4 + 1 for b in blobs], dtype=np.int32)
                 at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                ids = np.full(at[-1], end_id, dtype=np.int32)
-                ids[np.delete(np.arange(at[-1]), at[1:] - 1)] = np.concatenate(lists)
-                lists = pa.ListArray.from_arrays(at, pa.array(ids))
+                lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(end.join([*blobs, b""]), dtype="<i4")))
                 place = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.arange(seq, seq + len(sizes), dtype=np.int32))]
                 seq += len(sizes)
                 yield pa.RecordBatch.from_arrays([*place, sub.column(0), pa.array(sizes), lists], ["part", "seq", "doc_id", "n_tokens", "ids"])

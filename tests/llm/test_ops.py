@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,6 +195,17 @@ def test_bpe_equals_the_library(spark, sf_dir):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(x, skip_special_tokens=False).encode()).hexdigest())
 
 
+def test_digests_are_of_decoded_ids_of_any_id_type(spark, monkeypatch):
+    path = vocab.tokenizer_path("word_bpe_49k.json")
+    df = spark.createDataFrame([("a", "Hello there"), (None, None), ("a", "")], "doc_id string, text string")
+    got = sorted((str(r.doc_id), r.n_tokens, r.decoded_sha256) for r in bpe.round_trip_digests(df, path).collect())
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == [("None", 0, sha("")), ("a", 0, sha("")), ("a", 2, sha("hello</w> there</w>"))]
+    own = bpe.WordBpe(path)
+    own.label = {i: t.upper() for i, t in own.label.items()}
+    assert own.decode(np.frombuffer(own.encode("Hello there"), "<u4")) == "HELLO</W> THERE</W>"
+
+
 def test_automaton_accepts_just_the_merged_sequences():
     """All strings over a small alphabet, against merging in order."""
     import itertools
@@ -221,17 +233,35 @@ def test_automaton_accepts_just_the_merged_sequences():
         MergeAutomaton({**vocab_, "aba": 99}, [("a", "b"), ("ab", "a"), ("b", "a"), ("a", "ba")])
 
 
-@pytest.mark.parametrize("engine", ["ranks", "tokenizers"])
+def test_words_encoded_once_give_the_library_ids(sf_dir, monkeypatch):
+    """Whole texts by the library, against words that it has encoded once; no other library, and a cache that runs full."""
+    import sys
+
+    import duckdb
+    from tokenizers import Tokenizer
+
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    path = vocab.tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = ["" if t is None else t for t in ODD_TEXT] + [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet'").fetchall()]
+    texts += ["a" + c + "b " + c + c + "1" + c for c in map(chr, [*range(9, 14), *range(28, 0x250)])] + ["x² ¼y_z _a__ 'S'll don't'  \n\n q", " lead", "trail  ", "<|endoftext|> in it"]
+    want = [np.array(e.ids, "<i4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for limit in (400_000, 10):
+        coder = tokens_out.Encoder(path, limit)
+        got = [b for at in range(0, len(texts), 64) for b in coder.encode_batch(texts[at : at + 64])]
+        assert got == want and coder.by_word
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
-def test_token_files(spark, sf_dir, tmp_path, engine, encoding):
+def test_token_files(spark, sf_dir, tmp_path, encoding):
     from tokenizers import Tokenizer
 
     path = vocab.tokenizer_path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    texts = ODD_TEXT + texts_of(spark, sf_dir, 40 if engine == "ranks" else 5)
+    texts = ODD_TEXT + texts_of(spark, sf_dir, 40)
     ids = [(i * 37) % 1009 for i in range(len(texts))]
-    out = str(tmp_path / f"{engine}-{encoding}")
-    tokens_out.write_token_files(table(spark, texts, ids), out, path, encoding=encoding, engine=engine)
+    out = str(tmp_path / encoding)
+    tokens_out.write_token_files(table(spark, texts, ids), out, path, encoding=encoding)
     want, at = {}, 0
     for d, t in sorted(zip(ids, texts, strict=True)):
         x = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
@@ -342,30 +372,10 @@ def test_recall_on_the_table(spark):
     assert hits / (20 * len(by)) >= 0.95
 
 
-def simhash(norm):
-    import xxhash
-
-    w = set(norm.split(" "))
-    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w]
-    return sum(1 << b for b in range(63) if b % 21 < 14 and 2 * sum(x >> b & 1 for x in h) > len(w))
-
-
-def test_line_fingerprints(spark):
-    long = " ".join("word" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(3000))
-    got = lines.line_table(table(spark, ["One, two; THREE four five 12!\nshort one\n\n" + long, None]), min_words=5)
-    rows = {r.pos: r for r in got.collect()}
-    assert set(rows) == {0, 3}
-    assert rows[0].simhash == simhash("one two three four five") and rows[3].simhash == simhash(long)
-
-
-def least(norm):
-    import xxhash
-
-    from corvane.llm.lines import ORDER
-
-    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in norm.split(" ")]
-    signed = lambda v: v - (1 << 64) * (v >> 63)
-    return min(map(signed, h)), min(signed(v ^ ORDER) for v in h)
+def test_line_table_counts_words_and_letters(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    got = lines.line_table(table(spark, ["One, two; THREE four five 12!\nshort one\n\n" + long, None]))
+    assert {r.pos: (r.n, len(r["keys"])) for r in got.collect()} == {0: (6, 4), 3: (3000, 1202)}
 
 
 def edit(a, b):
@@ -377,33 +387,24 @@ def edit(a, b):
     return row[-1]
 
 
-def brute_lines(docs, min_words=5, percent=80):
-    """The (doc, position) of the lines that go."""
+UNSPACED = "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+
+
+def line_words(line):
+    import regex
+
+    return regex.findall(rf"{UNSPACED}|(?:(?!{UNSPACED})[\p{{L}}\p{{M}}\p{{N}}])+", line.lower())
+
+
+def takes_part(words):
     import re
 
-    seen = []
-    for d, t in sorted(docs, key=lambda x: x[0]):
-        for i, line in enumerate((t or "").split("\n")):
-            norm = " ".join(re.findall(r"[^\W\d_]+", line.lower()))
-            if len(norm.split(" ")) >= min_words:
-                seen.append((d, i, norm, simhash(norm)))
-    parent = list(range(len(seen)))
+    return sum(map(len, words)) >= 25 or sum(not re.match(UNSPACED, w) for w in words) >= 5
 
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
 
-    for i in range(len(seen)):
-        for j in range(i):
-            a, b = seen[i], seen[j]
-            u, v = a[2].split(" "), b[2].split(" ")
-            if a[2] == b[2] or bin(a[3] ^ b[3]).count("1") < 2 and least(a[2]) == least(b[2]) and edit(u, v) <= (100 - percent) * max(len(u), len(v)) // 100:
-                parent[find(i)] = find(j)
-    best = {}
-    for i, s in enumerate(seen):
-        best.setdefault(find(i), []).append(s[:2])
-    return {p for g in best.values() for p in sorted(g)[1:]}
+def brute_lines(docs, percent=80):
+    """The (doc, position) of the lines that go, by the edit similarity of all pairs of lines."""
+    return whole_lines(docs, line_words, takes_part, percent)
 
 
 def test_line_dedup(spark):
@@ -431,17 +432,30 @@ def test_line_dedup(spark):
 
 
 def whole_lines(docs, norm, takes_part, percent=80):
-    """The (doc, position) of the lines that go by plain edit similarity of all pairs of lines."""
+    """The (doc, position) of the lines that go by plain edit similarity of all pairs of lines.
+
+    Pairs that share too few words to be near copies needn't be gone through.
+    """
     seen = [(d, i, norm(line)) for d, t in sorted(docs) for i, line in enumerate((t or "").split("\n"))]
     seen = [s for s in seen if takes_part(s[2])]
-    group = list(range(len(seen)))
-    for i, (_, _, a) in enumerate(seen):
-        for j in range(i):
-            b = seen[j][2]
-            if group[i] != group[j] and abs(len(a) - len(b)) * 100 <= (100 - percent) * max(len(a), len(b)) and edit(a, b) * 100 <= (100 - percent) * max(len(a), len(b)):
-                group = [group[j] if g == group[i] else g for g in group]
-    first = {}
-    return {s[:2] for s, g in zip(seen, group, strict=True) if first.setdefault(g, s[:2]) != s[:2]}
+    classes = sorted({tuple(w) for _, _, w in seen}, key=len)
+    bags, group = [Counter(w) for w in classes], list(range(len(classes)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for j, b in enumerate(classes):
+        most = (100 - percent) * len(b) // 100
+        for i in range(j - 1, -1, -1):
+            a = classes[i]
+            if len(b) - len(a) > most:
+                break
+            if sum((bags[i] & bags[j]).values()) >= len(b) - most and find(i) != find(j) and edit(a, b) <= most:
+                group[find(i)] = find(j)
+    home, first = {w: find(i) for i, w in enumerate(classes)}, {}
+    return {s[:2] for s in seen if first.setdefault(home[tuple(s[2])], s[:2]) != s[:2]}
 
 
 def letter_words(seed, n, size=3000):
@@ -472,6 +486,34 @@ def test_line_dedup_finds_all_near_copies(spark):
     assert {(keys[k], p) for k, places in got.items() for p in places} == gone and len(gone) > 80
 
 
+def test_line_dedup_of_the_whole_table(spark, sf_dir):
+    """All near copies of the real lines, by all pairs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    gone = brute_lines([tuple(r) for r in docs.collect()])
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect() if r.n_removed}
+    assert got == Counter(d for d, _ in gone) and len(got) > 20
+
+
+def test_line_dedup_of_a_key_of_many_lines(spark, monkeypatch):
+    """A pair of words that all lines hold, and near copies among them: blocks and steps change nothing."""
+    r = random.Random(8)
+    base = [["extraordinarily", "incomprehensible", *letter_words(i, 18)] for i in range(60)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:2], *edited(w[2:], 3, i)]) for i, w in enumerate(base[:30])]
+    r.shuffle(texts)
+    want = brute_lines(list(enumerate(texts)))
+    for block, steps in ((256, 3), (4, 1), (4, 3)):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        monkeypatch.setattr(lines, "STAR_STEPS", steps)
+        got = {x.doc_id for x in lines.dedup_lines(table(spark, texts)).collect() if x.n_removed}
+        assert got == {d for d, _ in want} and len(got) >= 20
+
+
+def test_line_dedup_of_one_word_more(spark):
+    """A line of four long words and one of five are near copies; so are a line and itself with an inserted word."""
+    got = lines.dedup_lines(table(spark, ["remarkable circumstances notwithstanding everything", "remarkable circumstances notwithstanding everything else", "a b c d"]))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {0: 0, 1: 1, 2: 0}
+
+
 def test_line_dedup_of_very_long_lines(spark):
     """Near copies of 12,000 words: words replaced in place, and words taken out so that the edit distance has to be found."""
     base = [f"{'abcdefghij'[i % 10]}{''.join(chr(107 + int(c)) for c in str(i))}" for i in range(12_000)]
