@@ -12,8 +12,8 @@ of every state that had its left part then, so an arc exists unless its state lo
 before the next part was made.
 
 Words are encoded by two tables. One goes from symbol to symbol: a node for each prefix of a label, which knows the
-labels that end there. The other goes from state to state: (state, label) gives the state that the arc leads to, or
-none; an entry is worked out from the gadgets when it is first asked for. One pass over a word's symbols finds the state
+labels that end there. The other goes from state to state: a row a state, whose entry for a label is the row of the state
+that the arc leads to, or none; an entry is worked out from the gadgets when it is first asked for. One pass over a word's symbols finds the state
 after each prefix (that of the prefix's only sequence), by the one label that ends there with an arc. Decoding
 emits the labels of the arcs.
 """
@@ -21,11 +21,19 @@ emits the labels of the arcs.
 from __future__ import annotations
 
 import json
+import unicodedata
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-NONE = -1
+
+#: The entry of a row that says which state it is of; labels are never negative.
+STATE = -1
+#: Entries that the table of arcs holds at most; a full one is begun anew.
+MOST_ARCS = 1_000_000
 
 
 class MergeAutomaton:
@@ -47,8 +55,8 @@ class MergeAutomaton:
             if uv in self.made:
                 raise ValueError(f"two merges make {a + b!r}")
             self._gadget(u, v, uv, k)
-        self.width = max(self.labels, default=0) + 1
-        self.arcs: dict[int, int] = {}
+        self.arcs: dict[int, dict] = {}
+        self.filled = 0
         self._nodes()
 
     def symbols(self, label: str) -> list[str]:
@@ -128,41 +136,67 @@ class MergeAutomaton:
         row = self.row(state)
         return not row or not any((at := row.get(part)) is not None and since < at <= until for part, since, until in self.spine(label))
 
-    def arc(self, state: int, label: int) -> int:
-        """The state that the arc of a label leads to, ``NONE`` where there is no such arc; kept in the table."""
-        to = self.target.get(label, 0) if self.has_arc(state, label) else NONE
-        if len(self.arcs) > 500_000:
-            self.arcs.clear()
-        self.arcs[state * self.width + label] = to
+    def arc(self, row: dict, label: int) -> dict | None:
+        """The row of the state that the arc of a label leads to, None where there is no such arc; kept in the table."""
+        if self.filled > MOST_ARCS:
+            for state, other in self.arcs.items():
+                other.clear()
+                other[STATE] = state
+            self.filled = 0
+        to = None
+        if self.has_arc(row[STATE], label):
+            state = self.target.get(label, 0)
+            to = self.arcs.setdefault(state, {STATE: state})
+        row[label] = to
+        self.filled += 1
         return to
 
     def encode(self, symbols: list[str]) -> list[int]:
         """The labels of the only accepted sequence that spells the symbols; KeyError for a symbol without a label."""
-        after, ends, suffix, arcs, width = self.next, self.ends, self.suffix, self.arcs, self.width
-        states, back, node = [0], [], 0
-        for end, symbol in enumerate(symbols, 1):
-            to = after[node].get(symbol)
-            while to is None and node:
-                node = suffix[node]
+        return self.encode_all([symbols])[0] if symbols else []
+
+    def encode_all(self, words: Iterable[Sequence[str]]) -> list[list[int]]:
+        """``encode`` of each word, a sequence of one or more symbols.
+
+        What a prefix comes to doesn't depend on what follows, so a word begins where it first differs from the one
+        before; words in sorted order share most.
+        """
+        after, ends, suffix, missing = self.next, self.ends, self.suffix, STATE
+        out, before = [], ()
+        rows, back, nodes = [self.arcs.setdefault(0, {STATE: 0})], [], [0]
+        for word in words:
+            same, most = 0, min(len(word), len(before))
+            while same < most and word[same] == before[same]:
+                same += 1
+            del rows[same + 1 :], back[same:], nodes[same + 1 :]
+            node, end = nodes[-1], same
+            for symbol in word[same:]:
+                end += 1
                 to = after[node].get(symbol)
-            node = to or 0
-            for size, label in ends[node]:
-                state = states[end - size]
-                to = arcs.get(state * width + label)
-                if to is None:
-                    to = self.arc(state, label)
-                if to != NONE:
-                    states.append(to)
-                    back.append((size, label))
-                    break
-            else:
-                raise KeyError(f"no token ends with {symbol!r}")
-        out, at = [], len(symbols)
-        while at:
-            size, label = back[at - 1]
-            out.append(label)
-            at -= size
-        return out[::-1]
+                while to is None and node:
+                    node = suffix[node]
+                    to = after[node].get(symbol)
+                node = to or 0
+                for size, label in ends[node]:
+                    row = rows[end - size]
+                    to = row.get(label, missing)
+                    if to is missing:
+                        to = self.arc(row, label)
+                    if to is not None:
+                        rows.append(to)
+                        back.append((size, label))
+                        nodes.append(node)
+                        break
+                else:
+                    raise KeyError(f"no token ends with {symbol!r}")
+            at, labels, before = end, [], word
+            while at:
+                size, label = back[at - 1]
+                labels.append(label)
+                at -= size
+            labels.reverse()
+            out.append(labels)
+        return out
 
 
 class WordBpe:
@@ -173,7 +207,7 @@ class WordBpe:
     at most ``limit`` are kept.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -186,11 +220,12 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.plain = regex.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ]*")
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.pieces = limit, {}, {}
         # The fixed, reversible map of bytes to printable characters: bytes that print stand for themselves.
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(own)]
         self.chars = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.odd = regex.compile(r"[\x00-\x20\x7f]").search
 
     @property
     def lib(self):
@@ -202,21 +237,21 @@ class WordBpe:
         return self._lib
 
     def symbols(self, word: str) -> list[str]:
-        out = [self.chars[b] for b in word.encode("utf-8", "surrogatepass")]
-        out[-1] += self.end
-        return out
+        spelt = word if word.isascii() and not self.odd(word) else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.chars)
+        return [*spelt[:-1], spelt[-1] + self.end]
 
     def words(self, text: str) -> list[str]:
-        import unicodedata
-
         if self.plain.fullmatch(text):
             return self.split.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
         clean = self.lib.normalizer.normalize_str(text)
         back = {c: b for b, c in self.chars.items()}
-        return [bytes(back[c] for c in w).decode("utf-8") for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(clean)]
+        return [bytes(back[c] for c in w).decode("utf-8", "surrogatepass") for w, _ in self.lib.pre_tokenizer.pre_tokenize_str(clean)]
 
-    def _word(self, word: str) -> bytes:
-        return array("I", self.automaton.encode(self.symbols(word))).tobytes()
+    def _learn(self, words: Iterable[str]) -> None:
+        """Encode the words that aren't known yet, in sorted order."""
+        new = sorted({w for w in words if w not in self.known})
+        for w, ids in zip(new, self.automaton.encode_all(map(self.symbols, new)), strict=True):
+            self.known[w] = array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as unsigned 32-bit integers in this machine's order, which is little-endian."""
@@ -225,18 +260,43 @@ class WordBpe:
             if i % 2:
                 out.append(array("I", [self.added[part]]).tobytes())
                 continue
-            words, known = self.words(part), self.known
-            try:
-                out += list(map(known.__getitem__, words))
-            except KeyError:
-                if len(known) > self.limit:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        known[w] = self._word(w)
-                out += map(known.__getitem__, words)
+            words = self.words(part)
+            self._learn(words)
+            out += [self.known[w] for w in words]
         return b"".join(out)
 
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the texts.
+
+        White space separates words and is dropped, so a text's ids are those of its pieces between spaces. The pieces of a batch
+        are gathered in Arrow and each distinct one is split and encoded once. Texts whose characters the library has to
+        class, and those with an added token, are encoded one by one.
+        """
+        alone = {i for i, t in enumerate(texts) if not self.plain.fullmatch(t) or (self.cut and "<|" in t and self.cut.search(t))}
+        if max(len(self.known), len(self.pieces)) > self.limit:
+            self.known.clear()
+            self.pieces.clear()
+        blobs = [self.encode(texts[i]) for i in sorted(alone)]
+        cut = pc.split_pattern(pa.array(["" if i in alone else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [p for p in distinct if p not in self.pieces]
+        found = [self.split.findall((p if p.isascii() else unicodedata.normalize("NFC", p)).lower()) for p in new]
+        self._learn(w for words in found for w in words)
+        known = self.known
+        self.pieces.update({p: b"".join([known[w] for w in words]) for p, words in zip(new, found, strict=True)})
+        # a text that is encoded alone has one empty piece, which its own entry takes the place of
+        index, bounds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), cut.offsets.to_numpy()
+        for k, i in enumerate(sorted(alone)):
+            index[bounds[i]] = len(distinct) + k
+        blobs = [*map(self.pieces.__getitem__, distinct), *blobs]
+        flat = np.frombuffer(b"".join(blobs), dtype="<u4")
+        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        own = sizes[index]
+        after = np.concatenate([[0], np.cumsum(own)])
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[index] - after[:-1], own) + np.arange(after[-1])]
+        return after[bounds], ids
+
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs, joined as the library does where a file names no decoder; ids without one are left out."""
         try:

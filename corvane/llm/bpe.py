@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .automaton import WordBpe
-from .common import as_text, documents, kind, map_rows, texts_of
+from .common import as_text, documents, held, kind, map_rows, texts_of
 from .vocab import tokenizer_path
 
 
@@ -19,12 +18,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     own, so repeated rows and ids give repeated rows; further columns are not read."""
 
     def make():
-        bpe = WordBpe(tokenizer)
+        bpe = held(("word bpe", tokenizer), lambda: WordBpe(tokenizer))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            blobs = [bpe.encode(t) for t in texts_of(batch.column(1))]
-            at = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+            at, values = bpe.encode_batch(texts_of(batch.column(1)))
+            ids = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(values.view(np.int32)))
             return pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
 
         return step
@@ -36,7 +34,7 @@ def decode_documents(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", id
     """id and ``text`` of every list of ids; a null list decodes to null."""
 
     def make():
-        bpe = WordBpe(tokenizer)
+        bpe = held(("word bpe", tokenizer), lambda: WordBpe(tokenizer))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [None if x is None else bpe.decode(x) for x in batch.column(1).to_pylist()]
@@ -54,16 +52,16 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
     """
 
     def make():
-        bpe = WordBpe(tokenizer)
+        bpe = held(("word bpe", tokenizer), lambda: WordBpe(tokenizer))
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, ids, back = [], [], []
-            for text in texts_of(batch.column(1)):
-                blob = bpe.encode(text)
-                n.append(len(blob) // 4)
-                ids.append(hashlib.sha256(blob).hexdigest())
-                back.append(hashlib.sha256(bpe.decode(array("I", blob)).encode("utf-8")).hexdigest())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, back = [], []
+            at, values = bpe.encode_batch(texts_of(batch.column(1)))
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                own = values[a:b]
+                ids.append(hashlib.sha256(own.tobytes()).hexdigest())
+                back.append(hashlib.sha256(bpe.decode(own.tolist()).encode("utf-8")).hexdigest())
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(ids), pa.array(back)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return step
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,17 +31,21 @@ TOKEN_FILE_SCHEMA = "part int, seq int, doc_id long, n_tokens int, ids array<int
 class Encoder:
     """The ids that the ``tokenizers`` library gives for a byte-level BPE file.
 
-    The library cuts a text into words by a fixed pattern and encodes each word on its own, so the ids of a text are those
-    of its words. Words are encoded by the library once and held, while at most ``limit`` are; texts whose characters
-    Python's tables might class otherwise (all but Latin ones), and texts with an added token's string, go to the
-    library whole, as do all texts if the file normalises, trains on another pattern or sets a space before texts.
+    The library cuts a text into words by a fixed pattern and encodes each word on its own. A word may begin with a space but
+    holds no other, so a text can be cut before each space that no white space follows, and its ids are those of its
+    pieces. A batch's pieces are gathered in Arrow; the library encodes each distinct one once, many to a call, and its ids
+    are held while at most ``limit`` pieces are. Texts with other runs of white space are cut into words by the
+    pattern. Texts whose characters Python's tables might class otherwise than the library's (all but Latin ones), and
+    texts with an added token's string, go to the library whole, as do all texts if the file normalises, has another
+    pattern or sets a space before texts.
     """
 
     #: The fixed pattern of byte-level pre-tokenizing, for characters of ``PLAIN``: no digits but 0-9 are among them.
     WORD = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
     PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f]*")
+    RUN = re.compile(r" \s")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -60,9 +65,9 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<i4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Have the library encode words. Those of a space and letters are joined to one text, which it cuts into them again."""
-        spaced = [w for w in words if w[0] == " " and w[1:].isalpha()]
+    def _learn(self, pieces: list[str]) -> None:
+        """Have the library encode pieces. Those that begin with a space are joined to one text, in which each space begins one."""
+        spaced = [w for w in pieces if w[0] == " " and len(w) > 1 and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace()]
         for at in range(0, len(spaced), 2000):
             part = spaced[at : at + 2000]
             ids = np.array(self.lib.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<i4")
@@ -72,25 +77,57 @@ class Encoder:
                 continue
             blob, cut = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
             self.known.update({w: blob[a:b] for w, a, b in zip(part, cut[:-1], cut[1:], strict=True)})
-        rest = list(words.difference(spaced))
+        rest = list(set(pieces).difference(spaced))
         self.known.update(zip(rest, self._whole(rest), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        plain = [i for i, t in enumerate(texts) if self.by_word and self.PLAIN.fullmatch(t) and not any(a in t for a in self.added)]
-        out: list[bytes] = [b""] * len(texts)
-        rest = sorted(set(range(len(texts))).difference(plain))
-        for i, blob in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
-            out[i] = blob
-        cut = [self.WORD.findall(texts[i]) for i in plain]
+    def _pieces(self, texts: list[str]) -> tuple[list[int], pa.Array]:
+        """The ends of the texts' pieces, and the pieces."""
+        runs = [i for i, t in enumerate(texts) if self.RUN.search(t)]
+        cut = pc.split_pattern(pc.replace_substring(pa.array(["" if i in set(runs) else t for i, t in enumerate(texts)] if runs else texts, pa.large_string()), " ", "\x01 "), "\x01")
+        if not runs:
+            return cut.offsets.to_numpy()[1:].tolist(), cut.values
+        parts, ends, at, bounds = [], [], 0, cut.offsets.to_pylist()
+        for i, t in enumerate(texts):
+            own = pa.array(self.WORD.findall(t), pa.large_string()) if i in runs else cut.values[bounds[i] : bounds[i + 1]]
+            parts.append(own)
+            at += len(own)
+            ends.append(at)
+        return ends, pa.concat_arrays(parts)
+
+    def encode_batch(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of the texts, each followed by the id ``end`` if there is one."""
+        whole = [i for i, t in enumerate(texts) if not (self.by_word and self.PLAIN.fullmatch(t)) or any(a in t for a in self.added)]
+        skip = set(whole)
+        ends, pieces = self._pieces(["" if i in skip else t for i, t in enumerate(texts)] if whole else texts)
+        coded = pieces.dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.known) > self.limit:
             self.known.clear()
-        new = {w for words in cut for w in words if w not in self.known}
+        self.known[""] = b""
+        new = [w for w in words if w not in self.known]
         if new:
             self._learn(new)
-        for i, words in zip(plain, cut, strict=True):
-            out[i] = b"".join(map(self.known.__getitem__, words))
-        return out
+        blobs = list(map(self.known.__getitem__, words))
+        # an entry more for each text that the library encodes whole, and one for the end
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        more, at = [], []
+        for i, blob in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            more.append(len(blobs))
+            at.append(ends[i])
+            blobs.append(blob)
+        index = np.insert(index, at, more) if more else index
+        ends = np.array(ends, dtype=np.int64) + np.cumsum([i in skip for i in range(len(texts))])
+        if end is not None:
+            index = np.insert(index, ends, len(blobs))
+            ends += np.arange(1, len(texts) + 1)
+            blobs.append(np.array([end], dtype="<i4").tobytes())
+        flat = np.frombuffer(b"".join(blobs), dtype="<i4")
+        sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
+        starts = np.cumsum(sizes) - sizes
+        own = sizes[index]
+        after = np.cumsum(own)
+        ids = flat[np.repeat(starts[index] - (after - own), own) + np.arange(int(after[-1]) if len(after) else 0)]
+        return np.concatenate([[0], np.concatenate([[0], after])[ends]]).astype(np.int32), ids
 
 
 def encoder(path: str) -> Encoder:
@@ -111,14 +148,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<i4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sub = batch.slice(at, 256)
-                blobs = coder.encode_batch(sub.column(1).to_pylist())
-                sizes = np.array([len(b) // 4 + 1 for b in blobs], dtype=np.int32)
-                at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(at, pa.array(np.frombuffer(end.join([*blobs, b""]), dtype="<i4")))
+            for first in range(0, batch.num_rows, 512):
+                sub = batch.slice(first, 512)
+                at, ids = coder.encode_batch(sub.column(1).to_pylist(), end_id)
+                sizes = np.diff(at)
+                lists = pa.ListArray.from_arrays(at, pa.array(ids))
                 place = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.arange(seq, seq + len(sizes), dtype=np.int32))]
                 seq += len(sizes)
                 yield pa.RecordBatch.from_arrays([*place, sub.column(0), pa.array(sizes), lists], ["part", "seq", "doc_id", "n_tokens", "ids"])

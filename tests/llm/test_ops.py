@@ -229,6 +229,8 @@ def test_automaton_accepts_just_the_merged_sequences():
                         i += 1
                 seq = out
             assert [auto.labels[i] for i in auto.encode(list(s))] == seq
+    words = ["".join(s) for n in range(1, 6) for s in itertools.product("abc", repeat=n)]
+    assert auto.encode_all(sorted(words)) == [auto.encode(list(w)) for w in sorted(words)]
     with pytest.raises(ValueError, match="two merges"):
         MergeAutomaton({**vocab_, "aba": 99}, [("a", "b"), ("ab", "a"), ("b", "a"), ("a", "ba")])
 
@@ -244,12 +246,16 @@ def test_words_encoded_once_give_the_library_ids(sf_dir, monkeypatch):
     path = vocab.tokenizer_path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
     texts = ["" if t is None else t for t in ODD_TEXT] + [r[0] or "" for r in duckdb.sql(f"SELECT text FROM '{sf_dir}/documents.parquet'").fetchall()]
-    texts += ["a" + c + "b " + c + c + "1" + c for c in map(chr, [*range(9, 14), *range(28, 0x250)])] + ["x² ¼y_z _a__ 'S'll don't'  \n\n q", " lead", "trail  ", "<|endoftext|> in it"]
+    texts += ["a" + c + "b " + c + c + "1" + c for c in map(chr, [*range(9, 14), *range(28, 0x250)])] + ["a  b", "a \n b\n\n c\n", " \n", "  ", " ", "a\u00a0 b \u00a0c", "x² ¼y_z _a__ 'S'll don't'  \n\n q", " lead", "trail  ", "<|endoftext|> in it"]
     want = [np.array(e.ids, "<i4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
     for limit in (400_000, 10):
         coder = tokens_out.Encoder(path, limit)
-        got = [b for at in range(0, len(texts), 64) for b in coder.encode_batch(texts[at : at + 64])]
-        assert got == want and coder.by_word
+        for first in range(0, len(texts), 64):
+            for end in (None, 7):
+                at, ids = coder.encode_batch(texts[first : first + 64], end)
+                got = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+                assert got == [np.frombuffer(x, "<i4").tolist() + [7] * (end == 7) for x in want[first : first + 64]]
+        assert coder.by_word
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
