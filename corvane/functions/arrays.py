@@ -33,12 +33,17 @@ def alignment_weights(length: int) -> list[list[float]]:
 
 
 def align(values: Column, length: Column) -> Column:
-    """Nine values out of thirteen by the peptide's length; null for lengths other than 8 to 13. Null counts as 0."""
-    out = F.lit(None).cast("array<double>")
-    for n in range(8, POSITIONS + 1):
-        row = [reduce(lambda a, b: a + b, [F.coalesce(F.get(values, F.lit(c)), F.lit(0.0)).cast("double") for c, w in enumerate(weights) if w]) / sum(w > 0 for w in weights) for weights in alignment_weights(n)]
-        out = F.when(length == n, F.array(*row)).otherwise(out)
-    return out
+    """Nine values out of thirteen by the peptide's length; null for lengths other than 8 to 13. Null counts as 0.
+
+    The places that each cell is the mean of are one constant map by length.
+    """
+    places = F.expr("map(" + ", ".join(f"{n}, array({', '.join(_places(n))})" for n in range(8, POSITIONS + 1)) + ")")
+    cell = lambda at: F.aggregate(at, F.lit(0.0), lambda s, i: s + F.coalesce(F.get(values, i).cast("double"), F.lit(0.0))) / F.size(at)
+    return F.transform(F.try_element_at(places, length.cast("int")), cell)
+
+
+def _places(length: int) -> list[str]:
+    return [f"array({', '.join(str(i) for i, w in enumerate(row) if w)})" for row in alignment_weights(length)]
 
 
 def mean_vector(vectors: Column) -> Column:

@@ -28,9 +28,12 @@ def with_potential(contacts: DataFrame, potentials: DataFrame, keys: tuple[str,
     return contacts.join(side, list(keys), "left").withColumn("potential", F.coalesce("potential__", F.lit(0.0))).drop("potential__")
 
 
-def complex_energies(contacts: DataFrame, peptides: DataFrame, keys: tuple[str, ...] = ("complex_id", "model_number"), round_to: int = 4) -> DataFrame:
+def complex_energies(contacts: DataFrame, peptides: DataFrame, keys: tuple[str, ...] = ("complex_id", "model_number"), round_to: int = 4, models: DataFrame | None = None) -> DataFrame:
     """One row a model: sums and counts by peptide position and in total, positions 1 to 13.
 
+    ``models`` has the keys of all models: those without a contact that counts get a row of zeros; where it isn't given, models
+    without any contact have no row.
+
     ``contacts`` have kind, potential and residue numbers; ``peptides``: complex_id, Epitope of 8 to 13 residues
     (others are left out). A contact counts if the peptide residue's number is at most the peptide's length. Energies
     are rounded only at the end.
@@ -49,6 +52,9 @@ def complex_energies(contacts: DataFrame, peptides: DataFrame, keys: tuple[str,
     mhc = F.col("kind") == "tcr_mhc"
     out += [F.sum(F.when(mhc, F.col("potential"))).alias("e_tcr_mhc"), F.count_if(mhc).alias("c_tcr_mhc")]
     got = rows.groupBy(*keys, "Epitope").agg(*out)
+    if models is not None:
+        every = models.select(*keys).distinct().join(lookup_side(length.drop("length")), "complex_id")
+        got = every.join(got, [*keys, "Epitope"], "left").fillna(0, [c for c in got.columns if c.startswith("c_")])
     return got.select(*[F.round(F.coalesce(F.col(c), F.lit(0.0)), round_to).alias(c) if c.startswith("e_") else F.col(c) for c in got.columns])
 
 
@@ -62,6 +68,11 @@ def structural_features(energies: DataFrame, length_col: str = "Epitope") -> Dat
     df = df.select("*", *[F.get(f"{s}_aligned", F.lit(i)).alias(n.format(i + 1) + "_aln") for n, s in names for i in range(9)]).drop(*[f"{s}_aligned" for _, s in names])
     df = df.select("*", *[ratio(F.col(f"e_tcr_p{i}_aln"), F.col(f"c_tcr_p{i}_aln")).alias(f"ratio_{i}") for i in range(1, 10)],
                    *[ratio(F.col(f"e_pmhc_p{i}_aln"), F.col(f"c_pmhc_p{i}_aln")).alias(f"ratio_pmhc_{i}") for i in range(1, 10)], ratio(F.col("e_tcr_mhc"), F.col("c_tcr_mhc")).alias("ratio_mhc"))
+    total = lambda p: sum_skip_null([F.col(f"{p}{i}_aln") for i in range(1, 10)])
+    df = df.withColumn("e_pmhc_p_all", total("e_pmhc_p")).withColumn("c_pmhc_p_all", total("c_pmhc_p"))
+    df = df.withColumn("ratio_pmhc_total", ratio(F.col("e_pmhc_p_all"), F.col("c_pmhc_p_all")))
+    if {"e_tcr_p_all", "c_tcr_p_all"} <= set(df.columns):
+        df = df.withColumn("ratio_tcrp_total", ratio(F.col("e_tcr_p_all"), F.col("c_tcr_p_all")))
     return df.withColumn("e_total", sum_skip_null([F.col(f"e_tcr_p{i}_aln") for i in range(1, 10)])).withColumn("c_total", sum_skip_null([F.col(f"c_tcr_p{i}_aln") for i in range(1, 10)]))
 
 

@@ -33,14 +33,14 @@ class Thresholds:
         return out
 
 
-#: The production cutoffs of candidate filtering. Ranks and percentiles are better when low.
+#: The production cutoffs of candidate filtering. Ranks, percentiles and binding energies are better when low.
 PMHC = Thresholds(
     {"NetCleave": {"strong": 0.6}, "mhcflurry_pres": {"strong": 1.0, "weak": 2.0}, "mhcflurry_proc": {"strong": 1.0, "weak": 2.0}, "NOAH": {"strong": -5.0, "weak": -1.0},
      "PredIG": {"strong": 0.19}, "EL_rank": {"strong": 0.5, "weak": 2.0}, "mhcflurry_aff": {"strong": 1.0, "weak": 2.0}, "BA_rank": {"strong": 0.5, "weak": 2.0}},
-    frozenset({"mhcflurry_pres", "mhcflurry_proc", "EL_rank", "mhcflurry_aff", "BA_rank"}),
+    frozenset({"mhcflurry_pres", "mhcflurry_proc", "NOAH", "EL_rank", "mhcflurry_aff", "BA_rank"}),
     {"mhcflurry_pres": "mhcflurry_presentation_percentile", "mhcflurry_proc": "mhcflurry_processing_percentile", "mhcflurry_aff": "mhcflurry_affinity_percentile"},
 )
-#: What a missing score counts as: it passes.
+#: What a missing score counts as, so that it passes.
 PMHC_MISSING = {"EL_rank": 0.0, "BA_rank": 0.0, "mhcflurry_affinity_percentile": 0.0, "mhcflurry_presentation_percentile": 0.0, "mhcflurry_processing_percentile": 0.0, "NOAH": -10.0, "NetCleave": 1.0, "PredIG": 1.0}
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import d0, d0_of_residue, pdockq, pdockq2, ptm
+from .joins import lookup_side
 from .spatial import XYZ, radius_join, side
 
 #: Descending thresholds of the score, and the share of right models at each.
@@ -56,29 +57,35 @@ def ipsae(pairs: DataFrame, lengths: DataFrame, keys: list[str] | None = None, c
 
     ``pairs`` has a row for each ordered pair of residues of two chains: keys, chain1, i, chain2, j, pae, and dist if
     interface residues are wanted. ``lengths``: keys, chain, length. Per residue i, four means over j; a score is the
-    largest mean, and ``n0res``, ``d0res``, ``best`` are those of the first residue that has it. Two grouped
-    aggregations by (pair, residue) and (pair); pairs of a model needn't be in one task.
+    largest mean, and ``n0res``, ``d0res``, ``best`` are those of the first residue that has it.
+
+    Residue pairs are shuffled once, by chain pair: what is counted by residue and by pair are windows over that
+    dealing, so nothing is joined back. A residue counts once by the row of its first partner that passes.
     """
     keys = keys or []
     pair = [*keys, "chain1", "chain2"]
-    valid = F.col("pae") < cutoff
-    size = lengths.select(*keys, F.col("chain").alias("chain1"), F.col("length").alias("len1"))
-    other = lengths.select(*keys, F.col("chain").alias("chain2"), F.col("length").alias("len2"))
-    counts = [F.count_distinct(F.when(valid, F.col("i"))).alias("nres1"), F.count_distinct(F.when(valid, F.col("j"))).alias("nres2")]
+    by_pair, by_i, by_j = Window.partitionBy(*pair), Window.partitionBy(*pair, "i"), Window.partitionBy(*pair, "j")
+    size = lambda n: lengths.select(*keys, F.col("chain").alias(f"chain{n}"), F.col("length").alias(f"len{n}"))
+    marks = {"nres": F.col("pae") < cutoff}
     if "dist" in pairs.columns:
-        near = valid & (F.col("dist") < distance)
-        counts += [F.count_distinct(F.when(near, F.col("i"))).alias("dist1"), F.count_distinct(F.when(near, F.col("j"))).alias("dist2")]
-    dom = pairs.groupBy(*pair).agg(*counts)
-    dom = dom.join(size, [*keys, "chain1"]).join(other, [*keys, "chain2"]).withColumn("n0chn", F.col("len1") + F.col("len2")).withColumn("n0dom", F.col("nres1") + F.col("nres2"))
-    dom = dom.withColumn("d0chn", d0(F.col("n0chn"))).withColumn("d0dom", d0(F.col("n0dom")))
-    rows = pairs.join(dom.select(*pair, "d0chn", "d0dom"), pair)
-    res = pairs.where(valid).groupBy(*pair, "i").agg(F.count("*").alias("n0res"))
-    rows = rows.join(res, [*pair, "i"], "left").withColumn("n0res", F.coalesce("n0res", F.lit(0))).withColumn("d0res", d0_of_residue(F.col("n0res")))
+        marks["dist"] = marks["nres"] & (F.col("dist") < distance)
+    rows = pairs.repartition(*pair)
+    for name, ok in marks.items():
+        once = lambda other, own, ok=ok: ok & (F.col(other) == F.min(F.when(ok, F.col(other))).over(own))
+        rows = rows.withColumn(f"{name}_i", once("j", by_i).cast("int")).withColumn(f"{name}_j", once("i", by_j).cast("int"))
+    valid = marks["nres"]
+    rows = rows.withColumn("n0res", F.sum(F.when(valid, 1).otherwise(0)).over(by_i))
+    counted = [F.coalesce(F.sum(f"{name}_{side}").over(by_pair), F.lit(0)).alias(f"{name}{n}") for name in marks for n, side in ((1, "i"), (2, "j"))]
+    rows = rows.select(*pair, "i", "pae", "n0res", *counted).join(lookup_side(size(1)), [*keys, "chain1"]).join(lookup_side(size(2)), [*keys, "chain2"])
+    rows = rows.withColumn("n0chn", F.col("len1") + F.col("len2")).withColumn("n0dom", F.col("nres1") + F.col("nres2"))
+    scales = {"d0chn": d0(F.col("n0chn")), "d0dom": d0(F.col("n0dom")), "d0res": d0_of_residue(F.col("n0res"))}
+    own = ["n0chn", "n0dom", "d0chn", "d0dom", *[f"{name}{n}" for name in marks for n in (1, 2)]]
+    rows = rows.withColumns(scales)
     mean = lambda scale, ok: F.coalesce(F.avg(F.when(ok, ptm(F.col("pae"), F.col(scale)))), F.lit(0.0))
-    by = rows.groupBy(*pair, "i", "n0res", "d0res").agg(mean("d0chn", F.lit(True)).alias("iptm"), mean("d0chn", valid).alias("chn"), mean("d0dom", valid).alias("dom"), mean("d0res", valid).alias("res"))
+    by = rows.groupBy(*pair, "i").agg(F.first("n0res").alias("n0res"), F.first("d0res").alias("d0res"), *[F.first(c).alias(c) for c in own], mean("d0chn", F.lit(True)).alias("iptm"), mean("d0chn", valid).alias("chn"), mean("d0dom", valid).alias("dom"), mean("d0res", valid).alias("res"))
     first = F.max_by(F.struct("i", "n0res", "d0res"), F.struct("res", -F.col("i")))
-    best = by.groupBy(*pair).agg(F.max("res").alias("ipSAE"), F.max("chn").alias("ipSAE_d0chn"), F.max("dom").alias("ipSAE_d0dom"), F.max("iptm").alias("ipTM_d0chn"), first.alias("first"))
-    return best.select(*pair, "ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn", F.col("first.i").alias("best"), F.col("first.n0res").alias("n0res"), F.col("first.d0res").alias("d0res")).join(dom.drop("len1", "len2"), pair)
+    best = by.groupBy(*pair).agg(F.max("res").alias("ipSAE"), F.max("chn").alias("ipSAE_d0chn"), F.max("dom").alias("ipSAE_d0dom"), F.max("iptm").alias("ipTM_d0chn"), first.alias("first"), *[F.first(c).alias(c) for c in own])
+    return best.select(*pair, "ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn", F.col("first.i").alias("best"), F.col("first.n0res").alias("n0res"), F.col("first.d0res").alias("d0res"), *own)
 
 
 def symmetric_max(scores: DataFrame, keys: list[str], score: str, carry: list[str]) -> DataFrame:
@@ -128,3 +135,77 @@ def summary_means(summary: DataFrame, chains: int = 5) -> DataFrame:
     cells = ((0, 3), (0, 4), (2, 3), (2, 4)) if chains == 5 else ((0, 2), (0, 3), (2, 2), (2, 3))
     cell = [F.get(F.get("chain_pair_iptm", F.lit(i)), F.lit(j)) for i, j in cells]
     return summary.withColumn("iptm_mean", mean(F.col("chain_iptm"))).withColumn("ptm_mean", mean(F.col("chain_ptm"))).withColumn("iptm_tcrpmhc", reduce(lambda a, b: a + b, cell) / 4)
+
+
+def residue_contacts(residues: DataFrame, keys: list[str], radius: float = 8.0, coords: tuple[str, ...] = XYZ) -> DataFrame:
+    """Ordered pairs of residues of different chains in contact: by CA where both have one, else by CB where both do.
+
+    ``residues``: keys, chain, token, and ``<atom>_x``, ``_y``, ``_z``, ``_b`` of the atoms ca and cb, null where there is none.
+    Gives keys, chain_from, token_from, b_from (of the atom that counts), chain_to, token_to, atom.
+    """
+    has = lambda atom: F.col(f"{atom}_{coords[0]}").isNotNull()
+    out = []
+    for atom in ("ca", "cb"):
+        own = residues.where(has(atom)).select(*keys, "chain", "token", has("ca").alias("has_ca"), F.col(f"{atom}_b").alias("b"), *[F.col(f"{atom}_{c}").alias(c) for c in coords])
+        columns = ["chain", "token", "has_ca", "b", *coords]
+        near = radius_join(side(own, "from", keys, columns), side(own, "to", keys, columns), keys, radius, coords).where("chain_from <> chain_to")
+        near = near if atom == "ca" else near.where("not (has_ca_from and has_ca_to)")
+        out.append(near.select(*keys, "chain_from", "token_from", "b_from", "chain_to", "token_to", F.lit(atom).alias("atom")))
+    return out[0].unionByName(out[1])
+
+
+def chain_confidence(residues: DataFrame, matrices: DataFrame, keys: list[str], radius: float = 8.0, coords: tuple[str, ...] = XYZ, pae: str = "pae", pde: str = "contact_probs") -> DataFrame:
+    """Per chain: if_plddt, avgipae, avgipde and pdockq2 of its contacts with the other chains; 0 without contacts.
+
+    The pLDDT counts the source residue once a pair. The matrices' cells are those of the pairs in contact by CA. Matrices have one
+    row a model and aren't expanded: the few pairs of a chain are gathered and looked up in them. ``token`` is the place in the matrix from 0.
+    """
+    near = residue_contacts(residues, keys, radius, coords)
+    chain = [*keys, F.col("chain_from").alias("chain")]
+    cells = F.collect_list(F.when(F.col("atom") == "ca", F.struct("token_from", "token_to")))
+    got = near.groupBy(*chain).agg(F.avg("b_from").alias("if_plddt"), cells.alias("cells")).join(matrices.select(*keys, F.col(pae).alias("pae__"), F.col(pde).alias("pde__")), keys, "left")
+    mean = lambda m, f: F.aggregate(F.transform("cells", lambda c: f(F.get(F.get(m, c["token_from"]), c["token_to"]))), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("cells"), F.lit(0))
+    got = got.select(*keys, "chain", "if_plddt", mean("pae__", lambda x: ptm(x, F.lit(10.0))).alias("avgipae"), mean("pde__", lambda x: x).alias("avgipde"))
+    every = residues.select(*keys, "chain").distinct().join(got, [*keys, "chain"], "left").fillna(0.0, ["if_plddt", "avgipae", "avgipde"])
+    return every.withColumn("pdockq2", pdockq2(F.col("avgipae"), F.col("if_plddt")))
+
+
+def region_plddt(atoms: DataFrame, regions: DataFrame, keys: list[str], out: str = "plddt") -> DataFrame:
+    """keys, region and the mean b of the atoms of its residues. ``regions``: keys, chain, res_seq, aa, region; atoms have these but
+    the region. A residue is known by number and letter; a region none of whose residues is there has no row."""
+    own = [*keys, "chain", "res_seq", "aa"]
+    return atoms.join(regions.select(*own, "region").distinct(), own).groupBy(*keys, "region").agg(F.avg("b").alias(out))
+
+
+def region_score(points: DataFrame, regions: DataFrame, keys: list[str], alpha: list[str], beta: list[str]) -> DataFrame:
+    """keys and cdrs_peptide_plddt: the mean over two chains' loops, each with the peptide, from CA alone.
+
+    ``points``: keys, chain, at (place in the chain from 0) and b of CA, null where a residue has none; ``regions``: keys, chain, first,
+    after, region. A residue without CA makes the score null, a region that isn't found counts for nothing.
+    """
+    rows = points.join(regions, [*keys, "chain"]).where("at >= first and at < after")
+    whole = rows.withColumn("b", F.col("b").cast("double"))
+    one = lambda parts: F.when(F.count_if(F.col("region").isin(*parts) & F.col("b").isNull()) == 0, (F.sum(F.when(F.col("region").isin(*parts), F.col("b"))) + 1e-6) / F.count_if(F.col("region").isin(*parts)) * 0.01)
+    return whole.groupBy(*keys).agg(((one(alpha) + one(beta)) / 2).alias("cdrs_peptide_plddt"))
+
+
+def interface_means(scores: DataFrame, keys: list[str], columns: list[str], interfaces: tuple[str, ...] = ("A_D", "A_E", "C_D", "C_E")) -> DataFrame:
+    """Per model, the sum of each column over the listed chain pairs (``chain_a``_``chain_b``) by their number, absent ones counting 0."""
+    own = F.concat_ws("_", "chain_a", "chain_b").isin(*interfaces)
+    return scores.groupBy(*keys).agg(*[(F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0.0)) / len(interfaces)).alias(c) for c in columns])
+
+
+#: The columns of the chain-pair report, with the format of each.
+REPORT = [("Chn1", "%-4s"), ("Chn2", "%-4s"), ("PAE", "%3s"), ("Dist", "%3s"), ("Type", "%5s"), ("ipSAE", "%8.6f"), ("ipSAE_d0chn", "%8.6f"), ("ipSAE_d0dom", "%8.6f"), ("ipTM_af", "%5.3f"), ("ipTM_d0chn", "%8.6f"), ("pDockQ", "%8.4f"),
+          ("pDockQ2", "%8.4f"), ("LIS", "%8.4f"), ("n0res", "%5d"), ("n0chn", "%5d"), ("n0dom", "%5d"), ("d0res", "%6.2f"), ("d0chn", "%6.2f"), ("d0dom", "%6.2f"), ("nres1", "%5d"), ("nres2", "%5d"), ("dist1", "%5d"), ("dist2", "%5d"), ("Model", "%s")]
+
+
+def report_lines(scores: DataFrame) -> DataFrame:
+    """Model, line: the chain-pair report's rows as text, with the columns of ``REPORT``, set apart by spaces; nulls are empty counts of 0."""
+    filled = [F.coalesce(F.col(c), F.lit("" if f.endswith("s") else 0)) for c, f in REPORT]
+    filled = [v.cast("int") if f.endswith("d") else v.cast("double") if f.endswith("f") else v.cast("string") for v, (_, f) in zip(filled, REPORT, strict=True)]
+    return scores.select("Model", "Chn1", "Chn2", "Type", F.format_string("  ".join(f for _, f in REPORT), *filled).alias("line"))
+
+
+def report_header() -> str:
+    return "  ".join(c for c, _ in REPORT)

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A lookup side is broadcast if it is known to have at most so many rows.
-LOOKUP_ROWS = 500_000
+#: A lookup side is broadcast if it has at most so many bytes; it is measured only up to so many rows.
+LOOKUP_BYTES, LOOKUP_ROWS = 32 << 20, 500_000
 
 
-def lookup_side(df: DataFrame, rows: int = LOOKUP_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count says that it is small; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def lookup_side(df: DataFrame, most: int = LOOKUP_BYTES, rows: int = LOOKUP_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; else as it is, for a shuffled join.
+
+    The planner's estimate decides where it is low enough. It is far too high after joins and aggregations, so else
+    up to ``rows`` rows are measured.
+    """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most:
+        return F.broadcast(df)
+    size = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if size.n <= rows and size.bytes <= most else df
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -105,14 +113,17 @@ def mapping_report(names: DataFrame, mapping: DataFrame, key: str, required: lis
     return joined.select(key, missing.alias("missing"), (~missing & lacks).alias("incomplete"))
 
 
+#: How a complex' name becomes its key in a chain mapping, by the mode's name in configurations.
+KEY_MODES: dict[str, Callable[[Column], Column]] = {
+    "exact": lambda c: c,
+    "first4": lambda c: F.substring(c, 1, 4),
+    "prefix_before_underscore": lambda c: F.substring_index(c, "_", 1),
+}
+
+
 def mapping_key(name: Column, mode: str = "exact") -> Column:
-    if mode == "exact":
-        return name
-    if mode == "prefix_before_underscore":
-        return F.substring_index(name, "_", 1)
-    if mode == "first4":
-        return F.substring(name, 1, 4)
-    raise ValueError(f"unknown key mode {mode!r}")
+    """The key of a name; KeyError for a mode that isn't among ``KEY_MODES``."""
+    return KEY_MODES[mode](name)
 
 
 def reject_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -60,11 +60,28 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return similarity(a, b)
 
 
+#: Blocks that a panel is cut into where it is too large to be broadcast.
+BLOCKS = 64
+
+
+def with_panel(queries: DataFrame, panel: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """Each query with each row of a reference panel, as statistics over a whole panel need.
+
+    A panel of small size is broadcast. Another one is cut into blocks by a hash of its rows and each query goes to every block by
+    an equi-join, so that no task has more than its share of the panel.
+    """
+    small = lookup_side(panel)
+    if small is not panel:
+        return queries.crossJoin(small)
+    x = queries.withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return x.join(panel.withColumn("block__", F.pmod(F.xxhash64(*panel.columns), F.lit(blocks)).cast("int")), "block__").drop("block__")
+
+
 def reference_stats(queries: DataFrame, references: DataFrame, value: str, ref_value: str, prefix: str, score=edit_similarity) -> DataFrame:
     """``value``, and min, weighted mean and max of its score over all reference rows (``prefix``_min ...)."""
     q = queries.where(F.col(value).isNotNull()).select(F.col(value).alias("q__")).distinct()
     r = references.where(F.col(ref_value).isNotNull()).groupBy(F.col(ref_value).alias("r__")).agg(F.count("*").alias("w__"))
-    pairs = q.crossJoin(lookup_side(r)).withColumn("s__", score(F.col("q__"), F.col("r__")))  # the panel is fixed
+    pairs = with_panel(q, r).withColumn("s__", score(F.col("q__"), F.col("r__")))
     return weighted_stats(pairs, ["q__"], "s__", "w__", prefix).withColumnRenamed("q__", value)
 
 
@@ -76,9 +93,78 @@ def blocked_stats(queries: DataFrame, references: DataFrame, keys: list[str], sc
     """Statistics of a pair kernel over all references, by query. ``score`` maps a DataFrame of (query, reference) pairs to one with
     the metric columns; ``metrics``: column and its best (``min`` or ``max``). Queries are cut into blocks that meet the
     fixed panel of references; partial statistics are made before the shuffle."""
-    pairs = queries.withColumn("block__", F.pmod(F.xxhash64(*keys), F.lit(block))).repartition("block__").crossJoin(lookup_side(references))
+    pairs = with_panel(queries.withColumn("block__", F.pmod(F.xxhash64(*keys), F.lit(block))).repartition("block__").drop("block__"), references)
     scored = score(pairs)
     out = []
     for m, best in metrics.items():
         out += [(F.min if best == "min" else F.max)(m).alias(f"{m}_{best}"), F.avg(m).alias(f"{m}_mean")]
     return scored.groupBy(*keys).agg(*out)
+
+
+#: The six loops whose distances are summed, and the constants that a distance table's kernel wants beside them.
+REGIONS = ("CDR1a", "CDR2a", "CDR3a", "CDR1b", "CDR2b", "CDR3b")
+CONSTANTS = {"count": 1, "pmhc_a_aa": "AAAAA", "pmhc_b_aa": "AAAAA"}
+
+
+def receptor_table(df: DataFrame, regions: tuple[str, ...] = REGIONS) -> DataFrame:
+    """tcr_id and the loops of receptors that have them all, one row an id (the smallest of several), with the constants."""
+    own = df.dropna(subset=list(regions)).groupBy("tcr_id").agg(F.min(F.struct(*regions)).alias("r")).select("tcr_id", "r.*")
+    return own.select("*", *[F.lit(v).alias(c) for c, v in CONSTANTS.items()])
+
+
+def region_distance(a: Column, b: Column) -> Column:
+    """A plain kernel: the number of edits between two loops."""
+    return F.levenshtein(a, b).cast("double")
+
+
+def loop_distances(queries: DataFrame, references: DataFrame, kernel=region_distance, regions: tuple[str, ...] = REGIONS, prefix: str = "tcrdist") -> DataFrame:
+    """tcr_id, and min, mean and max over all references of each region's distance and of their sum (``all``).
+
+    ``kernel`` maps two loop columns to a distance, null where there is none. Regions are scored once for each pair of distinct loops:
+    the panel's and the queries' loops are reduced to distinct values with their multiplicity. The sum needs whole receptors.
+    """
+    out = queries.select("tcr_id", *regions)
+    for r in regions:
+        out = out.join(reference_stats(queries, references, r, r, f"{prefix}_{r}", kernel), r, "left")
+    total = None
+    for r in regions:
+        d = F.coalesce(kernel(F.col(r), F.col(f"ref_{r}")), F.lit(0.0))
+        total = d if total is None else total + d
+    panel = references.groupBy(*[F.col(r).alias(f"ref_{r}") for r in regions]).agg(F.count("*").alias("w__"))
+    pairs = with_panel(queries.select("tcr_id", *regions), panel).withColumn("s__", total)
+    return out.drop(*regions).join(weighted_stats(pairs, ["tcr_id"], "s__", "w__", f"{prefix}_all"), "tcr_id", "left")
+
+
+def structure_stats(models: DataFrame, natives: DataFrame, metrics: dict[str, str] | None = None) -> DataFrame:
+    """The similarity of every model to a panel of reference structures: best and mean of DockQ, iRMSD, LRMSD, fnat and clashes.
+
+    ``models`` and ``natives``: complex_id, model_number, and atoms, an array of (chain, res_seq, atom_name, x, y, z) of the merged
+    structure, so that a pair is one row. Pairs are scored in Arrow batches as they are made; pairs that can't be
+    compared have no scores and don't count.
+    """
+    import pandas as pd
+
+    from .structure import compare
+
+    metrics = metrics or {"DockQ": "max", "iRMSD": "min", "LRMSD": "min", "Fnat": "max", "clashes": "min"}
+    kind = "complex_id string, model_number int, DockQ double, iRMSD double, LRMSD double, Fnat double, clashes double"
+
+    def score(pairs: DataFrame) -> DataFrame:
+        def run(batches):
+            for df in batches:
+                rows = []
+                for cid, number, a, b in zip(df["complex_id"], df["model_number"], df["atoms"], df["ref_atoms"], strict=True):
+                    found = compare(pd.DataFrame(list(a)), pd.DataFrame(list(b))) if len(a) and len(b) else (None,) * 5
+                    rows.append((cid, number, *[None if v is None or v != v else float(v) for v in found]))
+                yield pd.DataFrame(rows, columns=["complex_id", "model_number", "DockQ", "iRMSD", "LRMSD", "Fnat", "clashes"])
+
+        return pairs.select("complex_id", "model_number", "atoms", "ref_atoms").mapInPandas(run, kind)
+
+    refs = natives.select(F.concat_ws("_", "complex_id", "model_number").alias("ref_id"), F.col("atoms").alias("ref_atoms"))
+    return blocked_stats(models.select("complex_id", "model_number", "atoms"), refs, ["complex_id", "model_number"], score, metrics)
+
+
+def packed_structures(atoms: DataFrame) -> DataFrame:
+    """complex_id, model_number, atoms: one row a merged structure, as ``structure_stats`` takes it."""
+    one = F.struct("chain", "res_seq", "atom_name", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")])
+    return atoms.groupBy("complex_id", "model_number").agg(F.array_sort(F.collect_list(one)).alias("atoms"))

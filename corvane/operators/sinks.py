@@ -78,3 +78,43 @@ def dead_letters(df: DataFrame, key: str, checks: dict[str, Column]) -> tuple[Da
     error = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()])
     rows = df.withColumn("error__", error)
     return rows.where("error__ is null").drop("error__"), rows.where("error__ is not null").select(F.col(key).cast("string").alias("key"), F.col("error__").alias("error"))
+
+
+def write_structures(lines: DataFrame, path: str) -> None:
+    """Structures as text, from (complex_id, model_number, ord, line): one folder a model, its lines in order.
+
+    Models are dealt whole to tasks and sorted there. Spark's commit makes a model's file visible when it is whole.
+    """
+    rows = lines.repartition("complex_id", "model_number").sortWithinPartitions("complex_id", "model_number", "ord")
+    rows.select("complex_id", "model_number", F.col("line").alias("value")).write.mode("overwrite").partitionBy("complex_id", "model_number").text(path)
+
+
+def write_reports(lines: DataFrame, header: str, path: str) -> None:
+    """Chain-pair reports as text, from (Model, Chn1, Chn2, Type, line): one folder a model, a header first, the larger of two
+    directions after both."""
+    low, high = F.least("Chn1", "Chn2"), F.greatest("Chn1", "Chn2")
+    rows = lines.select("Model", low.alias("a"), high.alias("b"), (F.col("Type") == "max").cast("int").alias("k"), "Chn1", "line")
+    heads = lines.select("Model").distinct().select("Model", F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0).alias("k"), F.lit("").alias("Chn1"), F.lit(header).alias("line"))
+    both = heads.unionByName(rows).repartition("Model").sortWithinPartitions("Model", "a", "b", "k", "Chn1")
+    both.select("Model", F.col("line").alias("value")).write.mode("overwrite").partitionBy("Model").text(path)
+
+
+def output_paths(files: DataFrame, folder: str) -> DataFrame:
+    """path, target: where each file goes in one flat folder, under its own name; of equal names the first path counts."""
+    from .joins import first_of
+
+    rows = files.withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1)).where("name <> ''")
+    return first_of(rows, ["name"], [F.col("path")]).select("path", F.concat(F.lit(folder.rstrip("/") + "/"), "name").alias("target"))
+
+
+def counted(df: DataFrame, name: str):
+    """(``df``, observation): the number of its rows is known as ``rows`` once any action has run over it, without a pass of its own."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def sorted_export(df: DataFrame, by: list[str], folder: str) -> None:
+    """One CSV table sorted by columns, for reports whose rows are read in order."""
+    df.repartitionByRange(1, *by).sortWithinPartitions(*by).write.mode("overwrite").option("header", True).csv(folder)

@@ -196,6 +196,7 @@ def compare_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def chain_kind(atoms: DataFrame) -> DataFrame:
     """complex_id, chain, kind: ``nucleic`` if any residue is a nucleotide, else ``protein``."""
+    # Residue names of nucleotides.
     nucleotides = ["DA", "DC", "DT", "DG", "A", "C", "U", "G"]
     return atoms.groupBy("complex_id", "chain").agg(F.when(F.bool_or(F.col("res_name").isin(nucleotides)), "nucleic").otherwise("protein").alias("kind"))
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import pmhc_key
 from ..functions.sequences import normal_allele, predictor_allele, two_fields
-from ..operators import aggregates, embeddings, energies, filters, interface, joins, ml, sets, sinks, spatial, structure, windows
+from ..operators import aggregates, embeddings, energies, filters, interface, joins, ml, sets, similarity, sinks, spatial, structure, windows
 from ..schemas import METRICS, require
 
 
@@ -91,7 +91,7 @@ def structural_table(atoms: DataFrame, roles: DataFrame, potentials: DataFrame,
     contacts = energies.contact_kinds(spatial.contact_map(atoms, roles, contact), energy_distance)
     scored = energies.with_potential(contacts, potentials)
     peptides = metadata.select(F.col("tcr_id").alias("complex_id"), "Epitope").dropna().distinct()
-    per_model = energies.complex_energies(scored, peptides).withColumnRenamed("complex_id", "tcr_id")
+    per_model = energies.complex_energies(scored, peptides, models=atoms.select("complex_id", "model_number")).withColumnRenamed("complex_id", "tcr_id")
     return energies.merge_energies(per_model, docking, metadata.drop("Epitope"))
 
 
@@ -170,6 +170,77 @@ def confidence(atoms: DataFrame, summaries: DataFrame, roles: DataFrame) -> Data
     return plddt.join(dock, keys, "left").withColumn("pdockq", F.coalesce("pdockq", F.lit(0.0))).join(means, keys, "left").join(touch, keys, "left")
 
 
+def quality_table(atoms: DataFrame, roles: DataFrame, loop_residues: DataFrame, confidences: DataFrame, summaries: DataFrame, seeds: DataFrame | None = None, cutoff: float = 10.0) -> DataFrame:
+    """All quality metrics of every model, from its atoms, roles, numbered loops and confidences.
+
+    ``atoms``: the (trimmed) atoms; ``loop_residues``: keys, chain, res_seq, aa, region (``cdr1a`` to ``cdr3b``) as numbering and
+    its alignment to the structure give them; ``confidences``: keys, pae, contact_probs, matrices over the residues of
+    the atoms in their order; ``summaries``: keys and the summary confidences; ``seeds``: keys, seed.
+    """
+    keys = structure.MODEL
+    res = structure.residues(atoms)
+    lettered = atoms.where("record = 'ATOM'").join(res.select(*keys, "chain", "res_seq", "icode", "aa").withColumnRenamed("icode", "ic__"), [*keys, "chain", "res_seq"]).where(F.col("icode").eqNullSafe(F.col("ic__")))
+    by_region = interface.region_plddt(lettered, loop_residues, keys)
+    names = [f"cdr{n}{side}" for n in (1, 2, 3) for side in "ab"]
+    loops_ = by_region.groupBy(*keys).agg(*[F.max(F.when(F.col("region") == n, F.col("plddt"))).alias(f"{n}_plddt") for n in names])
+    peptide = atoms.join(roles.where("role = 'peptide'"), ["complex_id", "chain"]).groupBy(*keys).agg(F.avg("b").alias("peptide_plddt"))
+
+    # places in chains from 0, and in the matrix in the order of the file
+    order = Window.partitionBy(*keys, "chain").orderBy("ord")
+    ca = lettered.groupBy(*keys, "chain", "res_seq", "icode").agg(F.min("ord").alias("ord"), F.first("aa").alias("aa"), F.max(F.when(F.col("atom_name") == "CA", F.col("b"))).alias("b"))
+    places = ca.withColumn("at", F.row_number().over(order) - 1).withColumn("token", F.row_number().over(Window.partitionBy(*keys).orderBy("ord")) - 1)
+    spans = places.join(loop_residues.select(*keys, "chain", "res_seq", "aa", "region").distinct(), [*keys, "chain", "res_seq", "aa"]).groupBy(*keys, "chain", "region").agg(F.min("at").alias("first"), (F.max("at") + 1).alias("after"))
+    whole = places.join(roles.where("role = 'peptide'").select("complex_id", "chain"), ["complex_id", "chain"]).groupBy(*keys, "chain").agg(F.lit(0).alias("first"), F.count("*").alias("after")).withColumn("region", F.lit("peptide"))
+    score = interface.region_score(places, spans.unionByName(whole), keys, [*names[0::2], "peptide"], [*names[1::2], "peptide"])
+
+    tokens = places.select(*keys, "chain", F.col("at").alias("residue"), "token")
+    sides = _sides(atoms, roles, places, keys)
+    chains = interface.chain_confidence(sides, confidences, keys)
+    per_side = chains.groupBy(*keys).agg(*[F.max(F.when(F.col("chain") == side, F.col(c))).alias(f"{c}_{side.lower()}") for c in ("avgipde", "avgipae", "pdockq2") for side in "AB"])
+
+    pairs = interface.matrix_pairs(confidences, tokens, keys)
+    lengths = tokens.groupBy(*keys, "chain").agg(F.count("*").alias("length"))
+    own = interface.ipsae(pairs, lengths, keys, cutoff)
+    pair_scores = None
+    for c in ("ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn"):
+        one = interface.symmetric_max(own, keys, c, [])
+        pair_scores = one if pair_scores is None else pair_scores.join(one, [*keys, "chain_a", "chain_b"])
+    low, high = F.least("chain1", "chain2").alias("chain_a"), F.greatest("chain1", "chain2").alias("chain_b")
+    lis = interface.lis(pairs, [*keys, "chain1", "chain2"]).select(*keys, low, high, "LIS").groupBy(*keys, "chain_a", "chain_b").agg(F.avg("LIS").alias("LIS"))
+    means = interface.interface_means(pair_scores.join(lis, [*keys, "chain_a", "chain_b"]), keys, ["ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn", "LIS"])
+    means = means.toDF(*keys, "ipsae", "ipsae_d0chn", "ipsae_d0dom", "iptm_d0chn", "lis")
+
+    parts = [confidence(atoms, summaries, roles), loops_, peptide, score, per_side, means, *([seeds] if seeds is not None else [])]
+    return quality_metrics([p.withColumnRenamed("complex_id", "tcr_id") for p in parts])
+
+
+def _sides(atoms: DataFrame, roles: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a residue of the two merged sides: chain (A or B), token, and the place and b of its CA and CB."""
+    table = F.create_map(*[F.lit(x) for kv in structure.SIDES.items() for x in kv])
+    rows = atoms.where("record = 'ATOM' and atom_name in ('CA', 'CB')").join(roles, ["complex_id", "chain"]).withColumn("side", F.try_element_at(table, F.col("role"))).where("side is not null")
+    at = places.select(*keys, "chain", "res_seq", F.col("icode").alias("ic__"), "token")
+    rows = rows.join(at, [*keys, "chain", "res_seq"]).where(F.col("icode").eqNullSafe(F.col("ic__")))
+    own = [F.max(F.when(F.col("atom_name") == a.upper(), F.col(c).cast("double"))).alias(f"{a}_{c}") for a in ("ca", "cb") for c in (*spatial.XYZ, "b")]
+    return rows.groupBy(*keys, F.col("side").alias("chain"), "token").agg(*own)
+
+
+def structure_similarity(models: DataFrame, model_roles: DataFrame, natives: DataFrame, native_roles: DataFrame) -> DataFrame:
+    """Best and mean similarity of every model's merged structure to a panel of reference structures."""
+    packed = lambda atoms, roles: similarity.packed_structures(structure.merge_chains(atoms, roles))
+    return similarity.structure_stats(packed(models, model_roles), packed(natives, native_roles)).withColumnRenamed("complex_id", "tcr_id")
+
+
+def sequence_similarity(queries: DataFrame, references: DataFrame, kernel=similarity.region_distance) -> DataFrame:
+    """tcr_id, the loops' distances, and the similarity of MHC sequence (local alignment) and peptide (edits) to a panel of receptors."""
+    own, panel = similarity.receptor_table(queries), similarity.receptor_table(references)
+    out = similarity.loop_distances(own, panel, kernel)
+    whole = queries.join(own.select("tcr_id"), "tcr_id", "left_semi").groupBy("tcr_id").agg(F.min("MHC_seq").alias("MHC_seq"), F.min("Epitope").alias("Epitope"))
+    refs = references.join(panel.select("tcr_id"), "tcr_id", "left_semi")
+    for col, name, score in (("MHC_seq", "MHC", similarity.local_similarity), ("Epitope", "Epitope", similarity.edit_similarity)):
+        whole = similarity.with_reference_stats(whole, refs, col, col, f"sim_{name}", score)
+    return out.join(whole.drop("MHC_seq", "Epitope"), "tcr_id")
+
+
 def replica_consensus(atoms: DataFrame, roles: DataFrame) -> DataFrame:
     """DockQ and its terms of every pair of replicas of a complex."""
     merged = structure.merge_chains(atoms, roles).select("complex_id", "model_number", "chain", "res_seq", "atom_name", *spatial.XYZ)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schemas import CONFIDENCES, JOB, SUMMARY
+from ..schemas import CONFIDENCES, JOB, MANIFEST, SUMMARY
 
 #: File kinds of one model by layout: hosted jobs number their files, local ones have a folder a sample.
 HOSTED = {"model": r"/([^/]+)/[^/]*_model_([0-9]+)\.cif$", "confidences": r"/([^/]+)/[^/]*_full_data_([0-9]+)\.json$", "summary": r"/([^/]+)/[^/]*_summary_confidences_([0-9]+)\.json$"}
@@ -98,3 +98,84 @@ def chain_roles(info: DataFrame, ordinal: str, prefix_only: bool = False) -> Dat
     ident = F.substring_index(ident, ".", 1) if prefix_only else ident
     rows = info.select(ident.alias("pdb_id"), role.alias("role"), F.col("`chain.id`").alias("chain"), F.col(ordinal).alias("at"))
     return rows.groupBy("pdb_id").agg(*[F.max_by("chain", F.when(F.col("role") == r, F.col("at"))).alias(r) for r in ("tcra", "tcrb", "peptide", "mhc", "b2m")])
+
+
+def read_rankings(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, seed, model_number, ranking_score of ranking tables, whose column ``sample`` is the model's number."""
+    rows = spark.read.option("header", True).csv(path).withColumn("path", F.col("_metadata.file_path"))
+    kinds = {"seed": "string", "sample": "int", "ranking_score": "double"}
+    return rows.select("path", *[F.trim(c).try_cast(k).alias("model_number" if c == "sample" else c) for c, k in kinds.items()])
+
+
+def kind_counts(files: DataFrame) -> DataFrame:
+    """layout, kind, files: how many files of each kind belong to models, for a listing's report."""
+    return classify(files).groupBy("layout", "kind").agg(F.count("*").alias("files"))
+
+
+def parse_manifest(lines: DataFrame) -> DataFrame:
+    """batch, name, pdb_path of tab-separated manifests or chunks of them, from lines (path, line, text).
+
+    A file whose first line isn't the header, or a row without three fields, is an error of the whole read: ``error`` says which in
+    a row of its own, and its path's rows have it too.
+    """
+    names = [f.split(" ")[0] for f in MANIFEST.split(", ")]
+    f = F.split("text", "\t", -1)
+    rows = lines.where("trim(text) <> '' or line = 0").withColumn("f", f)
+    bad = F.when((F.col("line") == 0) & (F.col("text") != "\t".join(names)), F.concat(F.lit("unexpected header: "), "text")).when(F.size("f") != len(names), F.concat(F.lit("unexpected row: "), "text"))
+    rows = rows.withColumn("error", F.min(bad).over(Window.partitionBy("path")))
+    return rows.where("line > 0").select("path", "line", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)], "error")
+
+
+def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The manifest's rows in order of path and line; a ValueError that names an example if a file isn't one."""
+    from .tables import numbered_lines
+
+    rows = parse_manifest(numbered_lines(spark, path))
+    wrong = rows.where("error is not null").select("path", "error").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0].path}: {wrong[0].error}")
+    return rows.drop("error")
+
+
+#: The columns of a chain mapping, by role.
+MAPPED = {"peptide_chain": "peptide", "mhc_chain": "mhc", "b2_chain": "b2m", "tcra_chain": "tcra", "tcrb_chain": "tcrb"}
+
+
+def parse_mapping(text: DataFrame, col: str = "value") -> DataFrame:
+    """key and the chain of each role (null where it isn't given) of chain mappings: JSON objects of objects by key."""
+    kind = "map<string,struct<" + ",".join(f"{c}:string" for c in MAPPED) + ">>"
+    each = text.select(F.explode(F.from_json(F.col(col), kind)).alias("key", "chains"))
+    return each.select("key", *[F.col(f"chains.{c}").alias(r) for c, r in MAPPED.items()])
+
+
+def docking_specs(names: DataFrame, mapping: DataFrame | None = None, mode: str = "exact") -> DataFrame:
+    """name, spec: the docking job of each complex, receptor and ligand by their chains.
+
+    Without a mapping the chains are A, B, C and D, E. With one (key and the chains by role), names whose key it lacks, or
+    lacks a chain of, have a null spec, for the dead letters.
+    """
+    from ..operators.joins import lookup_side, mapping_key
+
+    receptor, ligand = F.lit("A,B,C"), F.lit("D,E")
+    if mapping is not None:
+        names = names.withColumn("key__", mapping_key(F.col("name"), mode)).join(lookup_side(mapping.withColumnRenamed("key", "key__")), "key__", "left")
+        every = lambda roles: F.when(sum(F.col(r).isNull().cast("int") for r in roles) == 0, F.concat_ws(",", *roles))
+        receptor, ligand = every(["peptide", "mhc", "b2m"]), every(["tcra", "tcrb"])
+    part = lambda title, mol, new: F.concat(F.lit(f"[{title}]\npdb = "), "name", F.lit(".pdb\nmol = "), mol, F.lit(f"\nnewmol = {new}\n"))
+    return names.select("name", F.concat(part("receptor", receptor, "A"), F.lit("\n"), part("ligand", ligand, "D")).alias("spec"))
+
+
+def kept_files(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """The files whose name one of the shell patterns (``*``, ``?``, ``[...]``) matches."""
+    import fnmatch
+
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    return files.where(name.rlike("|".join("^" + fnmatch.translate(p).replace("(?s:", "(?:").replace("\\Z", "$").replace("\\z", "$") for p in patterns)))
+
+
+def listed(value: str | list[str]) -> list[str]:
+    """A configuration's list, given as one or as text set apart by commas or spaces; ValueError if it is empty."""
+    found = value.replace(",", " ").split() if isinstance(value, str) else [str(v).strip() for v in value]
+    if not found or not all(found):
+        raise ValueError("a list must not be empty")
+    return found

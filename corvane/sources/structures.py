@@ -81,6 +81,11 @@ def read_structures(spark: SparkSession, folder: str) -> DataFrame:
     return parse_cif(cif).unionByName(parse_pdb(pdb))
 
 
+def unread_structures(files: DataFrame, atoms: DataFrame) -> DataFrame:
+    """key, error: the files (path) that gave no atoms, for the dead letters."""
+    return files.select("path").join(atoms.select("path").distinct(), "path", "left_anti").select(F.col("path").alias("key"), F.lit("no atoms").alias("error"))
+
+
 def read_archive(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """path, value: the text files inside tar archives, as if they lay in a folder named like the archive."""
 
