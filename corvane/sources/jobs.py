@@ -115,15 +115,15 @@ def kind_counts(files: DataFrame) -> DataFrame:
 def parse_manifest(lines: DataFrame) -> DataFrame:
     """batch, name, pdb_path of tab-separated manifests or chunks of them, from lines (path, line, text).
 
-    A file whose first line isn't the header, or a row without three fields, is an error of the whole read: ``error`` says which in
-    a row of its own, and its path's rows have it too.
+    A first line that isn't the header, or a row without three fields, is an error of the whole file: it is a row too, and all
+    rows of its path say so in ``error``.
     """
     names = [f.split(" ")[0] for f in MANIFEST.split(", ")]
     f = F.split("text", "\t", -1)
     rows = lines.where("trim(text) <> '' or line = 0").withColumn("f", f)
     bad = F.when((F.col("line") == 0) & (F.col("text") != "\t".join(names)), F.concat(F.lit("unexpected header: "), "text")).when(F.size("f") != len(names), F.concat(F.lit("unexpected row: "), "text"))
-    rows = rows.withColumn("error", F.min(bad).over(Window.partitionBy("path")))
-    return rows.where("line > 0").select("path", "line", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)], "error")
+    rows = rows.withColumn("own", bad).withColumn("error", F.min("own").over(Window.partitionBy("path")))
+    return rows.where("line > 0 or own is not null").select("path", "line", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)], "error")
 
 
 def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
