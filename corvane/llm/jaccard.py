@@ -35,6 +35,8 @@ from .components import components
 from .words import Words, chunks
 
 FRAGMENTS, FINE = 4, (32, 4096)
+#: Nodes of a block of a frequent n-gram.
+BLOCK = 256
 #: An n-gram is reported as frequent by a task from so many documents of a batch of sets on; so many are kept at most.
 FREQUENT_IN_TASK, FREQUENT_KEPT, BATCH_GRAMS = 8, 100_000, 1 << 21
 
@@ -248,14 +250,18 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
 
     found = links(stars)
     groups = components(found)  # of an n-gram of two nodes, the star was the only pair
-    home = shared.where("members > 2").select("gram", "node", "n", "pos").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    home = shared.where("members > 2").select("gram", "node", "n", "pos", "members").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = home.groupBy("gram").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("gram")
     home = home.join(mixed, "gram", "left_semi").join(cells, "node")
-    home = written(home.select("gram", "node", "n", "pos", "component", "k0", "k1", "k2", "k3"), "mixed")
-    x, y = (home.toDF("gram", *[f"{c}_{side}" for c in ("node", "n", "pos", "c", "k0", "k1", "k2", "k3")]) for side in "xy")
+    home = written(home.select("gram", "node", "n", "pos", "component", "k0", "k1", "k2", "k3", "members"), "mixed")
+    # the nodes of a frequent n-gram are dealt to blocks: a task has one block and meets all the others of the n-gram
+    blocks = F.ceil(F.col("members") / BLOCK)
+    x = home.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).drop("members")
+    y = home.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).drop("members")
+    x, y = (df.select("gram", "block", *[F.col(c).alias(f"{o}_{side}") for c, o in (("node", "node"), ("n", "n"), ("pos", "pos"), ("component", "c"), *[(f"k{i}", f"k{i}") for i in range(4)])]) for side, df in (("x", x), ("y", y)))
     apart = sum((F.bit_count(F.col(f"k{i}_x").bitwiseXOR(F.col(f"k{i}_y"))) for i in range(1, 4)), F.bit_count(F.col("k0_x").bitwiseXOR(F.col("k0_y"))))
     near = (num + den) * apart <= (den - num) * (F.col("n_x") + F.col("n_y"))
-    rest = x.join(y, "gram").where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & fits("n_x", "pos_x", "n_y", "pos_y") & near)
+    rest = x.join(y, ["gram", "block"]).where((F.col("node_x") < F.col("node_y")) & (F.col("c_x") != F.col("c_y")) & fits("n_x", "pos_x", "n_y", "pos_y") & near)
     rest = rest.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct()
     more = links(rest)
     if not more.isEmpty():

@@ -8,7 +8,8 @@ repeated inside the split is settled there and sent on once, as a mark, so that
 corpus costs one entry a split. Hashes go, packed by hash range, to buckets, whose tasks count them and send back
 the ordinals of repeated windows; a split's ordinals then become word intervals by document. Intervals are keyed by
 the text's MD5, not by id: equal texts have equal intervals, ids may be null or repeated. A last pass joins them to
-the texts. Hashes have 64 bits; two different windows share one with probability n^2 / 2^65.
+the texts. Hashes have 64 bits; of n windows about n^2 / 2^65 pairs that differ share one, and their words go too: fewer than one
+such pair is expected up to six billion windows (30 GB or so), and one window in two million at 10^13.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, documents, partitions
+from .common import as_text, documents, kind, partitions
 from .words import Words, chunks
 
 SPLIT_WINDOWS = 1 << 20
+#: A bucket of hashes for so many bytes of input, about eight million windows, so that a bucket fits a task at any size.
+BUCKET_BYTES = 32 << 20
 PACKED = "bucket int, split string, kind int, hashes binary, places binary"
 FLAGGED = "split string, kind int, places binary, keys binary"
 
@@ -146,9 +149,15 @@ def _intervals(k: int):
     return run
 
 
+def input_bytes(docs: DataFrame, text_col: str) -> int:
+    """The size of the input's files by the plan, or where that doesn't say, of its texts."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else docs.agg(F.sum(F.length(f"`{text_col}`"))).first()[0] or 0
+
+
 def repeat_spans(docs: DataFrame, k: int = 35, text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """key (binary MD5 of the text) and spans (pairs of 32-bit word indices) of texts that hold a repeated window."""
-    n = buckets or 4 * partitions(docs.sparkSession)
+    n = buckets or max(4 * partitions(docs.sparkSession), -(-input_bytes(docs, text_col) // BUCKET_BYTES))
     rows = as_text(docs, text_col).select("text", F.md5("text").alias("key"))
     flagged = rows.mapInArrow(_pack(k, n), PACKED).groupBy("bucket").applyInArrow(_count, FLAGGED)
     return flagged.groupBy("split").applyInArrow(_intervals(k), "key binary, spans binary").groupBy("key").agg(F.min("spans").alias("spans"))
@@ -161,7 +170,7 @@ def remove_repeats(docs: DataFrame, k: int = 35, id_col: str = "doc_id", text_co
     and stays whole; a repeated row repeats all its windows, so both rows lose them. Ids may be null or repeated and
     further columns are not read. Kept words are joined by one space.
     """
-    schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string, spans string" + ", kept_text string" * with_text
+    schema = f"`{id_col}` {kind(docs, id_col)}, n_words long, n_removed long, kept_sha256 string, spans string" + ", kept_text string" * with_text
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 
-SHARD, BLOCK = 8192, 512
+#: Rows of a shard; queries that go to a shard together, at least and at most.
+SHARD, LEAST_BLOCK, BLOCK = 8192, 512, 16_384
 
 
 class Graph:
@@ -189,7 +190,8 @@ def _search(k: int, beam: int, degree: int):
                         size = first[own + 1] - first[own]
                         each = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                         cand, s = ids[each], np.repeat(score, size)
-                        s, cand = s[cand != who[at + i]], cand[cand != who[at + i]]
+                        other = (cand != who[at + i]) | ~np.repeat((v[own] == q[at + i]).all(1), size)
+                        s, cand = s[other], cand[other]
                         top = np.lexsort((cand, -s))[:k]
                         out.append((np.full(len(top), who[at + i]), cand[top], s[top]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], ["query_id", "vec_id", "score"])
@@ -202,9 +204,9 @@ VALID = """vec_id is not null and size(embedding) > 0 and exists(embedding, x ->
 
 
 def clean_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id and embedding of the rows that take part, one for each id: of more, the one with the smallest vector."""
+    """vec_id and embedding of the rows that take part. Rows equal in both are one row; an id may have several vectors."""
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).where(VALID)
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    return rows.distinct().withColumn("dim", F.size("embedding"))
 
 
 def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD, degree: int = 40, beam: int = 64, alpha: float = 1.2) -> DataFrame:
@@ -218,12 +220,21 @@ def build_index(vectors: DataFrame, k: int = 20, shard_rows: int = SHARD, degree
     return written(points.groupBy("dim", "shard").applyInArrow(_build(degree, beam, alpha), INDEX), "graphs")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, degree: int = 40, block_rows: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id and score of each query's ``k`` nearest found over all shards of its dimension."""
-    blocks = max(1, -(-queries.count() // block_rows))
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int"))
+def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 96, degree: int = 40, block_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of each query's ``k`` nearest found over all shards of its dimension.
+
+    ``queries`` has one vector an id. Every block of queries goes to every shard, by its number: a join on (dim, shard) brings them
+    to the graphs, so a graph moves once a block of many queries and no key has more than one shard's work. The
+    candidates of a shard are cut to ``k`` a query before they are merged.
+    """
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    count = queries.count()
+    size = block_rows or min(BLOCK, max(LEAST_BLOCK, count * shards // partitions(queries.sparkSession)))
+    packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, -(-count // size)))).cast("int"))
     packed = packed.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, query_ids binary, queries binary")
-    work = index.join(packed, "dim").repartition("shard", "block")
+    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    work = index.join(packed.hint("shuffle_hash"), ["dim", "shard"])
+    work = work if size == BLOCK else work.repartition("shard", "block")  # few queries: a shard's blocks are work for several tasks
     found = work.select("dim", "n", "vectors", "edges", "ids", "id_counts", "query_ids", "queries").mapInArrow(_search(k, beam, degree), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -232,7 +243,9 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: the 20 nearest of every twentieth vector, by inner product.
 
-    Null, zero and non-finite vectors, and those without an id, take no part. Vectors are compared within one length.
+    Null, zero and non-finite vectors, and those without an id, take no part. Vectors are compared within one length. All vectors
+    of a repeated id are candidates, its smallest one is its query; another vector of the query's own id is a candidate too.
     """
     vectors = written(clean_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "vectors")
-    return search_index(build_index(vectors), vectors.where("vec_id % 20 = 0"))
+    queries = vectors.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    return search_index(build_index(vectors), queries)

@@ -368,6 +368,40 @@ def test_vectors(spark):
     assert copies and copies == list(range(1000, 1000 + len(copies)))
 
 
+def test_vectors_of_one_id_are_all_candidates(spark):
+    """Different vectors of an id are rows of their own; rows equal in both are one; another vector of the query's id counts."""
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [2.0, 0.0]), (7, [3.0, 0.0]), (7, [0.5, 0.0]), (7, [0.5, 0.0])]
+    clean = vamana.clean_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    queries = clean.where("vec_id = 20 and embedding[0] = 1")
+    got = vamana.search_index(vamana.build_index(clean), queries).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(7, 3.0), (20, 2.0), (7, 0.5)]
+
+
+def test_blocks_and_shards_change_no_result(spark):
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(r.normal(size=(400, 8)).astype(np.float32))], "vec_id long, embedding array<float>")
+    clean = vamana.clean_vectors(df)
+    index = vamana.build_index(clean, shard_rows=150)
+    got = [sorted(map(tuple, vamana.search_index(index, clean.where("vec_id % 20 = 0"), block_rows=n).collect())) for n in (3, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 400
+
+
+def test_substring_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "x y z"), (None, None), ("b", "x y z")], "doc_id string, text string").withColumn("key", F.lit("clash")).withColumn("spans", F.lit(1))
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.remove_repeats(df, k=2).collect())
+    assert got == [("None", 0, 0), ("a", 3, 3), ("b", 3, 3)]
+
+
+def test_jaccard_blocks_change_nothing(spark, monkeypatch):
+    """One n-gram that all documents hold, dealt to many blocks."""
+    texts = [" ".join(["very", "common", "words"] * 2 + prose(i // 3, 12, 60).split()[: 12 - i % 3]) for i in range(45)]
+    want = sorted(map(str, jaccard_components(list(enumerate(texts)), 2, 3, 5)))
+    for block in (256, 2):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got = jaccard.jaccard_groups(table(spark, texts), k=2, num=3, den=5)
+        assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got.collect()) == want
+
+
 def test_recall_on_the_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     got = vamana.op1(spark, "/root/testdata/sf0.1").collect()
