@@ -44,6 +44,15 @@ def vectors_of(store: DataFrame, kind: str, extra: list[str] | None = None) -> D
     return got.select("tcr_id", F.concat(*[F.col(f"v{i}") for i in range(len(want))]).alias("x"))
 
 
+def lacking_parts(store: DataFrame, kind: str) -> DataFrame:
+    """tcr_id, missing: the ids of the store that lack parts of the kind, and which, in order."""
+    names = [f"{p}:{r}".rstrip(":") for p, r in KINDS[kind]]
+    key = F.regexp_replace(F.concat_ws(":", "part", F.coalesce("region", F.lit(""))), ":$", "")
+    own = store.groupBy("tcr_id").agg(F.collect_set(F.when(key.isin(*names), key)).alias("has"))
+    lacks = F.array_except(F.array(*[F.lit(n) for n in names]), F.col("has"))
+    return own.select("tcr_id", F.array_join(lacks, ",").alias("missing")).where("missing <> ''")
+
+
 def bimodal(vectors: DataFrame, features: DataFrame, names: list[str]) -> DataFrame:
     """tcr_id, x: sequence vectors followed by structural features."""
     own = features.select("tcr_id", F.array(*[F.col(n).cast("float") for n in names]).alias("more"))

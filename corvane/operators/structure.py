@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import letter, loop
+from ..functions.scores import euclid
+from ..functions.sequences import LETTERS, letter, loop
 from .windows import renumber
 
 MODEL = ["complex_id", "model_number"]
@@ -29,6 +30,22 @@ def sequences(atoms: DataFrame, unknown: str | None = "X") -> DataFrame:
     return res.groupBy(*MODEL, "chain").agg(F.array_join(F.transform(ordered, lambda r: r["aa"]), "").alias("sequence"))
 
 
+def fragment_sequences(atoms: DataFrame, bond: float = 1.8) -> DataFrame:
+    """complex_id, model_number, chain, sequence of the residues that are bonded to one beside them.
+
+    Two standard residues next to each other in a chain are bonded if the first one's C and the second one's N are
+    less than ``bond`` apart; a residue with neither bond is left out.
+    """
+    at = lambda atom, c: F.max(F.when(F.col("atom_name") == atom, F.col(c))).alias(f"{atom}{c}")
+    res = atoms.where("record = 'ATOM'").where(F.col("res_name").isin(*LETTERS)).groupBy(*MODEL, *RESIDUE, "res_name").agg(F.min("ord").alias("ord"), *[at(a, c) for a in "CN" for c in "xyz"])
+    w = Window.partitionBy(*MODEL, "chain").orderBy("ord")
+    gap = euclid([F.lag(f"C{c}").over(w) for c in "xyz"], [F.col(f"N{c}") for c in "xyz"])
+    res = res.withColumn("bonded", F.coalesce(gap < bond, F.lit(False)))
+    res = res.withColumn("kept", F.col("bonded") | F.coalesce(F.lead("bonded").over(w), F.lit(False))).where("kept")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", letter(F.col("res_name")).alias("aa"))))
+    return res.groupBy(*MODEL, "chain").agg(F.array_join(F.transform(ordered, lambda r: r["aa"]), "").alias("sequence"))
+
+
 def model_metadata(atoms: DataFrame, chains: dict[str, str] | None = None) -> DataFrame:
     """One row a model with its chains' sequences by role; an absent or empty chain is null."""
     chains = chains or {"A": "MHC_seq", "B": "B2M_seq", "C": "Epitope", "D": "TCRA", "E": "TCRB"}

@@ -194,3 +194,23 @@ def test_writers_and_reports(spark, complexes, tmp_path):
     df, seen = sinks.counted(files, "files")
     df.collect()
     assert seen.get["rows"] == 3
+
+
+def test_facade(spark, complexes, tmp_path):
+    """The jobs by one object, and the ids that lack parts of what it asks for."""
+    from corvane.operators.structure import fragment_sequences, model_metadata
+    from corvane.plans.pipeline import Options, Pipeline
+
+    atoms, roles = complexes
+    run = Pipeline(Options(models={"str": LEAF, "seq": LEAF}))
+    potentials = spark.createDataFrame([(k, a, b, -1.0) for k in ("tcr_p", "tcr_mhc", "p_mhc") for a in "AGLSW" for b in "AGLSW"], schemas.POTENTIALS)
+    docking = spark.createDataFrame([("1", 0, 1, -1.0, 2.0, 3.0, 4.0, 1), ("2", 0, 1, -3.0, 2.0, 3.0, 4.0, 1)], schemas.DOCKING)
+    store = spark.createDataFrame([("1", p, g, [1.0]) for p, g in (("TCRA", "cdr3"), ("TCRB", "cdr3"), ("Epitope", ""), ("MHC_seq", ""))] + [("2", "TCRA", "cdr3", [1.0])], schemas.EMBEDDINGS)
+    labels = spark.createDataFrame([("1", 1), ("2", 0)], "tcr_id string, Label int")
+    final, more = run.downstream(atoms, roles, potentials, docking, model_metadata(atoms), store, labels)
+    assert {r.tcr_id: (r.probs_str is not None, r.probs_seq is not None) for r in final.predictions.collect()} == {"1": (True, True), "2": (True, False)}
+    assert set(more) == {"energies", "matrix", "metrics_str"}
+    assert [tuple(r) for r in run.lacking(store).collect()] == [("2", "no TCRB:cdr3,Epitope,MHC_seq")]
+    assert len(run.write(final, str(tmp_path))) == 2
+    rows = [("c", 0, "ATOM", i, a, n, "A", r, None, x, 0.0, 0.0, 1.0, 1.0, i) for i, (a, n, r, x) in enumerate([("N", "GLY", 1, 0.0), ("C", "GLY", 1, 1.0), ("N", "ALA", 2, 2.3), ("C", "ALA", 2, 3.3), ("N", "TRP", 3, 9.0), ("C", "TRP", 3, 10.0)])]
+    assert [r.sequence for r in fragment_sequences(spark.createDataFrame(rows, schemas.ATOMS)).collect()] == ["GA"]
