@@ -127,17 +127,18 @@ def train(words: dict[str, Counter], pieces: list[str], rounds: int = 2, smooth:
     return LanguageModel(languages, prob, prior - np.log(np.exp(prior).sum()), pieces)
 
 
-def sample_words(labelled: DataFrame, per_language: int = 300) -> dict[str, Counter]:
+def sample_words(labelled: DataFrame, per_language: int = 300, most_chars: int = 20_000_000) -> dict[str, Counter]:
     """Counts of marked words in a bounded, deterministic sample of labelled rows (lang, text).
 
-    Of each language, the ``per_language`` distinct texts with the smallest hash, whole. The bound only concerns
-    what is fitted.
+    Of each language, the ``per_language`` distinct texts with the smallest hash, whole, as far as their lengths come to
+    ``most_chars``; a text that passes that with those before it is left out. The bounds only concern what is fitted.
     """
     from pyspark.sql import Window
 
-    keyed = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h")).distinct()
+    keyed = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("size")).distinct()
     w = Window.partitionBy("lang").orderBy("h")
-    chosen = keyed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language).select("lang", "h")
+    chosen = keyed.where(F.col("size") <= most_chars).withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_language)
+    chosen = chosen.withColumn("upto", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("upto") <= most_chars).select("lang", "h")
     rows = labelled.select("lang", "text", F.xxhash64("text").alias("h")).join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"]).select("lang", "text").collect()
     out: dict[str, Counter] = {}
     for r in sorted(rows):

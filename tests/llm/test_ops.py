@@ -313,6 +313,11 @@ def test_sample_counts_texts_not_rows(spark):
         assert len(langid.sample_words(rows, per_language=4)["xx"]) == 4
 
 
+def test_sample_is_bounded_in_characters(spark):
+    df = table(spark, ["ab cd " * 5, "x" * 1000, "ef gh"]).withColumn("lang", F.lit("en"))
+    assert set(langid.sample_words(df, most_chars=100)["en"]) <= {langid.MARK + w for w in ("ab", "cd", "ef", "gh")}
+
+
 def test_forward_sums_all_segmentations():
     import itertools
 
