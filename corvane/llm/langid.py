@@ -37,13 +37,59 @@ def pieces_of(path: str) -> list[str]:
     return sorted({p for p in (model.id_to_piece(i) for i in range(model.get_piece_size())) if p and word.fullmatch(p) and p == p.lower()})
 
 
+#: Base of the rolling hash of substrings, spread of its table's slots, and the slots' bits.
+_BASE, _SPREAD, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95), 18
+
+
 class Lattice:
-    """All cuts of words into pieces, for many words of one length at a time."""
+    """All cuts of words into pieces, for many words of one length at a time.
+
+    A substring is looked up by its rolling hash (64 bits) in an open table of the pieces' hashes, for all words at once.
+    """
 
     def __init__(self, pieces: list[str]):
         self.index = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
         self.unknown = len(pieces)
+        self.keys = np.zeros(1 << _BITS, dtype=np.uint64)
+        self.place = np.full(1 << _BITS, -1, dtype=np.int64)
+        if 4 * len(pieces) > len(self.keys):
+            raise ValueError("too many pieces for the table")
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            by.setdefault(len(p), []).append(i)
+        for n, own in by.items():
+            hashes = self._prefixes([pieces[i] for i in own], n)[n]
+            for i, h, slot in zip(own, hashes.tolist(), self._slots(hashes).tolist(), strict=True):
+                while self.place[slot] >= 0:
+                    slot = (slot + 1) & ((1 << _BITS) - 1)
+                self.keys[slot], self.place[slot] = h, i
+
+    @staticmethod
+    def _prefixes(words: list[str], n: int) -> list[np.ndarray]:
+        """The hashes of each length of prefix of words of n characters."""
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        out = [np.zeros(len(words), dtype=np.uint64)]
+        for k in range(n):
+            out.append(out[-1] * _BASE + chars[:, k])
+        return out
+
+    @staticmethod
+    def _slots(hashes: np.ndarray) -> np.ndarray:
+        return ((hashes * _SPREAD) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece of each hash, -1 where there is none."""
+        slot = self._slots(hashes)
+        found = np.where(self.keys[slot] == hashes, self.place[slot], -1)
+        left = np.flatnonzero((found < 0) & (self.place[slot] >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << _BITS) - 1)
+            here = self.place[slot[left]]
+            hit = (here >= 0) & (self.keys[slot[left]] == hashes[left])
+            found[left[hit]] = here[hit]
+            left = left[(here >= 0) & ~hit]
+        return found
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """(begin, end, piece) of each piece in a word; a character without one is the unknown piece."""
@@ -66,10 +112,11 @@ class Lattice:
         for n, own in by.items():
             some = [words[i] for i in own]
             alpha, scale = [np.ones((len(own), prob.shape[1]))], np.zeros((len(own), prob.shape[1]))
+            heads, power = self._prefixes(some, n), np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
             for b in range(1, n + 1):
                 total = np.zeros_like(alpha[0])
                 for a in range(max(0, b - self.longest), b):
-                    ids = np.fromiter(map(self.index.get, [w[a:b] for w in some], [-1] * len(some)), np.int64, len(some))
+                    ids = self.find(heads[b] - heads[a] * power[b - a])
                     if b == a + 1:
                         ids[ids < 0] = self.unknown
                     at = np.flatnonzero(ids >= 0)
