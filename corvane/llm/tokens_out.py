@@ -66,19 +66,26 @@ class Encoder:
         return [np.array(e.ids, dtype="<i4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Have the library encode pieces. Those that begin with a space are joined to one text, in which each space begins one."""
-        spaced = [w for w in pieces if w[0] == " " and len(w) > 1 and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace()]
+        """Have the library encode pieces. Those that begin with a space are joined to one text, in which each space begins one.
+
+        A mark that ends a piece after a letter is a word of its own, so such a piece is put together from two.
+        """
+        known, ended = self.known, [w for w in pieces if w[-1] in ",.;:!?" and w[-2:-1].isalpha()]
+        wanted = {w[:-1] for w in ended} | {w[-1] for w in ended} | set(pieces).difference(ended)
+        wanted = [w for w in wanted if w not in known]
+        spaced = [w for w in wanted if w[0] == " " and len(w) > 1 and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace()]
         for at in range(0, len(spaced), 2000):
             part = spaced[at : at + 2000]
             ids = np.array(self.lib.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<i4")
             cut = np.flatnonzero(self.after_space[ids])
             if len(cut) != len(part):
-                self.known.update(zip(part, self._whole(part), strict=True))
+                known.update(zip(part, self._whole(part), strict=True))
                 continue
             blob, cut = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
-            self.known.update({w: blob[a:b] for w, a, b in zip(part, cut[:-1], cut[1:], strict=True)})
-        rest = list(set(pieces).difference(spaced))
-        self.known.update(zip(rest, self._whole(rest), strict=True))
+            known.update({w: blob[a:b] for w, a, b in zip(part, cut[:-1], cut[1:], strict=True)})
+        rest = list(set(wanted).difference(spaced))
+        known.update(zip(rest, self._whole(rest), strict=True))
+        known.update({w: known[w[:-1]] + known[w[-1]] for w in ended})
 
     def _pieces(self, texts: list[str]) -> tuple[list[int], pa.Array]:
         """The ends of the texts' pieces, and the pieces."""
@@ -149,14 +156,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, seq = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                sub = batch.slice(first, 512)
-                at, ids = coder.encode_batch(sub.column(1).to_pylist(), end_id)
-                sizes = np.diff(at)
-                lists = pa.ListArray.from_arrays(at, pa.array(ids))
-                place = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.arange(seq, seq + len(sizes), dtype=np.int32))]
-                seq += len(sizes)
-                yield pa.RecordBatch.from_arrays([*place, sub.column(0), pa.array(sizes), lists], ["part", "seq", "doc_id", "n_tokens", "ids"])
+            at, ids = coder.encode_batch(batch.column(1).to_pylist(), end_id)
+            sizes = np.diff(at)
+            place = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.arange(seq, seq + len(sizes), dtype=np.int32))]
+            seq += len(sizes)
+            lists = pa.ListArray.from_arrays(at, pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*place, batch.column(0), pa.array(sizes), lists], ["part", "seq", "doc_id", "n_tokens", "ids"])
 
     spark = docs.sparkSession
     rows = as_text(docs, text_col, id_col).toDF("doc_id", "text").withColumn("tie", F.xxhash64("text"))
