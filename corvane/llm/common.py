@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -64,9 +65,10 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Have the driver look for plans that nothing refers to any more, so that Spark deletes their shuffle files."""
+    """Have the driver look for plans that nothing refers to any more, and give Spark a moment to delete their shuffle files."""
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:

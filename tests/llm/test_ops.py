@@ -548,6 +548,7 @@ def test_line_dedup_of_a_key_of_many_lines(spark, monkeypatch):
     want = brute_lines(list(enumerate(texts)))
     for block, steps in ((256, 3), (4, 2)):
         monkeypatch.setattr(lines, "BLOCK", block)
+        monkeypatch.setattr(lines, "SLICE", block)
         monkeypatch.setattr(lines, "STAR_STEPS", steps)
         got = {x.doc_id for x in lines.dedup_lines(table(spark, texts)).collect() if x.n_removed}
         assert got == {d for d, _ in want} and len(got) >= 20
