@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op7
+from .codes import op11
 from .jaccard import op2
 from .langid import op9
 from .lines import op6
@@ -85,6 +86,30 @@ c AS (SELECT *, epochs + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY
 SELECT doc_id, domain, lang, source, n_tokens, 1::BIGINT AS n_rows, copies::BIGINT AS copies FROM c WHERE copies > 0
 """
 
+
+
+def _round_sql(i: int) -> str:
+    """Assignment i of the parts to the entries, and the entries that follow from it."""
+    return f"""a{i} AS MATERIALIZED (SELECT q.r, p, any_value(q.x) AS x, min(struct_pack(d := list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c{i}.x[i]) * (q.x[i] - c{i}.x[i]))), e := e)) AS best
+  FROM q JOIN c{i} USING (p) GROUP BY q.r, p),
+m{i} AS (SELECT p, e, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT p, best.e AS e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM a{i}) GROUP BY p, e, i),
+n{i} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM m{i} GROUP BY p, e),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.p, c{i}.e, coalesce(n{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN n{i} ON c{i}.p = n{i}.p AND c{i}.e = n{i}.e)"""
+
+
+CODES_SQL = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT r, p, ints[p * len(ints) // 16 + 1 : (p + 1) * len(ints) // 16] AS x FROM v, range(16) t(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM q WHERE r <= 64),
+{_round_sql(0)},
+{_round_sql(1)},
+a2 AS MATERIALIZED (SELECT q.r, p, min(struct_pack(d := list_sum(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c2.x[i]) * (q.x[i] - c2.x[i]))), e := e)) AS best FROM q JOIN c2 USING (p) GROUP BY q.r, p),
+k AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY r),
+b AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS digest FROM c2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM v JOIN k USING (r), b
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vamana_search": op1,
     "op2_ngram_jaccard": op2,
@@ -96,7 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_parquet": op8,
     "op9_language_id": op9,
     "op10_source_mix": op10,
+    "op11_hamerly_codes": op11,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": JACCARD_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op10_source_mix": MIX_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": JACCARD_SQL, "op3_substring_dedup": SUBSTRING_SQL, "op10_source_mix": MIX_SQL, "op11_hamerly_codes": CODES_SQL}
