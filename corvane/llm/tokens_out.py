@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, documents, held, partitions, shared_dir
+from .units import cut_units
 
 TOKEN_FILE_SCHEMA = "part int, seq int, doc_id long, n_tokens int, ids array<int>"
 
@@ -31,31 +31,24 @@ TOKEN_FILE_SCHEMA = "part int, seq int, doc_id long, n_tokens int, ids array<int
 class Encoder:
     """The ids that the ``tokenizers`` library gives for a byte-level BPE file.
 
-    The library cuts a text into words by a fixed pattern and encodes each word on its own. A word may begin with a space but
-    holds no other, so a text can be cut before each space that no white space follows, and its ids are those of its
-    pieces. A batch's pieces are gathered in Arrow; the library encodes each distinct one once, many to a call, and its ids
-    are held while at most ``limit`` pieces are. Texts with other runs of white space are cut into words by the
-    pattern. Texts whose characters Python's tables might class otherwise than the library's (all but Latin ones), and
-    texts with an added token's string, go to the library whole, as do all texts if the file normalises, has another
-    pattern or sets a space before texts.
+    Texts are cut into ``units``, which the library encodes on their own. A batch's units are gathered in Arrow; the
+    library encodes each distinct one once, many to a call, and its ids are held while at most ``limit`` units are. Texts
+    with an added token's string go to the library whole, as do all texts if the file normalises, has another pattern
+    or sets a space before texts. With ``plain`` the strings of special tokens are ordinary text.
     """
 
-    #: The fixed pattern of byte-level pre-tokenizing, for characters of ``PLAIN``: no digits but 0-9 are among them.
-    WORD = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
-    PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f]*")
-    RUN = re.compile(r" \s")
-
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 800_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.lib.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         cut = spec["pre_tokenizer"] or {}
         self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and spec["normalizer"] is None
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values() if not (plain and t.special)]
         vocab = self.lib.get_vocab()
         self.after_space = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.after_space[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True  # the fixed character of a space
@@ -65,8 +58,8 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<i4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Have the library encode pieces. Those that begin with a space are joined to one text, in which each space begins one."""
+    def learn(self, pieces: list[str]) -> None:
+        """Have the library encode units. Those of one space and a word are joined to one text, in which each space begins one."""
         spaced = [w for w in pieces if w[0] == " " and len(w) > 1 and w.count(" ") == 1 and not w[1].isspace() and not w[-1].isspace()]
         for at in range(0, len(spaced), 2000):
             part = spaced[at : at + 2000]
@@ -80,60 +73,51 @@ class Encoder:
         rest = list(set(pieces).difference(spaced))
         self.known.update(zip(rest, self._whole(rest), strict=True))
 
-    def _pieces(self, texts: list[str]) -> tuple[list[int], pa.Array]:
-        """The ends of the texts' pieces, and the pieces."""
-        runs = [i for i, t in enumerate(texts) if self.RUN.search(t)]
-        cut = pc.split_pattern(pc.replace_substring(pa.array(["" if i in set(runs) else t for i, t in enumerate(texts)] if runs else texts, pa.large_string()), " ", "\x01 "), "\x01")
-        if not runs:
-            return cut.offsets.to_numpy()[1:].tolist(), cut.values
-        parts, ends, at, bounds = [], [], 0, cut.offsets.to_pylist()
-        for i, t in enumerate(texts):
-            own = pa.array(self.WORD.findall(t), pa.large_string()) if i in runs else cut.values[bounds[i] : bounds[i + 1]]
-            parts.append(own)
-            at += len(own)
-            ends.append(at)
-        return ends, pa.concat_arrays(parts)
-
-    def encode_batch(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode_batch(self, texts: pa.Array | list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of the texts, each followed by the id ``end`` if there is one."""
-        whole = [i for i, t in enumerate(texts) if not (self.by_word and self.PLAIN.fullmatch(t)) or any(a in t for a in self.added)]
-        skip = set(whole)
-        ends, pieces = self._pieces(["" if i in skip else t for i, t in enumerate(texts)] if whole else texts)
-        coded = pieces.dictionary_encode()
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).fill_null("")
+        whole = np.zeros(len(texts), dtype=bool) if self.by_word else np.ones(len(texts), dtype=bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(whole).tolist()
+        ends, units = cut_units(pc.if_else(pa.array(whole), "", texts) if apart else texts)
+        coded = units.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > self.limit:
             self.known.clear()
-        self.known[""] = b""
         new = [w for w in words if w not in self.known]
         if new:
-            self._learn(new)
+            self.learn(new)
         blobs = list(map(self.known.__getitem__, words))
         # an entry more for each text that the library encodes whole, and one for the end
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        more, at = [], []
-        for i, blob in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            more.append(len(blobs))
-            at.append(ends[i])
-            blobs.append(blob)
-        index = np.insert(index, at, more) if more else index
-        ends = np.array(ends, dtype=np.int64) + np.cumsum([i in skip for i in range(len(texts))])
+        if apart:
+            more = np.arange(len(blobs), len(blobs) + len(apart))
+            blobs += self._whole([texts[i].as_py() for i in apart])
+            index = np.insert(index, ends[apart], more)
+            ends = ends + np.cumsum(whole)
         if end is not None:
             index = np.insert(index, ends, len(blobs))
-            ends += np.arange(1, len(texts) + 1)
+            ends = ends + np.arange(1, len(texts) + 1)
             blobs.append(np.array([end], dtype="<i4").tobytes())
         flat = np.frombuffer(b"".join(blobs), dtype="<i4")
         sizes = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 4
-        starts = np.cumsum(sizes) - sizes
-        own = sizes[index]
-        after = np.cumsum(own)
-        ids = flat[np.repeat(starts[index] - (after - own), own) + np.arange(int(after[-1]) if len(after) else 0)]
+        after, ids = spread(flat, sizes, index)
         return np.concatenate([[0], np.concatenate([[0], after])[ends]]).astype(np.int32), ids
 
 
-def encoder(path: str) -> Encoder:
+def spread(flat: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists that ``flat`` holds one after the other, with these sizes, in the order of ``index``; and their ends."""
+    starts = np.cumsum(sizes) - sizes
+    own = sizes[index]
+    after = np.cumsum(own)
+    return after, flat[np.repeat(starts[index] - (after - own), own) + np.arange(int(after[-1]) if len(after) else 0)]
+
+
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One encoder for all tasks of a Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return held(("encoder", path), lambda: Encoder(path))
+    return held(("encoder", path, plain), lambda: Encoder(path, plain=plain))
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
@@ -151,7 +135,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 sub = batch.slice(first, 512)
-                at, ids = coder.encode_batch(sub.column(1).to_pylist(), end_id)
+                at, ids = coder.encode_batch(sub.column(1), end_id)
                 sizes = np.diff(at)
                 lists = pa.ListArray.from_arrays(at, pa.array(ids))
                 place = [pa.array(np.full(len(sizes), part, np.int32)), pa.array(np.arange(seq, seq + len(sizes), dtype=np.int32))]
