@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import op12
 from .bpe import op7
 from .codes import op11
+from .fingerprints import op13
 from .jaccard import op2
 from .langid import op9
 from .lines import op6
@@ -122,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9,
     "op10_source_mix": op10,
     "op11_hamerly_codes": op11,
+    "op12_token_alignment": op12,
+    "op13_minhash_fingerprints": op13,
     "pipeline": pipeline,
 }
 
