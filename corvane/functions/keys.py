@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 LAST_PART = r"^(.*)_([^_]*)$"
 
 
@@ -29,16 +31,7 @@ def pmhc_key(epitope: Column, allele: Column) -> Column:
 
 
 def with_ids(df: DataFrame, order: list[Column], id_col: str = "tcr_id") -> DataFrame:
-    """Ids 1..n in the given order, if the column is absent.
-
-    Numbers are dealt in two steps, ranges first, so that no task orders all rows.
-    """
+    """Ids 1..n in the given order, if the column is absent; no task orders all rows."""
     if id_col in df.columns:
         return df
-    spark = df.sparkSession
-    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    parts = parts.withColumn("part__", F.spark_partition_id()).withColumn("at__", F.monotonically_increasing_id())
-    sizes = parts.groupBy("part__").agg(F.count("*").alias("n__"), F.min("at__").alias("first__"))
-    sizes = sizes.withColumn("before__", F.coalesce(F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = parts.join(F.broadcast(sizes), "part__")  # one row a partition
-    return rows.withColumn(id_col, (F.col("before__") + F.col("at__") - F.col("first__") + 1).cast("string")).select(id_col, *df.columns)
+    return numbered(df, order, "place__").select((F.col("place__") + 1).cast("string").alias(id_col), *[F.col(f"`{c}`") for c in df.columns])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranges
+
 STATS = ("mean", "min", "max", "std")
 
 
@@ -47,15 +49,11 @@ def auc(df: DataFrame, label: str, score: str) -> DataFrame:
     Rows are summed by distinct score first; null without both classes. Running sums are taken within ranges of
     scores and then over the ranges, so no task orders all scores.
     """
-    spark = df.sparkSession
     by = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    by = by.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), F.desc("s")).withColumn("part", F.spark_partition_id())
-    parts = by.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"), F.max("s").alias("top"))
-    before = Window.orderBy(F.desc("top")).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("tp0"), F.coalesce(F.sum("nn").over(before), F.lit(0)).alias("fp0"))
+    by = ranges.dealt(by, [F.desc("s")])
     total = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    w = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = by.join(F.broadcast(parts), "part").withColumn("tp", F.col("tp0") + F.sum("p").over(w)).withColumn("fp", F.col("fp0") + F.sum("n").over(w))
+    w = Window.partitionBy(ranges.PART).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by.join(F.broadcast(ranges.before(by, tp0=F.sum("p"), fp0=F.sum("n"))), ranges.PART).withColumn("tp", F.col("tp0") + F.sum("p").over(w)).withColumn("fp", F.col("fp0") + F.sum("n").over(w))
     run = run.crossJoin(F.broadcast(total))  # one row
     tp1, fp1 = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))

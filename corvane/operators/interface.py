@@ -88,6 +88,52 @@ def ipsae(pairs: DataFrame, lengths: DataFrame, keys: list[str] | None = None, c
     return best.select(*pair, "ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn", F.col("first.i").alias("best"), F.col("first.n0res").alias("n0res"), F.col("first.d0res").alias("d0res"), *own)
 
 
+def chain_runs(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``chains``: of each model the chains with their runs of places that follow each other in the matrix.
+
+    ``tokens``: keys, chain, residue (the place in the chain), token (the place in the matrix from 0).
+    """
+    runs = tokens.groupBy(*keys, "chain", (F.col("token") - F.col("residue")).alias("shift")).agg(F.min("token").alias("first"), F.min("residue").alias("residue"), F.count("*").alias("n"))
+    chains = runs.groupBy(*keys, "chain").agg(F.array_sort(F.collect_list(F.struct("residue", "first", "n"))).alias("runs"), F.sum("n").alias("length"))
+    return chains.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("chain", "runs", "length"))).alias("chains"))
+
+
+def ipsae_blocks(confidences: DataFrame, tokens: DataFrame, keys: list[str], matrix: str = "pae", cutoff: float = 10.0, near: float = 12.0) -> DataFrame:
+    """What ``ipsae`` gives, and ``LIS``, of matrices as they are: a row for each residue and other chain, none for a cell.
+
+    A matrix row is cut into the parts of the other chains, and the four means of a residue are folded inside its
+    part. How many residues of the second chain have a partner is asked of the whole matrix before it is taken
+    apart. What is shuffled is one row of scores for each residue and chain.
+    """
+    joined = confidences.select(*keys, F.col(matrix).alias("m__")).join(chain_runs(tokens, keys), keys)
+    part = lambda row, runs: F.flatten(F.transform(runs, lambda r: F.slice(row, (r["first"] + 1).cast("int"), r["n"].cast("int"))))
+    below = lambda x: x < cutoff
+    rows_of = lambda c: part(F.col("m__"), c["runs"])
+    places = lambda runs: F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1)))
+    met = lambda a, b: F.size(F.filter(places(b["runs"]), lambda j: F.exists(rows_of(a), lambda row: below(F.get(row, j.cast("int"))))))
+    start = lambda a, b: F.size(F.filter(rows_of(a), lambda row: F.exists(part(row, b["runs"]), below)))
+    others = lambda a: F.filter("chains", lambda b: b["chain"] != a["chain"])
+    pairs = F.flatten(F.transform("chains", lambda a: F.transform(others(a), lambda b: F.struct(a.alias("a"), b.alias("b"), start(a, b).alias("nres1"), met(a, b).alias("nres2")))))
+    models = joined.withColumn("pairs__", pairs)
+    place = lambda a: F.filter(a["runs"], lambda r: (F.col("t__") >= r["first"]) & (F.col("t__") < r["first"] + r["n"]))
+    row = models.select(*keys, "pairs__", F.posexplode("m__").alias("t__", "row__"))
+    cells = row.select(*keys, "t__", "row__", F.explode(F.filter("pairs__", lambda p: F.size(place(p["a"])) > 0)).alias("p"))
+    cells = cells.select(*keys, F.col("p.a.chain").alias("chain1"), F.col("p.b.chain").alias("chain2"), (F.col("t__") - place(F.col("p.a"))[0]["first"] + place(F.col("p.a"))[0]["residue"]).alias("i"),
+                         F.col("p.nres1").cast("long").alias("nres1"), F.col("p.nres2").cast("long").alias("nres2"), (F.col("p.a.length") + F.col("p.b.length")).alias("n0chn"), F.filter(part(F.col("row__"), F.col("p.b.runs")), lambda x: x.isNotNull()).alias("all__"))
+    cells = cells.withColumn("ok__", F.filter("all__", below)).withColumn("n0res", F.size("ok__").cast("long")).withColumn("n0dom", F.col("nres1") + F.col("nres2"))
+    cells = cells.withColumns({"d0chn": d0(F.col("n0chn")), "d0dom": d0(F.col("n0dom")), "d0res": d0_of_residue(F.col("n0res"))})
+    total = lambda x, f: F.aggregate(x, F.lit(0.0), lambda s, v: s + f(v))
+    mean = lambda x, scale: F.coalesce(total(x, lambda v: ptm(v, F.col(scale))) / F.nullif(F.size(x), F.lit(0)), F.lit(0.0))
+    close = F.filter("all__", lambda x: x < near)
+    by = cells.select(*keys, "chain1", "chain2", "i", "nres1", "nres2", "n0chn", "n0dom", "n0res", "d0chn", "d0dom", "d0res", mean("all__", "d0chn").alias("iptm"), mean("ok__", "d0chn").alias("chn"), mean("ok__", "d0dom").alias("dom"), mean("ok__", "d0res").alias("res"),
+                      total(close, lambda v: (near - v) / near).alias("lis__"), F.size(close).alias("close__"))
+    own = ["n0chn", "n0dom", "d0chn", "d0dom", "nres1", "nres2"]
+    first = F.max_by(F.struct("i", "n0res", "d0res"), F.struct("res", -F.col("i")))
+    lis_ = F.coalesce(F.sum("lis__") / F.nullif(F.sum("close__"), F.lit(0)), F.lit(0.0)).alias("LIS")
+    best = by.groupBy(*keys, "chain1", "chain2").agg(F.max("res").alias("ipSAE"), F.max("chn").alias("ipSAE_d0chn"), F.max("dom").alias("ipSAE_d0dom"), F.max("iptm").alias("ipTM_d0chn"), first.alias("first"), lis_, *[F.first(c).alias(c) for c in own])
+    return best.select(*keys, "chain1", "chain2", "ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn", F.col("first.i").alias("best"), F.col("first.n0res").alias("n0res"), F.col("first.d0res").alias("d0res"), *own, "LIS")
+
+
 def symmetric_max(scores: DataFrame, keys: list[str], score: str, carry: list[str]) -> DataFrame:
     """Per unordered chain pair, the larger of its two directions, with the winner's columns; a tie goes to the
     direction whose first chain sorts last."""

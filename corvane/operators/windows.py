@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranges
+
 
 def rank_pct(df: DataFrame, value: str, out: str, scale: Column | None = None) -> DataFrame:
     """``out``: the average rank of a value among the non-null ones over their number; null for null.
@@ -13,13 +14,11 @@ def rank_pct(df: DataFrame, value: str, out: str, scale: Column | None = None) -
     Ranks come from counts by distinct value, summed within ranges of values and over the ranges, so no task orders
     all rows. ``scale`` maps the rank column ``out`` to the final value.
     """
-    spark = df.sparkSession
-    by = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v__")).agg(F.count("*").alias("c"))
-    by = by.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "v__").withColumn("part", F.spark_partition_id())
-    parts = by.groupBy("part").agg(F.sum("c").alias("cc"), F.min("v__").alias("low"))
-    parts = parts.select("part", F.coalesce(F.sum("cc").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("cc").over(Window.partitionBy()).alias("all"))
-    w = Window.partitionBy("part").orderBy("v__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = by.join(F.broadcast(parts), "part").select("v__", ((F.col("before") + F.sum("c").over(w) - (F.col("c") - 1) / 2.0) / F.col("all")).alias(out))
+    by = ranges.dealt(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v__")).agg(F.count("*").alias("c")), [F.col("v__")])
+    parts = F.broadcast(ranges.before(by, before=F.sum("c")))  # a row for each range
+    w = Window.partitionBy(ranges.PART).orderBy("v__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = by.join(parts, ranges.PART).crossJoin(F.broadcast(by.agg(F.sum("c").alias("all"))))  # one row
+    ranks = placed.select("v__", ((F.col("before") + F.sum("c").over(w) - (F.col("c") - 1) / 2.0) / F.col("all")).alias(out))
     got = df.join(ranks, df[value] == ranks["v__"], "left").drop("v__")
     return got if scale is None else got.withColumn(out, scale)
 
@@ -54,26 +53,37 @@ def carry_forward(df: DataFrame, group: list[str], order: list[str], value: str,
 
 
 def token_batches(df: DataFrame, group: list[str], order: list[str], length: str, budget: int, out: str = "batch") -> DataFrame:
-    """``out``: batch numbers from 0 of rows in ascending length: a batch ends where its longest times its rows would
-    pass the budget. A group is one worker's share of rows; a sequential rule, so Arrow batches of one group at a time."""
-    schema = df.select(*df.columns, F.lit(0).alias(out)).schema
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([length, *order], kind="stable")
-        batch, n, ids = 0, 0, []
-        for size in rows[length]:
-            if n and size * (n + 1) > budget:
-                batch, n = batch + 1, 0
-            n += 1
-            ids.append(batch)
-        rows[out] = pd.Series(ids, index=rows.index, dtype="int32")
-        return rows
+    """``out``: batch numbers from 0 of each group's rows in ascending length: a batch ends where its longest times its rows would
+    pass the budget; a row longer than that is a batch of its own. A null or negative length counts as 0.
 
-    return df.groupBy(*group).applyInPandas(assign, schema)
+    How many rows a batch may have when a row is its longest is ``budget div length``, and this takes at most twice the
+    budget's square root different values, falling along the order. So a group is a short list of runs with one such
+    number each, however many rows it has: batches are walked from run to run on that list, and in closed form within a run. Rows get their
+    places by ranges (``ranges``) and no task has all rows of a group.
+    """
+    if budget < 1:
+        raise ValueError("a batch needs a budget")
+    keys = [F.col(f"`{c}`") for c in group]
+    size = F.greatest(F.coalesce(F.col(f"`{length}`").cast("long"), F.lit(0)), F.lit(0))
+    room = F.when(size == 0, F.lit(1 << 62)).otherwise(F.greatest(F.floor(F.lit(budget) / F.nullif(size, F.lit(0))).cast("long"), F.lit(1)))
+    rows = ranges.numbered(df.withColumns({"size__": size, "room__": room}), [*keys, F.col("size__"), *[F.col(f"`{c}`") for c in order]], "place__")
+    runs = rows.groupBy(*keys, "room__").agg(F.min("place__").alias("lo"), F.count("*").alias("n")).withColumnRenamed("room__", "room")
+    runs = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "n", "room"))).alias("runs__"))
+    # w: the open batch's first row s and number b at a run's first row; turn is where in or after the run the next batch begins
+    walk = F.expr("""aggregate(runs__, named_struct('s', runs__[0].lo, 'b', 0L, 'out', cast(array() AS array<struct<room__: bigint, b: bigint, turn: bigint>>)), (w, r) ->
+        transform(array(struct(greatest(r.lo, w.s + r.room) AS turn, r.lo + r.n - 1 AS hi)), t -> named_struct(
+            's', if(t.turn > t.hi, w.s, t.turn + (t.hi - t.turn) div r.room * r.room),
+            'b', if(t.turn > t.hi, w.b, w.b + 1 + (t.hi - t.turn) div r.room),
+            'out', concat(w.out, array(named_struct('room__', r.room, 'b', w.b, 'turn', t.turn)))))[0]).out""")
+    own = [F.col(f"`{c}`").alias(f"{c}__of") for c in group]
+    walked = runs.select(*own, F.explode(walk).alias("r__")).select(*[f"`{c}__of`" for c in group], F.col("r__.room__").alias("room__of"), F.col("r__.b").alias("b__"), F.col("r__.turn").alias("turn__"))
+    same = F.col("room__") == F.col("room__of")
+    for c in group:
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"`{c}__of`"))
+    batch = F.when(F.col("place__") < F.col("turn__"), F.col("b__")).otherwise(F.expr("b__ + 1 + (place__ - turn__) div room__"))
+    return rows.join(walked, same).select(*[F.col(f"`{c}`") for c in df.columns if c != out], batch.cast("int").alias(out))
 
 
 def chunked(df: DataFrame, order: list[Column], size: int, out: str = "chunk") -> DataFrame:
     """``out``: chunk numbers from 0 of ``size`` rows each in the given order."""
-    from ..functions.keys import with_ids
-
-    return with_ids(df, order, "place__").withColumn(out, F.floor((F.col("place__").cast("long") - 1) / size)).drop("place__")
+    return ranges.numbered(df, order, "place__").withColumn(out, F.expr(f"place__ div {size}")).drop("place__")

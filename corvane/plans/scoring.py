@@ -198,15 +198,13 @@ def quality_table(atoms: DataFrame, roles: DataFrame, loop_residues: DataFrame,
     chains = interface.chain_confidence(sides, confidences, keys)
     per_side = chains.groupBy(*keys).agg(*[F.max(F.when(F.col("chain") == side, F.col(c))).alias(f"{c}_{side.lower()}") for c in ("avgipde", "avgipae", "pdockq2") for side in "AB"])
 
-    pairs = interface.matrix_pairs(confidences, tokens, keys)
-    lengths = tokens.groupBy(*keys, "chain").agg(F.count("*").alias("length"))
-    own = interface.ipsae(pairs, lengths, keys, cutoff)
+    own = interface.ipsae_blocks(confidences, tokens, keys, cutoff=cutoff)
     pair_scores = None
     for c in ("ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn"):
         one = interface.symmetric_max(own, keys, c, [])
         pair_scores = one if pair_scores is None else pair_scores.join(one, [*keys, "chain_a", "chain_b"])
     low, high = F.least("chain1", "chain2").alias("chain_a"), F.greatest("chain1", "chain2").alias("chain_b")
-    lis = interface.lis(pairs, [*keys, "chain1", "chain2"]).select(*keys, low, high, "LIS").groupBy(*keys, "chain_a", "chain_b").agg(F.avg("LIS").alias("LIS"))
+    lis = own.select(*keys, low, high, "LIS").groupBy(*keys, "chain_a", "chain_b").agg(F.avg("LIS").alias("LIS"))
     means = interface.interface_means(pair_scores.join(lis, [*keys, "chain_a", "chain_b"]), keys, ["ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn", "LIS"])
     means = means.toDF(*keys, "ipsae", "ipsae_d0chn", "ipsae_d0dom", "iptm_d0chn", "lis")
 

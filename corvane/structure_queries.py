@@ -139,9 +139,9 @@ def chunked(spark, sf_dir):
     return windows.chunked(table(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.col("c_custkey")], 100).select("c_custkey", F.col("chunk").cast("long").alias("chunk"))
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey))::VARCHAR AS tcr_id FROM orders")
+@query("SELECT o_orderkey, o_orderdate::VARCHAR AS o_orderdate, (row_number() OVER (ORDER BY o_orderdate, o_orderkey))::VARCHAR AS tcr_id FROM orders")
 def sequential_ids(spark, sf_dir):
-    return keys.with_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "tcr_id")
+    return keys.with_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", F.col("o_orderdate").cast("string").alias("o_orderdate"), "tcr_id")
 
 
 KIND = "CASE l_returnflag WHEN 'A' THEN 'tcr_p' WHEN 'N' THEN 'p_mhc' ELSE 'tcr_mhc' END"

@@ -316,3 +316,58 @@ def test_incremental_ingestion(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(src)
         ingest(spark, src, "id long", sink, check, lambda d: d.where("id > 0")).awaitTermination()
     assert spark.read.parquet(sink).count() == 3
+
+
+def test_ids_of_many_rows_have_no_holes(spark):
+    """Further columns are read only by one of the two branches of the plan; numbers come from one dealing all the same."""
+    rows = spark.range(2_000_000).select(F.xxhash64("id").alias("v"), F.concat(F.lit("x"), F.col("id")).alias("more"))
+    got = keys.with_ids(rows, [F.col("v")], "n").select(F.col("n").cast("long").alias("n"), "more", "v")
+    assert tuple(got.agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n"), F.count("more")).first()) == (2_000_000, 2_000_000, 1, 2_000_000, 2_000_000)
+    chunks = windows.chunked(rows, [F.col("v")], 1000).groupBy("chunk").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("chunk").collect()
+    assert [r.chunk for r in chunks] == list(range(2000)) and {r.n for r in chunks} == {1000}
+    assert all(x.b < y.a for x, y in zip(chunks[:-1], chunks[1:], strict=True))
+
+
+def plain_batches(rows, budget):
+    """{id: batch} of (id, length) rows, one after the other."""
+    out, batch, n = {}, 0, 0
+    for i, size in sorted(rows, key=lambda r: (max(r[1] or 0, 0), r[0])):
+        size = max(size or 0, 0)
+        if n and size * (n + 1) > budget:
+            batch, n = batch + 1, 0
+        n += 1
+        out[i] = batch
+    return out
+
+
+@pytest.mark.parametrize("budget", [1, 7, 50, 1000])
+def test_token_batches_follow_the_sequential_rule(spark, budget):
+    r = random.Random(budget)
+    rows = [(i, r.choice(["a", "b", None]), r.choice([None, 0, -3, 1, 2, 3, r.randrange(1, 60), r.randrange(1, 2000)])) for i in range(1500)]
+    got = windows.token_batches(spark.createDataFrame(rows, "i long, g string, len int").withColumn("batch", F.lit("clash")), ["g"], ["i"], "len", budget)
+    want = {}
+    for g in ("a", "b", None):
+        want |= plain_batches([(i, n) for i, h, n in rows if h == g], budget)
+    assert {x.i: x.batch for x in got.collect()} == want
+    assert windows.token_batches(spark.createDataFrame([], "i long, g string, len int"), ["g"], ["i"], "len", budget).collect() == []
+    with pytest.raises(ValueError):
+        windows.token_batches(spark.createDataFrame(rows, "i long, g string, len int"), ["g"], ["i"], "len", 0)
+
+
+def test_ipsae_of_matrices_as_they_are(spark):
+    """Rows of the matrix against the same scores from one row a cell: several runs of a chain, one chain alone, nulls, ties at the cutoffs."""
+    r = random.Random(2)
+    orders = [[(c, i) for c, n in (("A", 30), ("B", 12), ("C", 35), ("D", 3)) for i in range(n)],
+              [("B", 0), ("A", 0), ("A", 1), ("B", 1), ("B", 2), ("C", 0), *[("A", i) for i in range(2, 9)]], [("A", i) for i in range(5)]]
+    tokens = [(f"m{m}", c, i, t) for m, order in enumerate([*orders, orders[0]]) for t, (c, i) in enumerate(order)]
+    matrix = lambda n: [[r.choice([r.uniform(0, 30), r.uniform(0, 12), 10.0, 12.0]) for _ in range(n)] for _ in range(n)]
+    holes = [[None if r.random() < 0.05 else 25.0 if i < 30 else x for x in row] for i, row in enumerate(matrix(80))]
+    conf = spark.createDataFrame([*[(f"m{m}", matrix(len(o))) for m, o in enumerate(orders)], ("m3", holes), ("m4", None)], "model string, pae array<array<double>>")
+    tok = spark.createDataFrame(tokens, "model string, chain string, residue long, token long")
+    pairs = interface.matrix_pairs(conf, tok, ["model"]).where("pae is not null")
+    want = interface.ipsae(pairs, tok.groupBy("model", "chain").agg(F.count("*").alias("length")), ["model"]).join(interface.lis(pairs, ["model", "chain1", "chain2"]), ["model", "chain1", "chain2"])
+    got, want = (df.toPandas().sort_values(["model", "chain1", "chain2"]).reset_index(drop=True) for df in (interface.ipsae_blocks(conf, tok, ["model"]), want))
+    import pandas as pd
+
+    assert len(got) == 30
+    pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False, rtol=1e-9)
