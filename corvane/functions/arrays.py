@@ -42,6 +42,14 @@ def align(values: Column, length: Column) -> Column:
     return F.transform(F.try_element_at(places, length.cast("int")), cell)
 
 
+def aligned_cells(cells: list[str], length: str) -> list[Column]:
+    """Nine columns out of thirteen, given as SQL texts, as ``align`` has them: plain sums by length, which Spark compiles."""
+    filled = [f"coalesce(cast({c} AS double), 0D)" for c in cells]
+    mean = lambda row: "(" + " + ".join(filled[i] for i, w in enumerate(row) if w) + f") / {sum(w > 0 for w in row)}"
+    weights = {n: alignment_weights(n) for n in range(8, POSITIONS + 1)}
+    return [F.expr(f"CASE {length} " + " ".join(f"WHEN {n} THEN {mean(rows[k])}" for n, rows in weights.items()) + " END") for k in range(ALIGNED)]
+
+
 def _places(length: int) -> list[str]:
     return [f"array({', '.join(str(i) for i, w in enumerate(row) if w)})" for row in alignment_weights(length)]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import POSITIONS, align, sum_skip_null
+from ..functions.arrays import POSITIONS, aligned_cells, sum_skip_null
 from ..functions.scores import ratio
 from .joins import last_by, lookup_side
 
@@ -60,12 +60,10 @@ def complex_energies(contacts: DataFrame, peptides: DataFrame, keys: tuple[str,
 
 def structural_features(energies: DataFrame, length_col: str = "Epitope") -> DataFrame:
     """Per model: counts and energy ratios over nine aligned positions, totals and the ratio to the MHC."""
-    size = F.length(length_col)
-    names = [("c_tcr_p{}", "c"), ("e_tcr_p{}", "e"), ("c_pmhc_p{}", "pc"), ("e_pmhc_p{}", "pe")]
     df = energies
-    for pattern, short in names:
-        df = df.withColumn(f"{short}_aligned", align(F.array(*[F.col(pattern.format(i)).cast("double") for i in range(1, POSITIONS + 1)]), size))
-    df = df.select("*", *[F.get(f"{s}_aligned", F.lit(i)).alias(n.format(i + 1) + "_aln") for n, s in names for i in range(9)]).drop(*[f"{s}_aligned" for _, s in names])
+    for pattern in ("c_tcr_p{}", "e_tcr_p{}", "c_pmhc_p{}", "e_pmhc_p{}"):
+        cells = aligned_cells([pattern.format(i) for i in range(1, POSITIONS + 1)], f"length(`{length_col}`)")
+        df = df.select("*", *[c.alias(pattern.format(i + 1) + "_aln") for i, c in enumerate(cells)])
     df = df.select("*", *[ratio(F.col(f"e_tcr_p{i}_aln"), F.col(f"c_tcr_p{i}_aln")).alias(f"ratio_{i}") for i in range(1, 10)],
                    *[ratio(F.col(f"e_pmhc_p{i}_aln"), F.col(f"c_pmhc_p{i}_aln")).alias(f"ratio_pmhc_{i}") for i in range(1, 10)], ratio(F.col("e_tcr_mhc"), F.col("c_tcr_mhc")).alias("ratio_mhc"))
     total = lambda p: sum_skip_null([F.col(f"{p}{i}_aln") for i in range(1, 10)])

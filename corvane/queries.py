@@ -450,9 +450,9 @@ def structural_slice(spark, sf_dir):
     rows = rows.withColumn("pos", (F.col("l_linenumber") + F.col("l_partkey")) % 13 + 1).where(F.col("pos") <= 8 + F.col("l_orderkey") % 6)
     rows = energies.with_potential(rows, potentials, ("l_partkey",))
     t = aggregates.position_pivot(rows, ["l_orderkey", "l_suppkey"], "pos", F.col("potential"), 13, "e", "c")
-    e = arrays.align(F.array(*[F.round(f"e{i}", 4) for i in range(1, 14)]), 8 + F.col("l_orderkey") % 6)
-    c = arrays.align(F.array(*[F.col(f"c{i}").cast("double") for i in range(1, 14)]), 8 + F.col("l_orderkey") % 6)
-    t = t.select("l_orderkey", e.alias("x"), c.alias("y"))
-    t = t.select("l_orderkey", *[scores.ratio(F.get("x", F.lit(i)), F.get("y", F.lit(i))).alias(f"ratio_{i + 1}") for i in range(9)])
+    t = t.select("l_orderkey", (8 + F.col("l_orderkey") % 6).alias("size"), *[F.round(f"e{i}", 4).alias(f"e{i}") for i in range(1, 14)], *[f"c{i}" for i in range(1, 14)])
+    e, c = (arrays.aligned_cells([f"{name}{i}" for i in range(1, 14)], "size") for name in "ec")
+    t = t.select("l_orderkey", *[x.alias(f"x{i}") for i, x in enumerate(e)], *[x.alias(f"y{i}") for i, x in enumerate(c)])
+    t = t.select("l_orderkey", *[scores.ratio(F.col(f"x{i}"), F.col(f"y{i}")).alias(f"ratio_{i + 1}") for i in range(9)])
     got = aggregates.replica_stats(t, ["l_orderkey"], [f"ratio_{i}" for i in range(1, 10)], kind="double")
     return got.select("l_orderkey", *[r6(F.col(x)).alias(x) for x in got.columns[1:]])

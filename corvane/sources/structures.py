@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import model_file
+from .archives import read_members
 
 #: The columns (first, length) of the fixed-width atom line.
 PDB_FIELDS = {"serial": (7, 5), "atom_name": (13, 4), "res_name": (18, 3), "chain": (22, 1), "res_seq": (23, 4), "icode": (27, 1), "x": (31, 8), "y": (39, 8), "z": (47, 8), "occ": (55, 6), "b": (61, 6)}
@@ -87,17 +83,12 @@ def unread_structures(files: DataFrame, atoms: DataFrame) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
-    """path, value: the text files inside tar archives, as if they lay in a folder named like the archive."""
-
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            for where, content in zip(df["path"], df["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        if m.isfile() and m.name.endswith(suffix):
-                            yield pd.DataFrame({"path": [f"{where}/{m.name}"], "value": [tar.extractfile(m).read().decode("utf-8", "replace")]})
+    """path, value: the text files inside tar archives, as if they lay in a folder named like the archive.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(expand, "path string, value string")
+    Members are read in parallel (``archives``); what a broken archive still has is read, and ``archives.broken_archives`` tells of it.
+    """
+    members = read_members(spark, path, suffix).where("error is null")
+    return members.select(F.concat_ws("/", "archive", "member").alias("path"), "value")
 
 
 def pdb_lines(atoms: DataFrame) -> DataFrame:

@@ -148,3 +148,63 @@ def test_cached_table_is_used_only_if_whole(spark, tmp_path):
     assert tables.cached_or(spark, str(tmp_path / "t"), ["a"], compute).columns == ["a"]
     assert tables.cached_or(spark, str(tmp_path / "t"), ["a", "b"], compute).columns == ["b"]
     assert tables.cached_or(spark, str(tmp_path / "none"), ["a"], compute).columns == ["b"]
+
+
+def tar_of(path, members, mode="w"):
+    with tarfile.open(path, mode) as tar:
+        for name, text in members:
+            about = tarfile.TarInfo(name)
+            about.size = len(text.encode())
+            tar.addfile(about, io.BytesIO(text.encode()))
+
+
+def test_archive_members_are_read_by_several_tasks(spark, tmp_path):
+    from corvane.sources import archives
+
+    members = [(f"d{i % 7}/{i}.ene", f"line {i} é\n" * (i % 5)) for i in range(1000)]
+    tar_of(tmp_path / "a.tar", [*members, ("x/notes.txt", "no")])
+    got = archives.read_members(spark, str(tmp_path / "a.tar"), ".ene", run_bytes=2000)
+    assert got.rdd.getNumPartitions() > 5
+    assert sorted((r.member, r.value) for r in got.collect()) == sorted(members)
+    tar_of(tmp_path / "b.tar.gz", members[:50], "w:gz")
+    whole = (tmp_path / "a.tar").read_bytes()
+    (tmp_path / "cut.tar").write_bytes(whole[: len(whole) // 2 + 700])
+    (tmp_path / "junk.tar").write_bytes(b"nothing of the kind" * 100)
+    (tmp_path / "cut.tgz").write_bytes((tmp_path / "b.tar.gz").read_bytes()[:400])
+    every = archives.read_members(spark, str(tmp_path), ".ene").cache()
+    counts = {r.archive.rsplit("/", 1)[1]: r["count"] for r in every.where("error is null").groupBy("archive").count().collect()}
+    assert counts["a.tar"] == 1000 and counts["b.tar.gz"] == 50 and 300 < counts["cut.tar"] < 700 and "junk.tar" not in counts
+    assert {r.key.rsplit("/", 1)[1] for r in archives.broken_archives(every).collect()} == {"cut.tar", "junk.tar", "cut.tgz"}
+    assert set(members) >= {(r.member, r.value) for r in every.where("error is null").collect()}  # no member is cut
+
+
+def test_shards_are_whole_or_not_there(spark, tmp_path):
+    import os
+
+    from corvane.sources import archives
+
+    rows = [(f"m{i}", f"text {i} " * (i % 40), "bad" if i % 50 == 7 else None) for i in range(400)] + [(None, "x", None)]
+    df = spark.createDataFrame(rows, "name string, value string, error string").repartition(3)
+    out = str(tmp_path / "out")
+    assert archives.read_shards(spark, out).count() == 0 if os.path.isdir(out) else archives.read_manifest(out) is None
+    archives.write_shards(df, out, error="error", shard_bytes=5000)
+    good = {(n, v) for n, v, e in rows if e is None and n}
+    found = archives.read_manifest(out)
+    assert {(r.name, r.value) for r in archives.read_shards(spark, out).collect()} == good and found["rows"] == len(good)
+    assert len(found["shards"]) > 6 and all(sum(m["bytes"] for m in s["members"]) <= 5000 for s in found["shards"])
+    assert len((tmp_path / "out" / archives.FAILURES).read_text().splitlines()) == 9
+    tar_of(tmp_path / "out" / "shard-of-a-lost-task.tar", [("m0", "again")])  # not in the manifest: not there
+    assert archives.read_shards(spark, out).count() == len(good)
+
+    def fail(batches):
+        for b in batches:
+            yield b
+            raise RuntimeError("killed")
+
+    before = sorted(os.listdir(out))
+    with pytest.raises(Exception, match="killed"):
+        archives.write_shards(df.mapInPandas(fail, df.schema), out, error="error", shard_bytes=5000)
+    assert not [f for f in os.listdir(out) if f.startswith(".")] and json.loads((tmp_path / "out" / archives.MANIFEST).read_text()) == found
+    assert {f for f in os.listdir(out) if f.startswith("shard-")} - set(before) == set()
+    archives.write_shards(spark.createDataFrame([("more", "y")], "name string, value string"), out)
+    assert archives.read_shards(spark, out).count() == len(good) + 1
