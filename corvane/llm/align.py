@@ -150,34 +150,73 @@ def bound(value: Column, use) -> Column:
 
 
 SIDE_B = 1 << 31
+#: Tokens of a side up to which searching for each is quicker than merging both sides' ends.
+FEW = 16
 
 
-def aligned(unit: Column) -> Column:
-    """text (groups as ``a1,a2|b1;...``), links (longs, one for each two tokens that overlap) and groups (their count) of a unit."""
+def _pair(a: Column, b: Column) -> Column:
+    return F.shiftleft(a.cast("long"), 32) + b
+
+
+def _ids(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+def _few_links(unit: Column, common: Column) -> Column:
+    """A token of A meets the token of B over its last byte, whose index is how many ends of B come before; so do those of B that end alone."""
+    before = lambda ends, e: F.size(F.filter(ends, lambda y: y < e))
+    alone = F.filter(F.sequence(F.lit(0), F.size(unit["eb"]) - 1), lambda j: ~F.array_contains(common, unit["eb"][j]))
+    return F.concat(F.transform(unit["a"], lambda x, i: _pair(x, unit["b"][before(unit["eb"], unit["ea"][i])])), F.transform(alone, lambda j: _pair(unit["a"][before(unit["ea"], unit["eb"][j])], unit["b"][j])))
+
+
+def _few_groups(unit: Column, common: Column) -> Column:
+    """Each side's ids with ``;`` after those that close a group; then the sides' groups side by side."""
+    side = lambda ids, ends: F.split(F.array_join(F.transform(ids, lambda x, i: F.concat(x.cast("string"), F.when(F.array_contains(common, ends[i]), ";").otherwise(","))), ""), ";")
+    both = F.zip_with(side(unit["a"], unit["ea"]), side(unit["b"], unit["eb"]), lambda x, y: F.concat(x, F.lit("|"), y))
+    return F.array_join(F.slice(both, 1, F.size(common)), ";")
+
+
+def _merged(unit: Column) -> Column:
+    """text and links of a unit of any size, from the sorted array of both sides' ends."""
     mark = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + i + side)
     merged = F.sort_array(F.concat(mark(unit["ea"], 0), mark(unit["eb"], SIDE_B)))
     own = lambda x: x.bitwiseAND(F.lit(SIDE_B - 1)).cast("int")  # noqa: E731  the token's index on its side
     of_b = lambda x: x.bitwiseAND(F.lit(SIDE_B)) != 0
     closes = lambda s, x, p: (p > 0) & (F.shiftright(s[F.greatest(p - 1, F.lit(0))], 32) == F.shiftright(x, 32))  # noqa: E731  the end of both sides
-    pair = lambda a, b: F.shiftleft(a.cast("long"), 32) + b
 
     def parts(s: Column) -> Column:
         # at place p, a token's other side is p less its own index, as that many of the other side's ends are smaller
-        links = F.filter(F.transform(s, lambda x, p: F.when(~of_b(x), pair(unit["a"][own(x)], unit["b"][p - own(x)])).when(~closes(s, x, p), pair(unit["a"][p - own(x)], unit["b"][own(x)]))), lambda x: x.isNotNull())
+        links = F.filter(F.transform(s, lambda x, p: F.when(~of_b(x), _pair(unit["a"][own(x)], unit["b"][p - own(x)])).when(~closes(s, x, p), _pair(unit["a"][p - own(x)], unit["b"][own(x)]))), lambda x: x.isNotNull())
         cuts = F.filter(F.transform(s, lambda x, p: F.when(of_b(x) & closes(s, x, p), F.struct((p - own(x)).alias("a"), (own(x) + 1).alias("b")))), lambda x: x.isNotNull())
-        joined = lambda ids, start, end: F.array_join(F.slice(ids, start + 1, end - start).cast("array<string>"), ",")
 
         def text(c: Column) -> Column:
             before = lambda k, side: F.when(k == 0, 0).otherwise(c[F.greatest(k - 1, F.lit(0))][side])
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda k: F.concat(joined(unit["a"], before(k, "a"), c[k]["a"]), F.lit("|"), joined(unit["b"], before(k, "b"), c[k]["b"]))), ";")
+            cut = lambda ids, k, side: _ids(F.slice(ids, before(k, side) + 1, c[k][side] - before(k, side)))
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.size(c) - 1), lambda k: F.concat(cut(unit["a"], k, "a"), F.lit("|"), cut(unit["b"], k, "b"))), ";")
 
-        short = F.concat(F.array_join(unit["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(unit["b"].cast("array<string>"), ","))
-        groups = F.size(F.array_intersect(unit["ea"], unit["eb"]))
-        return F.struct(F.when(F.size(unit["a"]) == 0, "").when(groups == 1, short).otherwise(bound(cuts, text)).alias("text"), links.alias("links"), groups.alias("groups"))
+        return F.struct(bound(cuts, text).alias("text"), links.alias("links"))
 
     return bound(merged, parts)
 
 
+def aligned(unit: Column) -> Column:
+    """text (groups as ``a1,a2|b1;...``), links (longs, one for each two tokens that overlap) and groups (their count) of a unit."""
+    n_a, n_b = F.size(unit["a"]), F.size(unit["b"])
+    one = F.concat(_ids(unit["a"]), F.lit("|"), _ids(unit["b"]))
+
+    def parts(common: Column) -> Column:
+        n = F.size(common)
+        found = lambda text, links: F.struct(text.alias("text"), links.alias("links"))
+        none = found(F.lit(""), F.array().cast("array<long>"))
+        each = found(F.array_join(F.zip_with(unit["a"], unit["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";"), F.zip_with(unit["a"], unit["b"], _pair))
+        whole = found(one, F.when(n_a == 1, F.transform(unit["b"], lambda y: _pair(unit["a"][0], y))).otherwise(F.transform(unit["a"], lambda x: _pair(x, unit["b"][0]))))
+        few = found(F.when(n == 1, one).otherwise(_few_groups(unit, common)), _few_links(unit, common))
+        got = F.when(n_a == 0, none).when((n == n_a) & (n == n_b), each).when((n_a == 1) | (n_b == 1), whole).when((n_a <= FEW) & (n_b <= FEW), few).otherwise(_merged(unit))
+        return F.struct(got.alias("got"), n.alias("groups"))
+
+    return bound(F.array_intersect(unit["ea"], unit["eb"]), parts)
+
+
 def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """own_id, n_a, n_b, n_groups, n_links, groups_sha256 and links of each document."""
     blocks = token_blocks(docs, path_a, path_b, id_col, text_col)
@@ -186,8 +225,8 @@ def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
         return F.transform("docs", lambda d: F.struct(
             d["own_id"].alias("own_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"),
             F.coalesce(F.aggregate(d["seq"], F.lit(0).cast("long"), lambda n, i: n + units[i]["groups"]), F.lit(0)).alias("n_groups"),
-            F.coalesce(F.sha2(F.array_join(F.transform(d["seq"], lambda i: units[i]["text"]), ";"), 256), F.lit("")).alias("groups_sha256"),
-            F.coalesce(F.flatten(F.transform(d["seq"], lambda i: units[i]["links"])), F.array().cast("array<long>")).alias("links")))
+            F.coalesce(F.sha2(F.array_join(F.transform(d["seq"], lambda i: units[i]["got"]["text"]), ";"), 256), F.lit("")).alias("groups_sha256"),
+            F.coalesce(F.flatten(F.transform(d["seq"], lambda i: units[i]["got"]["links"])), F.array().cast("array<long>")).alias("links")))
 
     made = blocks.select(F.inline(bound(F.transform("units", aligned), rows)))
     return made.withColumn("n_links", F.size("links").cast("long"))
