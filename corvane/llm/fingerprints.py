@@ -82,11 +82,11 @@ class Plan:
         least = self.minima(column)
         return (self.densified(least) & U((1 << self.bits) - 1)).astype(np.uint32), (least != EMPTY).any(axis=1)
 
-    def packed(self, codes: np.ndarray, some: np.ndarray) -> list[str]:
-        """Codes, the highest bit of each first, as hex digits; empty for texts without shingles."""
+    def packed(self, codes: np.ndarray, some: np.ndarray) -> list[bytes]:
+        """Codes, the highest bit of each first; empty for texts without shingles."""
         split = ((codes[:, :, None] >> np.arange(self.bits - 1, -1, -1, dtype=np.uint32)) & 1).astype(np.uint8)
         rows = np.packbits(split.reshape(len(codes), -1), axis=1)
-        return [r.tobytes().hex() if s else "" for r, s in zip(rows, some.tolist(), strict=True)]
+        return [r.tobytes() if s else b"" for r, s in zip(rows, some.tolist(), strict=True)]
 
     def likeness(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Estimated similarities of rows of codes."""
@@ -100,11 +100,15 @@ def fingerprints(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", t
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(plan.packed(*plan.codes(batch.column(1))), pa.string())], [id_col, "fingerprint"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(plan.packed(*plan.codes(batch.column(1))), pa.binary())], [id_col, "fingerprint"])
 
         return step
 
-    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, fingerprint string")
+    return _hex(map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, fingerprint binary"), "fingerprint")
+
+
+def _hex(rows: DataFrame, *cols: str) -> DataFrame:
+    return rows.select(*[F.lower(F.hex(F.col(f"`{c}`"))).alias(c) if c in cols else F.col(f"`{c}`") for c in rows.columns])
 
 
 def likeness(a: Column, b: Column, plan: Plan = Plan()) -> Column:
@@ -124,7 +128,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-_FOUND = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FOUND = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(plan: Plan, texts: list[str], following: list[str]) -> list[pa.Array]:
@@ -135,7 +139,7 @@ def _compared(plan: Plan, texts: list[str], following: list[str]) -> list[pa.Arr
     own = (own[0][: len(texts)], own[1][: len(texts)])
     changed = [edited(t, f) for t, f in zip(texts, following, strict=True)]
     new = plan.codes(pa.array(changed, pa.large_string()))
-    digests = [hashlib.sha256(t.encode()).hexdigest() for t in changed]
+    digests = [hashlib.sha256(t.encode()).digest() for t in changed]
     return [pa.array(list(map(len, texts)), pa.int64()), pa.array(digests), pa.array(plan.packed(*own)), pa.array(plan.packed(*new)), pa.array(plan.likeness(own, new)), pa.array(plan.likeness(own, then))]
 
 
@@ -153,7 +157,7 @@ def edited_likeness(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
         part, id_, text = TaskContext.get().partitionId(), None, None
 
         def end(ids: pa.Array, value: str, edge: str) -> pa.RecordBatch:
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([ids, *none, pa.array([part], pa.int32()), pa.array([edge]), pa.array([value])], ["own_id", *names, "part", "edge", "text"])
 
         for batch in batches:
@@ -183,7 +187,8 @@ def edited_likeness(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     order = first.select("part").groupBy("part").count()  # a row for each range that has rows
     after = order.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("then"))
     ends = made.where("edge = 'last'").select("own_id", F.col("part"), F.col("text").alias("own_text")).join(after, "part").join(first.select(F.col("part").alias("then"), "text"), "then")
-    return made.where("edge is null").select("own_id", *names).union(ends.select("own_id", "own_text", "text").mapInArrow(last_ones, f"own_id {kind(docs, id_col)}, {_FOUND}"))
+    digests = ["edited_sha256", "fingerprint", "edited_fingerprint"]  # bytes until here, as they are half as large
+    return _hex(made.where("edge is null").select("own_id", *names).union(ends.select("own_id", "own_text", "text").mapInArrow(last_ones, f"own_id {kind(docs, id_col)}, {_FOUND}")), *digests)
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
