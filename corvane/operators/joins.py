@@ -8,20 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A lookup side is broadcast if it has at most so many bytes; it is measured only up to so many rows.
-LOOKUP_BYTES, LOOKUP_ROWS = 32 << 20, 500_000
+#: A lookup side is broadcast if the planner expects no more bytes.
+LOOKUP_BYTES = 32 << 20
 
 
-def lookup_side(df: DataFrame, most: int = LOOKUP_BYTES, rows: int = LOOKUP_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is small; else as it is, for a shuffled join.
-
-    The planner's estimate decides where it is low enough. It is far too high after joins and aggregations, so else
-    up to ``rows`` rows are measured.
-    """
-    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most:
-        return F.broadcast(df)
-    size = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if size.n <= rows and size.bytes <= most else df
+def lookup_side(df: DataFrame, most: int = LOOKUP_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if the planner knows it to be small; else as it is, and the size it turns out to have decides at run time."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most else df
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

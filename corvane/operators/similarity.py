@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scores import similarity
+from ..storage import materialized
 from .aggregates import weighted_stats
 from .joins import lookup_side
 
@@ -64,17 +65,18 @@ def edit_similarity(a: Column, b: Column) -> Column:
 BLOCKS = 64
 
 
-def with_panel(queries: DataFrame, panel: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """Each query with each row of a reference panel, as statistics over a whole panel need.
+def with_panel(queries: DataFrame, panel: DataFrame, blocks: int = BLOCKS, on: tuple[str, ...] = ()) -> DataFrame:
+    """Each query with each row of a reference panel that is equal in ``on``, as statistics over a whole panel need.
 
-    A panel of small size is broadcast. Another one is cut into blocks by a hash of its rows and each query goes to every block by
-    an equi-join, so that no task has more than its share of the panel.
+    The panel is written first, so that its size is known. One of small size is broadcast. Another one is cut into blocks by a hash of
+    its rows and each query goes to every block by an equi-join, so that no task has more than its share of the panel.
     """
+    panel = materialized(panel, "panel")
     small = lookup_side(panel)
     if small is not panel:
-        return queries.crossJoin(small)
+        return queries.join(small, list(on)) if on else queries.crossJoin(small)
     x = queries.withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return x.join(panel.withColumn("block__", F.pmod(F.xxhash64(*panel.columns), F.lit(blocks)).cast("int")), "block__").drop("block__")
+    return x.join(panel.withColumn("block__", F.pmod(F.xxhash64(*panel.columns), F.lit(blocks)).cast("int")), [*on, "block__"]).drop("block__")
 
 
 def reference_stats(queries: DataFrame, references: DataFrame, value: str, ref_value: str, prefix: str, score=edit_similarity) -> DataFrame:
@@ -117,22 +119,110 @@ def region_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b).cast("double")
 
 
+#: The largest distance of two residues, what each residue of difference in length costs, and the ends of a third loop that don't count.
+FARTHEST, GAP, TRIMMED = 4, 4, (3, 2)
+
+
+def residue_distances(scores: dict[str, int], default: int = 0) -> list[int]:
+    """The distances of all pairs of letters, row by row: 0 for equal ones, else ``FARTHEST`` less a positive score, at least 0.
+
+    ``scores``: a substitution matrix by pairs of letters, in either order; pairs that it lacks score ``default``.
+    """
+    of = lambda a, b: 0 if a == b else max(0, min(FARTHEST, FARTHEST - scores.get(a + b, scores.get(b + a, default))))
+    letters = [chr(65 + i) for i in range(26)]
+    return [of(a, b) for a in letters for b in letters]
+
+
+def grouped_scores(groups: tuple[str, ...], inside: int = 1) -> dict[str, int]:
+    """A substitution matrix by rule: ``inside`` for two letters of one group."""
+    return {a + b: inside for g in groups for a in g for b in g if a != b}
+
+
+def matrix_scores(text: str) -> dict[str, int]:
+    """A substitution matrix from its usual text: ``#`` comments, a line of letters, then a letter and its scores a line."""
+    rows = [line.split() for line in text.splitlines() if line.strip() and not line.startswith("#")]
+    return {r[0] + c: int(v) for r in rows[1:] for c, v in zip(rows[0], r[1:], strict=True)}
+
+
+#: Classes of residues of like size and charge, for users without a matrix at hand.
+LIKE = ("ILMV", "FWY", "KRH", "DE", "NQ", "ST", "AG")
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is made once, though lambdas inside refer to it many times."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def loop_kernel(distances: list[int], gap: int = GAP, trim: tuple[int, int] = (0, 0), fixed: bool = True):
+    """The substitution-weighted distance of two loops, as an expression; null where a loop is null or empty.
+
+    Residues are held against each other from both ends up to a gap, whose place is a rule of the shorter length if ``fixed``, or else
+    that of several near the middle which gives the least. Ends of ``trim`` residues don't count. Each residue of difference costs ``gap``.
+    """
+    table = F.lit(distances)
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + v)
+    part = lambda x, first, after: total(F.slice(x, F.lit(first + 1), F.greatest(after - first, F.lit(0))))
+    codes = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.ascii(F.substr(x, i, F.lit(1))))
+    known = lambda c: c.between(65, 90)
+    cell = lambda a, b: F.when(a == b, 0).when(known(a) & known(b), F.get(table, (a - 65) * 26 + (b - 65))).otherwise(FARTHEST)
+
+    def ends(s: Column) -> Column:
+        n, m = F.size(s["a"]), F.size(s["b"])
+        places = F.sequence(F.lit(0), n - 1)
+        left = F.transform(places, lambda i: cell(s["a"][i], s["b"][i]))
+        right = F.transform(places, lambda i: cell(s["a"][n - 1 - i], s["b"][m - 1 - i]))
+
+        def best(x: Column) -> Column:
+            if fixed:
+                low = high = F.least(F.lit(6), 3 + F.floor((n - 5) / 2).cast("int"))
+            else:
+                low, high = F.lit(5), n - 5
+                out = F.greatest(F.ceil((low - high) / 2).cast("int"), F.lit(0))  # both ends move apart until they meet
+                low, high = low - out, high + out
+            at = lambda g: part(x["left"], trim[0], g) + part(x["right"], trim[1], n - g)
+            return F.when(n == m, part(x["left"], trim[0], n - trim[1])).otherwise(F.array_min(F.transform(F.sequence(low, high), at)) + (m - n) * gap)
+
+        return _let(F.struct(left.alias("left"), right.alias("right")), best)
+
+    def kernel(a: Column, b: Column) -> Column:
+        shorter = F.length(a) <= F.length(b)
+        pair = F.struct(codes(F.when(shorter, a).otherwise(b)).alias("a"), codes(F.when(shorter, b).otherwise(a)).alias("b"))
+        return F.when((F.length(a) > 0) & (F.length(b) > 0), _let(pair, ends)).cast("double")
+
+    return kernel
+
+
+def weighted_kernels(distances: list[int], regions: tuple[str, ...] = REGIONS) -> dict:
+    """A kernel for each region: third loops are trimmed and seek their gap, the others have theirs at a fixed place."""
+    third, other = loop_kernel(distances, trim=TRIMMED, fixed=False), loop_kernel(distances)
+    return {r: third if r.startswith("CDR3") else other for r in regions}
+
+
 def loop_distances(queries: DataFrame, references: DataFrame, kernel=region_distance, regions: tuple[str, ...] = REGIONS, prefix: str = "tcrdist") -> DataFrame:
     """tcr_id, and min, mean and max over all references of each region's distance and of their sum (``all``).
 
-    ``kernel`` maps two loop columns to a distance, null where there is none. Regions are scored once for each pair of distinct loops:
-    the panel's and the queries' loops are reduced to distinct values with their multiplicity. The sum needs whole receptors.
+    ``kernel`` maps two loop columns to a distance, null where there is none; or one for each region. All regions go
+    through one pass: a row for each region and distinct loop, which meets the panel's distinct loops of the region with their
+    multiplicity. The sum needs whole receptors.
     """
-    out = queries.select("tcr_id", *regions)
-    for r in regions:
-        out = out.join(reference_stats(queries, references, r, r, f"{prefix}_{r}", kernel), r, "left")
+    kernels = kernel if isinstance(kernel, dict) else dict.fromkeys(regions, kernel)
+    loops = lambda df, name, *keep: df.select(*keep, F.explode(F.array(*[F.struct(F.lit(r).alias("region__"), F.col(r).alias(name)) for r in regions])).alias("x")).select(*keep, "x.*")
+    own = loops(queries, "loop__", "tcr_id")
+    panel = loops(references, "ref__").where("ref__ is not null").groupBy("region__", "ref__").agg(F.count("*").alias("w__"))
+    pairs = with_panel(own.where("loop__ is not null").select("region__", "loop__").distinct(), panel, on=("region__",))
+    score = F.lit(None).cast("double")
+    for r, k in kernels.items():
+        score = F.when(F.col("region__") == r, k(F.col("loop__"), F.col("ref__"))).otherwise(score)
+    stats = weighted_stats(pairs.withColumn("s__", score), ["region__", "loop__"], "s__", "w__", "x")
+    at = lambda r, s: F.max(F.when(F.col("region__") == r, F.col(f"x_{s}"))).alias(f"{prefix}_{r}_{s}")
+    out = own.join(stats, ["region__", "loop__"], "left").groupBy("tcr_id").agg(*[at(r, s) for r in regions for s in ("min", "mean", "max")])
     total = None
-    for r in regions:
-        d = F.coalesce(kernel(F.col(r), F.col(f"ref_{r}")), F.lit(0.0))
+    for r, k in kernels.items():
+        d = F.coalesce(k(F.col(r), F.col(f"ref_{r}")), F.lit(0.0))
         total = d if total is None else total + d
-    panel = references.groupBy(*[F.col(r).alias(f"ref_{r}") for r in regions]).agg(F.count("*").alias("w__"))
-    pairs = with_panel(queries.select("tcr_id", *regions), panel).withColumn("s__", total)
-    return out.drop(*regions).join(weighted_stats(pairs, ["tcr_id"], "s__", "w__", f"{prefix}_all"), "tcr_id", "left")
+    whole = references.groupBy(*[F.col(r).alias(f"ref_{r}") for r in regions]).agg(F.count("*").alias("w__"))
+    sums = with_panel(queries.select("tcr_id", *regions), whole).withColumn("s__", total)
+    return out.join(weighted_stats(sums, ["tcr_id"], "s__", "w__", f"{prefix}_all"), "tcr_id", "left")
 
 
 def structure_stats(models: DataFrame, natives: DataFrame, metrics: dict[str, str] | None = None) -> DataFrame:

@@ -344,6 +344,44 @@ def loop_distances(spark, sf_dir):
     return got.select("tcr_id", *[r6(F.col(c)).alias(c) for c in names])
 
 
+_letters = lambda text, n: f"substr(regexp_replace(upper({text}), '[^A-Z]', '', 'g'), 1, {n})"
+SPELT = {"CDR1a": ("p_brand || p_type", "6 + p_partkey % 3", 7), "CDR2a": ("p_name", "5 + p_partkey % 4", 6), "CDR3a": ("p_type", "8 + p_partkey % 7", 12), "CDR1b": ("p_type || p_brand", "4 + p_partkey % 4", 5), "CDR2b": ("p_type", "6", 6), "CDR3b": ("p_name || p_type", "3 + p_partkey % 12", 9)}
+
+
+def _weighted_sql() -> str:
+    """The same distances as sums over lists of places, with classes of letters in place of a matrix."""
+    classes = "".join(str(i) for i, g in enumerate(similarity.LIKE) for _ in g)
+    cell = lambda i, j: f"CASE WHEN s[{i}] = l[{j}] THEN 0 WHEN translate(s[{i}], '{''.join(similarity.LIKE)}', '{classes}') = translate(l[{j}], '{''.join(similarity.LIKE)}', '{classes}') THEN 3 ELSE 4 END"
+    total = lambda places, c: f"coalesce(list_sum(list_transform({places}, lambda i: {c})), 0)"
+
+    def distance(region: str) -> str:
+        t0, t1 = similarity.TRIMMED if region.startswith("CDR3") else (0, 0)
+        if region.startswith("CDR3"):
+            out = "greatest(ceil((10 - n) / 2.0)::INT, 0)"
+            low, high = f"5 - {out}", f"n - 5 + {out}"
+        else:
+            low = high = "least(6, 3 + floor((n - 5) / 2.0)::INT)"
+        one = total(f"range({t0} + 1, g + 1)", cell("i", "i")) + " + " + total(f"range({t1} + 1, n - g + 1)", cell("n + 1 - i", "m + 1 - i"))
+        same = total(f"range({t0} + 1, n - {t1} + 1)", cell("i", "i"))
+        return f"SELECT id, '{region}' AS region, CASE WHEN n = m THEN {same} ELSE list_min(list_transform(range({low}, {high} + 1), lambda g: {one})) + (m - n) * 4 END::DOUBLE AS d FROM (SELECT *, len(s) AS n, len(l) AS m FROM (SELECT id, CASE WHEN len(a) <= len(b) THEN a ELSE b END AS s, CASE WHEN len(a) <= len(b) THEN b ELSE a END AS l, ref FROM p WHERE region = '{region}'))"
+
+    loops = " UNION ALL ".join(f"SELECT p_partkey::VARCHAR AS id, n_nationkey AS ref, '{r}' AS region, {_letters(a, n)} AS a, {_letters('n_name || n_name', k)} AS b FROM part, nation" for r, (a, n, k) in SPELT.items())
+    scored = " UNION ALL ".join(distance(r).replace("SELECT id,", "SELECT id, ref,", 1) for r in SPELT)
+    stats = ", ".join(f"min(d) FILTER (region = '{r}') AS tcrdist_{r}_min, round(avg(d) FILTER (region = '{r}'), 6) AS tcrdist_{r}_mean, max(d) FILTER (region = '{r}') AS tcrdist_{r}_max" for r in SPELT)
+    return f"WITH p AS ({loops}), d AS ({scored}), t AS (SELECT id, ref, sum(d) AS d FROM d GROUP BY ALL), w AS (SELECT id, min(d) AS lo, round(avg(d), 6) AS me, max(d) AS hi FROM t GROUP BY id) SELECT d.id AS tcr_id, {stats}, any_value(lo) AS tcrdist_all_min, any_value(me) AS tcrdist_all_mean, any_value(hi) AS tcrdist_all_max FROM d JOIN w USING (id) GROUP BY d.id"
+
+
+@query(_weighted_sql())
+def weighted_loop_distances(spark, sf_dir):
+    """Substitution-weighted distances of six loops, gaps placed by region, from every receptor to a panel."""
+    cut = lambda text, n: F.substring(F.regexp_replace(F.upper(F.expr(text)), "[^A-Z]", ""), F.lit(1), F.expr(str(n)))
+    q = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("tcr_id"), *[cut(a, n).alias(r) for r, (a, n, _) in SPELT.items()])
+    refs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("tcr_id"), *[cut("n_name || n_name", k).alias(r) for r, (_, _, k) in SPELT.items()])
+    kernels = similarity.weighted_kernels(similarity.residue_distances(similarity.grouped_scores(similarity.LIKE)))
+    got = similarity.loop_distances(similarity.receptor_table(q), similarity.receptor_table(refs), kernels)
+    return got.select("tcr_id", *[(r6(F.col(c)) if c.endswith("mean") else F.col(c)).alias(c) for c in got.columns if c != "tcr_id"])
+
+
 @query("""SELECT c_custkey::VARCHAR AS tcr_id, 'pdb = ' || c_custkey || '.pdb|mol = ' || CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE 'P' || c_nationkey || ',M,B' END AS receptor FROM customer""")
 def docking_specs(spark, sf_dir):
     """Chain mappings read from JSON, and each complex' docking job; those without a mapping have none."""

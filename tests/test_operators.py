@@ -371,3 +371,36 @@ def test_ipsae_of_matrices_as_they_are(spark):
 
     assert len(got) == 30
     pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False, rtol=1e-9)
+
+
+def plain_loop_distance(a, b, of, gap, trim, fixed):
+    if len(a) > len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if n == m:
+        return sum(of(a[i], b[i]) for i in range(trim[0], n - trim[1]))
+    if fixed:
+        low = high = min(6, 3 + (n - 5) // 2)
+    else:
+        low, high = 5, n - 5
+        while low > high:
+            low, high = low - 1, high + 1
+    ways = [sum(of(a[i], b[i]) for i in range(trim[0], g)) + sum(of(a[n - 1 - c], b[m - 1 - c]) for c in range(trim[1], n - g)) for g in range(low, high + 1)]
+    return min(ways) + gap * (m - n)
+
+
+def test_weighted_loop_kernel(spark):
+    r = random.Random(5)
+    scores_ = similarity.matrix_scores("# a comment\n   A C D E F\nA  4 0 -2 -1 -2\nC  0 9 -3 -4 -2\nD -2 -3 6 2 -3\nE -1 -4 2 5 -3\nF -2 -2 -3 -3 6\n")
+    assert scores_["DE"] == 2 and scores_["CC"] == 9
+    table = similarity.residue_distances(scores_)
+    of = lambda a, b: 0 if a == b else max(0, min(4, 4 - scores_[a + b])) if {a, b} <= set("ACDEF") else 4
+    word = lambda n: "".join(r.choice("ACDEF" if n % 2 else "ACDEFX*") for _ in range(n))
+    pairs = [(word(r.randrange(1, 20)), word(r.randrange(1, 20))) for _ in range(300)] + [("A", "A"), ("ACD", "ACDACDACDACD")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)] + [(-1, None, "A"), (-2, "", "A")], "i int, a string, b string")
+    for trim, fixed in (((0, 0), True), ((3, 2), False)):
+        kernel = similarity.loop_kernel(table, trim=trim, fixed=fixed)
+        got = {x.i: x.d for x in df.select("i", kernel(F.col("a"), F.col("b")).alias("d")).collect()}
+        assert got == {**{i: float(plain_loop_distance(a, b, of, 4, trim, fixed)) for i, (a, b) in enumerate(pairs)}, -1: None, -2: None}
+    near = similarity.residue_distances(similarity.grouped_scores(("DE",), 3))
+    assert near[3 * 26 + 4] == near[4 * 26 + 3] == 1 and near[0] == 0 and near[1] == 4
