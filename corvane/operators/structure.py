@@ -111,30 +111,20 @@ def removed_indices(full: DataFrame, observed: DataFrame, keys: list[str]) -> Da
 
 
 def align_numbering(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Numbered residues matched in order to a structure's residues.
+    """Numbered residues matched in order to a structure's residues: keys, at, label, matched.
 
     ``rows``: keys, side (``n`` numbered or ``s`` structure), at (place), aa, label. Each numbered residue takes the
-    next structure residue of its letter; after one that finds none, all the others are null too. A stateful walk by
-    chain, so one Arrow group a chain.
+    next structure residue of its letter; after one that finds none, all the others are null too. A fold over a
+    chain's numbered residues with the place in the structure as its state; a chain is one row.
     """
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema], "at int", "label string", "matched string"])
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("at", kind="stable")
-        numbered, built = df[df.side == "n"], df[df.side == "s"]
-        letters, labels = list(built.aa), list(built.label)
-        at, found = 0, []
-        for aa in numbered.aa:
-            while at < len(letters) and letters[at] != aa:
-                at += 1
-            found.append(labels[at] if at < len(letters) else None)
-            at += 1
-        out = numbered[[*keys, "at", "label"]].copy()
-        out["at"] = out["at"].astype("int32")
-        out["matched"] = found
-        return out
-
-    return rows.groupBy(*keys).applyInPandas(walk, schema)
+    part = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("at", "aa", "label"))))
+    chains = rows.groupBy(*keys).agg(part("n").alias("n__"), part("s").alias("s__")).withColumn("letters__", F.transform("s__", lambda x: x["aa"]))
+    walk = F.expr("""aggregate(n__, named_struct('at', 0L, 'hits', cast(array() AS array<bigint>)), (w, x) ->
+        transform(array(array_position(slice(letters__, cast(w.at + 1 as int), greatest(size(letters__) - cast(w.at as int), 0)), x.aa)), p ->
+            named_struct('at', if(p > 0, w.at + p, cast(size(letters__) as bigint)), 'hits', concat(w.hits, array(if(p > 0, w.at + p, 0L)))))[0]).hits""")
+    each = chains.withColumn("hits__", walk).select(*keys, "s__", F.explode(F.arrays_zip("n__", "hits__")).alias("r__"))
+    found = F.when(F.col("r__.hits__") > 0, F.get("s__", F.col("r__.hits__").cast("int") - 1)["label"])
+    return each.select(*keys, F.col("r__.n__.at").cast("int").alias("at"), F.col("r__.n__.label").alias("label"), found.alias("matched"))
 
 
 def superpose(mobile: np.ndarray, target: np.ndarray) -> float:

@@ -3,6 +3,7 @@
 import pytest
 from rows import plain
 
+from corvane import plan_queries, structure_queries  # noqa: F401  register their queries
 from corvane.queries import ORACLES, QUERIES
 
 
