@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 @dataclass(frozen=True)
 class Thresholds:
     """Cutoffs by metric and strength. ``aliases`` map a metric's short name to its column."""
@@ -25,9 +24,9 @@ class Thresholds:
         return col <= cut if metric in self.lower_is_better else col >= cut
 
     def steps(self, preset: str) -> list[tuple[str, Column]]:
-        """The steps of a preset such as ``A_strong + B_weak``."""
+        """The steps of a preset, given by its name in ``PRESETS`` or as text such as ``A_strong + B_weak``."""
         out = []
-        for token in preset.split("+"):
+        for token in PRESETS.get(preset.strip().lower(), preset).split("+"):
             metric, _, strength = token.strip().rpartition("_")
             out.append((token.strip(), self.predicate(metric, strength)))
         return out
@@ -40,6 +39,8 @@ PMHC = Thresholds(
     frozenset({"mhcflurry_pres", "mhcflurry_proc", "NOAH", "EL_rank", "mhcflurry_aff", "BA_rank"}),
     {"mhcflurry_pres": "mhcflurry_presentation_percentile", "mhcflurry_proc": "mhcflurry_processing_percentile", "mhcflurry_aff": "mhcflurry_affinity_percentile"},
 )
+#: The presets that users know by name.
+PRESETS = {"vhio": "EL_rank_strong", "relaxed": "BA_rank_strong + NOAH_weak + mhcflurry_pres_strong", "stringent": "NetCleave_strong + BA_rank_strong + NOAH_weak"}
 #: What a missing score counts as, so that it passes.
 PMHC_MISSING = {"EL_rank": 0.0, "BA_rank": 0.0, "mhcflurry_affinity_percentile": 0.0, "mhcflurry_presentation_percentile": 0.0, "mhcflurry_processing_percentile": 0.0, "NOAH": -10.0, "NetCleave": 1.0, "PredIG": 1.0}
 

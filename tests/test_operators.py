@@ -404,3 +404,12 @@ def test_weighted_loop_kernel(spark):
         assert got == {**{i: float(plain_loop_distance(a, b, of, 4, trim, fixed)) for i, (a, b) in enumerate(pairs)}, -1: None, -2: None}
     near = similarity.residue_distances(similarity.grouped_scores(("DE",), 3))
     assert near[3 * 26 + 4] == near[4 * 26 + 3] == 1 and near[0] == 0 and near[1] == 4
+
+
+def test_presets_by_name(spark):
+    rows = [(i, 0.1 * i, 0.2 * i, -7.0 + i, 0.4 + 0.1 * i, 0.3 * i) for i in range(12)]
+    df = spark.createDataFrame(rows, "i int, EL_rank double, BA_rank double, NOAH double, NetCleave double, mhcflurry_presentation_percentile double")
+    got = {name: {r.i for r in filters.preset_filter(df, name, filters.PMHC).collect()} for name in ("vhio", "Relaxed", "stringent", "EL_rank_strong")}
+    assert got["vhio"] == got["EL_rank_strong"] == {i for i, el, *_ in rows if el <= 0.5}
+    assert got["Relaxed"] == {i for i, _, ba, noah, _, pres in rows if ba <= 0.5 and noah <= -1 and pres <= 1}
+    assert got["stringent"] == {i for i, _, ba, noah, net, _ in rows if net >= 0.6 and ba <= 0.5 and noah <= -1}
