@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import has_nan
+from ..schemas import EMBEDDINGS
+from ..storage import materialized
 from .joins import last_by
 
 PARTS = ("TCRA", "TCRB", "MHC_seq", "Epitope")
@@ -66,6 +68,48 @@ def upsert(store: DataFrame, new: DataFrame) -> DataFrame:
     return last_by(both, keys, "at__").drop("at__")
 
 
+#: Buckets of a stored table of embeddings, and how its files carry them and the batches that are in it.
+STORE_BUCKETS, BUCKET, BATCHES = 64, "bucket", "_batches"
+
+
+def _bucket(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64("tcr_id", "part", "region"), F.lit(buckets)).cast("int"))
+
+
+def stored_batches(spark: SparkSession, path: str) -> set[int]:
+    """The numbers of the batches that are in a store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{BATCHES}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return set()
+    return {r.batch for r in spark.read.schema("batch long").parquet(f"{path}/{BATCHES}").collect()}  # a row a batch
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a store, without its buckets."""
+    return spark.read.schema(f"{EMBEDDINGS}, {BUCKET} int").parquet(path).drop(BUCKET)
+
+
+def upsert_store(new: DataFrame, path: str, batch: int, buckets: int = STORE_BUCKETS) -> bool:
+    """Put a batch of rows into the store at ``path``, in place of those of equal key; False for a batch that is there already.
+
+    Keys are dealt to buckets, which are the store's partitions. Only those that the batch touches are read, joined with it
+    and overwritten; all other files stay as they are. The batch's number is written after its rows, so a run that
+    ends between the two is repeated and gives the same rows. ``buckets`` may not change over a store's life.
+    """
+    spark = new.sparkSession
+    if batch in stored_batches(spark, path):
+        return False
+    rows = materialized(_bucket(new.select("tcr_id", "part", "region", "vec"), buckets), "new-embeddings")
+    touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # as many as there are buckets at most
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if touched and folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        old = spark.read.schema(f"{EMBEDDINGS}, {BUCKET} int").parquet(path).where(F.col(BUCKET).isin(touched))
+        rows = materialized(_bucket(upsert(old.drop(BUCKET), rows.drop(BUCKET)), buckets), "merged-embeddings")
+    rows.repartition(len(touched) or 1, BUCKET).write.partitionBy(BUCKET).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+    spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(f"{path}/{BATCHES}")
+    return True
+
+
 def stub_encoder(sequences: list[str], size: int = 16) -> list[np.ndarray]:
     """Deterministic vectors by residue, a stand-in for a language model in tests: sines of letter and place."""
     steps = np.arange(1, size + 1)

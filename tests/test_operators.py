@@ -413,3 +413,19 @@ def test_presets_by_name(spark):
     assert got["vhio"] == got["EL_rank_strong"] == {i for i, el, *_ in rows if el <= 0.5}
     assert got["Relaxed"] == {i for i, _, ba, noah, _, pres in rows if ba <= 0.5 and noah <= -1 and pres <= 1}
     assert got["stringent"] == {i for i, _, ba, noah, net, _ in rows if net >= 0.6 and ba <= 0.5 and noah <= -1}
+
+
+def test_store_changes_only_what_a_batch_touches(spark, tmp_path):
+    import glob
+
+    path = str(tmp_path / "store")
+    rows = lambda ids, v: spark.createDataFrame([(str(i), "TCRA", r, [float(v), float(i)]) for i in ids for r in ("", "cdr3", None)], schemas.EMBEDDINGS)
+    files = lambda: set(glob.glob(f"{path}/bucket=*/*.parquet"))
+    assert embeddings.upsert_store(rows(range(200), 0), path, 1, 16)
+    first = files()
+    assert len({f.split("bucket=")[1].split("/")[0] for f in first}) == 16
+    assert embeddings.upsert_store(rows([3], 1), path, 2, 16) and not embeddings.upsert_store(rows([4], 9), path, 2, 16)
+    assert 13 <= len(first & files()) < 16 and embeddings.stored_batches(spark, path) == {1, 2}
+    assert embeddings.upsert_store(rows([500], 2), path, 3, 16) and embeddings.upsert_store(rows([], 2), path, 4, 16)
+    got = {(r.tcr_id, r.region): r.vec for r in embeddings.read_store(spark, path).collect()}
+    assert len(got) == 603 and got[("3", None)] == [1.0, 3.0] and got[("4", "")] == [0.0, 4.0] and got[("500", "cdr3")] == [2.0, 500.0]
