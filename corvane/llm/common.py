@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,16 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a local one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..storage import shared_dir
 
 
 _OPEN: list[list[tuple[SparkSession, str]]] = []
@@ -64,13 +52,6 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return back
 
 
-def tidy(spark: SparkSession) -> None:
-    """Have the driver look for plans that nothing refers to any more, and give Spark a moment to delete their shuffle files."""
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

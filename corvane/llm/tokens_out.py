@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, documents, held, partitions, shared_dir
+from .common import as_text, documents, held, kind, partitions, shared_dir
 from .units import cut_units
 
-TOKEN_FILE_SCHEMA = "part int, seq int, doc_id long, n_tokens int, ids array<int>"
+TOKEN_FILE_SCHEMA = "part int, seq int, doc_id {id}, n_tokens int, ids array<int>"
 
 
 class Encoder:
@@ -124,8 +124,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                       row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, encoding: str = "dictionary", codec: str = "zstd") -> None:
     """Encode every whole text, append ``end_id`` and write the token files at ``path``.
 
-    Null text is the empty text: its row holds ``end_id`` only. Null ids sort first. Repeated rows are repeated
-    documents, equal ids are ordered by text. ``encoding`` is ``dictionary`` or ``delta``.
+    Null text is the empty text: its row holds ``end_id`` only. Ids of any type that sorts; null ones first. Repeated rows are repeated
+    documents, equal ids are ordered by a hash of their texts. ``encoding`` is ``dictionary`` or ``delta``.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
@@ -144,8 +144,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     spark = docs.sparkSession
     rows = as_text(docs, text_col, id_col).toDF("doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "tie", "text")
-    (dealt.select("doc_id", "text").mapInArrow(encode, TOKEN_FILE_SCHEMA).write
+    dealt = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")  # one id may be that of many rows
+    (dealt.select("doc_id", "text").mapInArrow(encode, TOKEN_FILE_SCHEMA.format(id=kind(rows, "doc_id"))).write
      .option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
      .option("parquet.writer.version", "PARQUET_1_0" if encoding == "dictionary" else "PARQUET_2_0")
@@ -158,7 +158,7 @@ def with_start(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     The running sum is taken within each file and added to the sum of the files before it, so the only single task
     sees one row a file.
     """
-    files = spark.read.schema(TOKEN_FILE_SCHEMA).parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+    files = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("part", F.sum("in_part").over(before).alias("before"))
     inner = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -169,13 +169,13 @@ def with_start(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """part, seq, doc_id, n_tokens and start of each document; no page of ids is read."""
-    meta = spark.read.schema(TOKEN_FILE_SCHEMA).parquet(path).select("part", "seq", "doc_id", "n_tokens")
+    meta = spark.read.parquet(path).select("part", "seq", "doc_id", "n_tokens")
     return with_start(meta, spark, path)
 
 
-def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
     """The documents' ids; with ``doc_ids``, only pages whose index admits one of them."""
-    rows = spark.read.schema(TOKEN_FILE_SCHEMA).parquet(path)
+    rows = spark.read.parquet(path)
     return rows if doc_ids is None else rows.where(F.col("doc_id").isin(doc_ids))
 
 
@@ -190,7 +190,8 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             crc = [zlib.crc32(values[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = read_tokens(spark, path).select("part", "seq", "doc_id", "ids").mapInArrow(sums, "part int, seq int, doc_id long, n_tokens long, ids_crc32 long")
+    tokens = read_tokens(spark, path).select("part", "seq", "doc_id", "ids")
+    rows = tokens.mapInArrow(sums, f"part int, seq int, doc_id {kind(tokens, 'doc_id')}, n_tokens long, ids_crc32 long")
     return with_start(rows, spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -278,6 +278,22 @@ def test_token_files(spark, sf_dir, tmp_path, encoding):
     assert [r.doc_id for r in tokens_out.read_tokens(spark, out, [37]).collect()] == [37]
 
 
+def test_token_files_of_text_ids_and_of_one_id_for_many_rows(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = vocab.tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rows = [(f"k{i % 5}", f"text {i % 3} of {i % 7}", 1, [1]) for i in range(60)] + [(None, None, 2, [2]), ("k9", "", 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, part int, ids array<int>")
+    tokens_out.write_token_files(docs, str(tmp_path / "t"), path)
+    got = tokens_out.digests(spark, str(tmp_path / "t")).collect()
+    want = Counter((d, zlib.crc32(np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())) for d, t, *_ in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    placed = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in placed] == [sum(r.n_tokens for r in placed[:i]) for i in range(len(placed))]
+    assert [r.doc_id or "" for r in placed] == sorted(d or "" for d, *_ in rows)
+
+
 def test_token_files_have_the_asked_encoding_and_indexes(spark, tmp_path):
     import glob
 
@@ -417,7 +433,10 @@ def test_recall_on_the_table(spark):
     assert hits / (20 * len(by)) >= 0.95
 
 
-def test_line_table_counts_words_and_letters(spark):
+@pytest.mark.parametrize("many", [lines.MANY, 30])
+def test_line_table_counts_words_and_letters(spark, monkeypatch, many):
+    """Words are counted by sums over rows of words, or by chunks where a line has many."""
+    monkeypatch.setattr(lines, "MANY", many)
     long = [f"word{i}" for i in range(3000)]
     got = {r.pos: r for r in lines.line_table(table(spark, ["One, two; THREE four five 12!\nshort one\n\n" + " ".join(long) + "\n" + " ".join(long[:40] * 3), None])).collect()}
     assert {k: (r.n, r.simhash is None) for k, r in got.items()} == {0: (6, True), 3: (3000, False), 4: (120, False)}
@@ -594,12 +613,13 @@ def test_line_index_misses_no_near_pair():
     for apart, n in ((6, 100), (6, 10**6), (6, 10**9), (3, 10**7), (0, 50)):
         m, r = lines.blocks(n, apart)
         assert m - r == apart
-        cuts = [x % 2**64 for x in lines.masks(m, r)]
+        cuts = [(x % 2**64, others) for x, others in lines.choices(m, r)]
         assert len(set(cuts)) == len(cuts) == math.comb(m, r)
         rng = random.Random(n)
         for _ in range(200):
             flip = sum(1 << i for i in rng.sample(range(64), apart))
-            assert any(not flip & c for c in cuts)
+            same = sum(1 << i for i, b in enumerate(lines.block_masks(m)) if not flip & b % 2**64)
+            assert sum(not flip & c and not same & others for c, others in cuts) == 1  # met at one of the keys that they share
 
 
 def test_line_dedup_of_digits_codes_and_scripts(spark):
