@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 
 from ..storage import shared_dir
 
-
 _OPEN: list[list[tuple[SparkSession, str]]] = []
 _PLACE = "corvane_place"
 
@@ -72,6 +71,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     """``mapInArrow`` of a function of a batch that ``make`` builds once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have had
         step = make()
         for batch in batches:
             if batch.num_rows:
