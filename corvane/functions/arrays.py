@@ -77,10 +77,15 @@ def has_nan(vector: Column) -> Column:
     return F.exists(vector, lambda x: x.isNull() | F.isnan(x))
 
 
+def without_places(values: Column, gone: Column) -> Column:
+    """An array without the elements at the listed indices (from 0), which are looked up by hash."""
+    places = F.array_except(F.sequence(F.lit(0), F.size(values) - 1), gone.cast("array<int>"))
+    return F.when(F.size(values) > 0, F.transform(places, lambda i: F.get(values, i))).otherwise(values)
+
+
 def without(matrix: Column, gone: Column) -> Column:
     """A matrix without the rows and columns of the listed indices (from 0)."""
-    keep = lambda row: F.filter(row, lambda _, i: ~F.array_contains(gone, i))
-    return F.transform(F.filter(matrix, lambda _, i: ~F.array_contains(gone, i)), keep)
+    return F.transform(without_places(matrix, gone), lambda row: without_places(row, gone))
 
 
 def sum_skip_null(cols: list[Column]) -> Column:

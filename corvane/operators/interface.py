@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays
 from ..functions.scores import d0, d0_of_residue, pdockq, pdockq2, ptm
 from .joins import lookup_side
 from .spatial import XYZ, radius_join, side
@@ -154,15 +155,43 @@ def pair_grid(chains: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b, keys).where("chain1 <> chain2")
 
 
+def matrix_rows(matrices: DataFrame, keys: list[str], *names: str) -> DataFrame:
+    """keys, token (the place from 0) and each named matrix' row there. A table with a column ``token`` has such rows already.
+
+    A matrix may be too large for one row; its rows aren't. What a plan makes rows from is small, so they look small to the planner and
+    would be broadcast: joins with them are hinted.
+    """
+    if "token" in matrices.columns:
+        return matrices.select(*keys, "token", *names)
+    return matrices.select(*keys, F.posexplode(F.arrays_zip(*names)).alias("token", "row__")).select(*keys, "token", *[F.col(f"row__.{n}").alias(n) for n in names])
+
+
+def rows_without(rows: DataFrame, keys: list[str], gone: str, *names: str) -> DataFrame:
+    """Matrix rows without the rows and columns of the places listed in the column ``gone``; the places left count anew from 0."""
+    lost = F.size(F.filter(gone, lambda g: g < F.col("token")))
+    left = rows.where(~F.array_contains(gone, F.col("token")))
+    return left.select(*keys, (F.col("token") - lost).alias("token"), *[arrays.without_places(F.col(n), F.col(gone)).alias(n) for n in names])
+
+
+#: Cells of a matrix row that are joined at once with the residues of their places.
+CUT = 256
+
+
 def matrix_pairs(confidences: DataFrame, tokens: DataFrame, keys: list[str], matrix: str = "pae") -> DataFrame:
     """The long form of a residue matrix: keys, chain1, i, chain2, j, pae, for pairs of different chains.
 
-    ``tokens``: keys, chain, residue, token (the place in the matrix from 0).
+    ``tokens``: keys, chain, residue, token (the place in the matrix from 0). ``confidences``: a matrix a row, or its rows by ``token``.
+    Rows are cut into runs of cells that meet the residues of their places: no cell is shuffled on its own.
     """
-    cells = confidences.select(*keys, F.posexplode(matrix).alias("t1", "row")).select(*keys, "t1", F.posexplode("row").alias("t2", "pae"))
-    a = tokens.select(*keys, F.col("chain").alias("chain1"), F.col("residue").alias("i"), F.col("token").alias("t1"))
-    b = tokens.select(*keys, F.col("chain").alias("chain2"), F.col("residue").alias("j"), F.col("token").alias("t2"))
-    return cells.join(a, [*keys, "t1"]).join(b, [*keys, "t2"]).where("chain1 <> chain2").drop("t1", "t2")
+    own = tokens.select(*keys, "token", F.col("chain").alias("chain1"), F.col("residue").alias("i"))
+    rows = matrix_rows(confidences, keys, matrix).hint("merge").join(own, [*keys, "token"])
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(matrix) - 1) / CUT).cast("int")), lambda b: F.slice(matrix, b * CUT + 1, CUT))
+    cut = rows.where(F.size(matrix) > 0).select(*keys, "chain1", "i", F.posexplode(runs).alias("cut__", "run__"))
+    place = F.struct((F.col("token") % CUT).cast("int").alias("at"), F.col("chain").alias("chain2"), F.col("residue").alias("j"))
+    places = tokens.groupBy(*keys, F.floor(F.col("token") / CUT).cast("int").alias("cut__")).agg(F.collect_list(place).alias("places__"))
+    met = F.filter("places__", lambda p: (p["chain2"] != F.col("chain1")) & (p["at"] < F.size("run__")))
+    cells = F.transform(met, lambda p: F.struct(p["chain2"].alias("chain2"), p["j"].alias("j"), F.get("run__", p["at"]).alias("pae")))
+    return cut.hint("merge").join(places, [*keys, "cut__"]).select(*keys, "chain1", "i", F.inline(cells))
 
 
 def mean_plddt(atoms: DataFrame, keys: list[str], by: str | None = None, out: str = "plddt") -> DataFrame:
@@ -203,15 +232,19 @@ def residue_contacts(residues: DataFrame, keys: list[str], radius: float = 8.0,
 def chain_confidence(residues: DataFrame, matrices: DataFrame, keys: list[str], radius: float = 8.0, coords: tuple[str, ...] = XYZ, pae: str = "pae", pde: str = "contact_probs") -> DataFrame:
     """Per chain: if_plddt, avgipae, avgipde and pdockq2 of its contacts with the other chains; 0 without contacts.
 
-    The pLDDT counts the source residue once a pair. The matrices' cells are those of the pairs in contact by CA. Matrices have one
-    row a model and aren't expanded: the few pairs of a chain are gathered and looked up in them. ``token`` is the place in the matrix from 0.
+    The pLDDT counts the source residue once a pair. The matrices' cells are those of the pairs in contact by CA. ``matrices`` have a row a
+    model, or one for each ``token``, its place in the matrix from 0. Cells aren't expanded: the places that a residue is in contact with
+    are gathered and looked up in its own row of the matrix.
     """
     near = residue_contacts(residues, keys, radius, coords)
-    chain = [*keys, F.col("chain_from").alias("chain")]
-    cells = F.collect_list(F.when(F.col("atom") == "ca", F.struct("token_from", "token_to")))
-    got = near.groupBy(*chain).agg(F.avg("b_from").alias("if_plddt"), cells.alias("cells")).join(matrices.select(*keys, F.col(pae).alias("pae__"), F.col(pde).alias("pde__")), keys, "left")
-    mean = lambda m, f: F.aggregate(F.transform("cells", lambda c: f(F.get(F.get(m, c["token_from"]), c["token_to"]))), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("cells"), F.lit(0))
-    got = got.select(*keys, "chain", "if_plddt", mean("pae__", lambda x: ptm(x, F.lit(10.0))).alias("avgipae"), mean("pde__", lambda x: x).alias("avgipde"))
+    cells = F.collect_list(F.when(F.col("atom") == "ca", F.col("token_to").cast("int")))
+    # a token lies in one chain
+    by = near.groupBy(*keys, F.col("token_from").alias("token")).agg(F.min("chain_from").alias("chain"), F.sum("b_from").alias("b__"), F.count("b_from").alias("n_b__"), cells.alias("cells"))
+    by = by.join(matrix_rows(matrices, keys, pae, pde).hint("merge"), [*keys, "token"], "left")
+    total = lambda m, f: F.aggregate("cells", F.lit(0.0), lambda s, j: s + f(F.get(m, j)))
+    by = by.select(*keys, "chain", "b__", "n_b__", F.size("cells").alias("n__"), total(pae, lambda x: ptm(x, F.lit(10.0))).alias("pae__"), total(pde, lambda x: x.cast("double")).alias("pde__"))
+    mean = lambda c: F.when(F.count_if(F.col(c).isNull()) == 0, F.sum(c) / F.nullif(F.sum("n__"), F.lit(0)))
+    got = by.groupBy(*keys, "chain").agg((F.sum("b__") / F.nullif(F.sum("n_b__"), F.lit(0))).alias("if_plddt"), mean("pae__").alias("avgipae"), mean("pde__").alias("avgipde"))
     every = residues.select(*keys, "chain").distinct().join(got, [*keys, "chain"], "left").fillna(0.0, ["if_plddt", "avgipae", "avgipde"])
     return every.withColumn("pdockq2", pdockq2(F.col("avgipae"), F.col("if_plddt")))
 

@@ -59,10 +59,12 @@ def residues(spark, sf_dir) -> DataFrame:
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """One square matrix a model, of made-up errors."""
+    """The rows of one square matrix a model, of made-up errors. They are dealt before they are made, as what they are made from is small."""
     n = rows.groupBy("m").agg(F.count("*").alias("n"))
-    square = lambda e: F.expr(f"transform(sequence(0, cast(n - 1 as int)), i -> transform(sequence(0, cast(n - 1 as int)), j -> {e}))")
-    return n.select("m", square("cast(abs(i - 2 * j) % 30 as double)").alias("pae"), square("((i + j) % 7) / 7e0").alias("contact_probs"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.select("m", "token").join(n, "m").repartition(parts, "m", "token")
+    line = lambda e: F.expr(f"transform(sequence(0, cast(n - 1 as int)), j -> {e})")
+    return each.select("m", "token", line("cast(abs(token - 2 * j) % 30 as double)").alias("pae"), line("((token + j) % 7) / 7e0").alias("contact_probs"))
 
 
 NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.25"
@@ -85,7 +87,7 @@ def trimmed_matrix(spark, sf_dir):
     """A matrix without the rows and columns of removed residues, in its long form by chain pair."""
     rows = residues(spark, sf_dir)
     gone = rows.groupBy("m").agg(F.collect_list(F.when(F.col("token") % 4 == 1, F.col("token"))).alias("gone"))
-    small = cells(rows).join(gone, "m").select("m", arrays.without(F.col("pae"), F.col("gone")).alias("pae"))
+    small = interface.rows_without(cells(rows).select("m", "token", "pae").join(F.broadcast(gone), "m"), ["m"], "gone", "pae")
     left = rows.where("token % 4 <> 1").withColumn("place", F.row_number().over(Window.partitionBy("m").orderBy("token")) - 1)
     pairs = interface.matrix_pairs(small, left.select("m", "chain", F.col("token").alias("residue"), F.col("place").alias("token")), ["m"])
     return pairs.groupBy("m", "chain1", "chain2").agg(F.sum("pae").alias("total"), F.count("*").alias("n"))
