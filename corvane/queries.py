@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import arrays, keys, scores, sequences
+from .functions import arrays, keys, ranges, scores, sequences
 from .operators import aggregates, embeddings, energies, filters, interface, joins, ml, sets, similarity, sinks, spatial, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,7 +210,8 @@ def pdockq2_like(spark, sf_dir):
 def matrix(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(ordered residue pairs with an error, chain lengths) of every order: lines are residues, return flags chains."""
     w = Window.partitionBy("l_orderkey", "l_returnflag").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("chain"), F.row_number().over(w).alias("i"), F.col("l_quantity").alias("q"))
+    lines = ranges.by_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"), "l_orderkey")
+    rows = lines.select("l_orderkey", F.col("l_returnflag").alias("chain"), F.row_number().over(w).alias("i"), F.col("l_quantity").alias("q"))
     a, b = spatial.side(rows, "1", ["l_orderkey"], ["chain", "i", "q"]), spatial.side(rows, "2", ["l_orderkey"], ["chain", "i", "q"])
     pairs = a.join(b, "l_orderkey").where("chain_1 <> chain_2").select("l_orderkey", F.col("chain_1").alias("chain1"), F.col("i_1").alias("i"), F.col("chain_2").alias("chain2"), F.col("i_2").alias("j"), F.abs(F.col("q_1") - F.col("q_2")).alias("pae"))
     return pairs, rows.groupBy("l_orderkey", "chain").agg((F.count("*") * 20).alias("length"))
