@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.scores import d0, d0_of_residue, pdockq, pdockq2, ptm
-from .joins import lookup_side
 from .spatial import XYZ, radius_join, side
 
 #: Descending thresholds of the score, and the share of right models at each.
@@ -53,31 +52,33 @@ def lis(pairs: DataFrame, keys: list[str], pae: str = "pae", cutoff: float = 12.
     return pairs.groupBy(*keys).agg(F.coalesce(F.avg(below), F.lit(0.0)).alias("LIS"))
 
 
-def ipsae(pairs: DataFrame, lengths: DataFrame, keys: list[str] | None = None, cutoff: float = 10.0, distance: float = 10.0) -> DataFrame:
+def ipsae(pairs: DataFrame, lengths: DataFrame, keys: list[str] | None = None, cutoff: float = 10.0, distance: float = 10.0, dealt: bool = False) -> DataFrame:
     """ipSAE, its two variants and ipTM of every ordered chain pair.
 
     ``pairs`` has a row for each ordered pair of residues of two chains: keys, chain1, i, chain2, j, pae, and dist if
     interface residues are wanted. ``lengths``: keys, chain, length. Per residue i, four means over j; a score is the
     largest mean, and ``n0res``, ``d0res``, ``best`` are those of the first residue that has it.
 
-    Residue pairs are shuffled once, by chain pair: what is counted by residue and by pair are windows over that
-    dealing, so nothing is joined back. A residue counts once by the row of its first partner that passes.
+    Residue pairs are shuffled once, by model, or by chain pair if there are no keys; not at all if they are ``dealt``, with rows of a
+    model in one partition. What is counted by residue and by pair are windows over that dealing, and a model's lengths come to it as a
+    map, so nothing is joined back. A residue counts once by the row of its first partner that passes.
     """
     keys = keys or []
     pair = [*keys, "chain1", "chain2"]
     by_pair, by_i, by_j = Window.partitionBy(*pair), Window.partitionBy(*pair, "i"), Window.partitionBy(*pair, "j")
-    size = lambda n: lengths.select(*keys, F.col("chain").alias(f"chain{n}"), F.col("length").alias(f"len{n}"))
     marks = {"nres": F.col("pae") < cutoff}
     if "dist" in pairs.columns:
         marks["dist"] = marks["nres"] & (F.col("dist") < distance)
-    rows = pairs.repartition(*pair)
-    for name, ok in marks.items():
-        once = lambda other, own, ok=ok: ok & (F.col(other) == F.min(F.when(ok, F.col(other))).over(own))
-        rows = rows.withColumn(f"{name}_i", once("j", by_i).cast("int")).withColumn(f"{name}_j", once("i", by_j).cast("int"))
+    rows = pairs if dealt else pairs.repartition(*(keys or pair))
+    once = lambda ok, other, own: (ok & (F.col(other) == F.min(F.when(ok, F.col(other))).over(own))).cast("int")
+    rows = rows.withColumns({"n0res": F.sum(F.when(marks["nres"], 1).otherwise(0)).over(by_i), **{f"{name}_i": once(ok, "j", by_i) for name, ok in marks.items()}})
+    rows = rows.withColumns({f"{name}_j": once(ok, "i", by_j) for name, ok in marks.items()})
     valid = marks["nres"]
-    rows = rows.withColumn("n0res", F.sum(F.when(valid, 1).otherwise(0)).over(by_i))
     counted = [F.coalesce(F.sum(f"{name}_{side}").over(by_pair), F.lit(0)).alias(f"{name}{n}") for name in marks for n, side in ((1, "i"), (2, "j"))]
-    rows = rows.select(*pair, "i", "pae", "n0res", *counted).join(lookup_side(size(1)), [*keys, "chain1"]).join(lookup_side(size(2)), [*keys, "chain2"])
+    sizes = lengths.where("chain is not null").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("chain", "length"))).alias("sizes__"))
+    rows = rows.select(*pair, "i", "pae", "n0res", *counted)
+    rows = rows.join(sizes, keys) if keys else rows.crossJoin(F.broadcast(sizes))
+    rows = rows.select("*", *[F.try_element_at("sizes__", F.col(f"chain{n}")).alias(f"len{n}") for n in (1, 2)]).drop("sizes__").where("len1 is not null and len2 is not null")
     rows = rows.withColumn("n0chn", F.col("len1") + F.col("len2")).withColumn("n0dom", F.col("nres1") + F.col("nres2"))
     scales = {"d0chn": d0(F.col("n0chn")), "d0dom": d0(F.col("n0dom")), "d0res": d0_of_residue(F.col("n0res"))}
     own = ["n0chn", "n0dom", "d0chn", "d0dom", *[f"{name}{n}" for name in marks for n in (1, 2)]]

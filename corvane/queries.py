@@ -241,7 +241,7 @@ m AS (SELECT l_orderkey, chain1, chain2, max(res) AS ipsae, max(chn) AS ipsae_d0
 SELECT l_orderkey, chain1, chain2, round(ipsae, 6) AS ipsae, round(ipsae_d0chn, 6) AS ipsae_d0chn, round(ipsae_d0dom, 6) AS ipsae_d0dom, round(iptm_d0chn, 6) AS iptm_d0chn, n0chn, n0dom, nres1, nres2 FROM m JOIN d USING (l_orderkey, chain1, chain2)""")
 def ipsae_by_pair(spark, sf_dir):
     pairs, lengths = matrix(spark, sf_dir)
-    got = interface.ipsae(pairs, lengths, ["l_orderkey"])
+    got = interface.ipsae(pairs, lengths, ["l_orderkey"], dealt=True)
     return got.select("l_orderkey", "chain1", "chain2", *[r6(F.col(a)).alias(a.lower()) for a in ("ipSAE", "ipSAE_d0chn", "ipSAE_d0dom", "ipTM_d0chn")], "n0chn", "n0dom", "nres1", "nres2")
 
 

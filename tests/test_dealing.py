@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corvane import queries
 from corvane.functions import ranges
+from corvane.operators import interface
 
 
 def test_dealt_by_size(spark):
@@ -14,8 +15,19 @@ def test_dealt_by_size(spark):
 
 
 def test_pairs_stay_where_their_lines_were_dealt(spark, sf_dir):
-    for query in (queries.lis_by_pair, queries.symmetric_best):
+    for query in (queries.lis_by_pair, queries.symmetric_best, queries.ipsae_by_pair):
         df = query(spark, sf_dir)
         plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
         own = [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x]
         assert own and all("chain1" not in x and "chain2" not in x for x in own)
+
+
+def test_ipsae_without_keys_is_that_of_one_model(spark):
+    rows = [("A", i, "B", j, float((7 * i + 3 * j) % 17)) for i in range(6) for j in range(5)] + [("B", j, "A", i, float((5 * i + 2 * j) % 13)) for i in range(6) for j in range(5)] + [("A", 1, "C", 1, 3.0)]
+    pairs = spark.createDataFrame(rows, "chain1 string, i int, chain2 string, j int, pae double")
+    lengths = spark.createDataFrame([("A", 6), ("B", 5)], "chain string, length int")  # C has none
+    keyed = lambda df: df.withColumn("m", F.col(df.columns[0]) == "?")
+    one = sorted(interface.ipsae(pairs, lengths).collect())
+    by = [interface.ipsae(keyed(pairs), keyed(lengths), ["m"], dealt=d).drop("m") for d in (False,)]
+    by.append(interface.ipsae(keyed(pairs).repartition(3, "m"), keyed(lengths), ["m"], dealt=True).drop("m"))
+    assert len(one) == 2 and all(sorted(x.collect()) == one for x in by)
