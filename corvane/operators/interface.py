@@ -32,12 +32,14 @@ def interface_scores(residues: DataFrame, keys: list[str], chain: str, radius: f
     """
     columns = [chain, residue, plddt, *coords]
     a, b = side(residues, "from", keys, columns), side(residues, "to", keys, columns)
-    near = radius_join(a, b, keys, radius, coords).where(F.col(f"{chain}_from") < F.col(f"{chain}_to"))
-    pair = [*keys, f"{chain}_from", f"{chain}_to"]
-    n = near.groupBy(*pair).agg(F.count("*").alias("n_pairs"))
-    sides = [near.select(*pair, F.lit(s).alias("side"), F.col(f"{residue}_{s}").alias("r"), F.col(f"{plddt}_{s}").cast("double").alias("p")) for s in ("from", "to")]
-    mean = sides[0].union(sides[1]).distinct().groupBy(*pair).agg(F.avg("p").alias("mean_plddt"))
-    return n.join(mean, pair).withColumn("pdockq", pdockq(F.col("mean_plddt"), F.col("n_pairs")))
+    first, second = F.col(f"{chain}_from"), F.col(f"{chain}_to")
+    near = radius_join(a, b, keys, radius, coords).where(first != second)
+    # one pass over the pairs in both directions: a row for each residue and other chain tells who is in contact, and how often
+    each = near.groupBy(*keys, first, second, F.col(f"{residue}_from"), F.col(f"{plddt}_from").cast("double").alias("p__")).agg(F.count("*").alias("n__"))
+    pair = [*keys, F.least(first, second).alias("low__"), F.greatest(first, second).alias("high__")]
+    got = each.groupBy(*pair).agg(F.sum(F.when(first < second, F.col("n__"))).alias("n_pairs"), F.avg("p__").alias("mean_plddt"))
+    got = got.withColumnsRenamed({"low__": f"{chain}_from", "high__": f"{chain}_to"})
+    return got.withColumn("pdockq", pdockq(F.col("mean_plddt"), F.col("n_pairs")))
 
 
 def interface_pdockq2(pairs: DataFrame, keys: list[str], pae: Column, plddt: Column, scale: float = 10.0, rounded: bool = False) -> DataFrame:

@@ -31,3 +31,20 @@ def test_ipsae_without_keys_is_that_of_one_model(spark):
     by = [interface.ipsae(keyed(pairs), keyed(lengths), ["m"], dealt=d).drop("m") for d in (False,)]
     by.append(interface.ipsae(keyed(pairs).repartition(3, "m"), keyed(lengths), ["m"], dealt=True).drop("m"))
     assert len(one) == 2 and all(sorted(x.collect()) == one for x in by)
+
+
+def test_interface_scores_meet_each_pair_in_one_join(spark):
+    rows = [(1, "AB"[i % 2], i, None if i == 4 else float(i), i / 10, 0.01 * (i % 3), 0.0) for i in range(12)] + [(2, "A", 0, 1.0, 0.0, 0.0, 0.0), (2, "C", 1, 3.0, 0.1, 0.0, 0.0), (3, "A", 0, 1.0, 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "m int, chain string, residue int, b double, x double, y double, z double")
+    got = interface.interface_scores(points, ["m"], "chain", 0.25)
+    want = {}
+    for p in rows:
+        for q in rows:
+            if p[0] == q[0] and p[1] < q[1] and sum((p[k] - q[k]) ** 2 for k in (4, 5, 6)) ** 0.5 <= 0.25:
+                n, seen = want.setdefault((p[0], p[1], q[1]), [[0], set()])
+                n[0] += 1
+                seen.update({(0, p[2], p[3]), (1, q[2], q[3])})
+    mean = lambda seen: sum(x[2] for x in seen if x[2] is not None) / sum(x[2] is not None for x in seen)
+    found = {(r.m, r.chain_from, r.chain_to): (r.n_pairs, round(r.mean_plddt, 9)) for r in got.collect()}
+    assert found == {k: (n[0], round(mean(seen), 9)) for k, (n, seen) in want.items()}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
