@@ -35,10 +35,11 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return rows.join(F.broadcast(before(rows, n__=F.count("*"))), PART).withColumn(out, F.col("n__") + F.col(AT)).drop(PART, AT, "n__")
 
 
-def by_key(df: DataFrame, *keys: str, most: int = 4 << 20) -> DataFrame:
+def by_key(df: DataFrame, *keys: str, most: int = 4 << 20, like: DataFrame | None = None) -> DataFrame:
     """``df`` dealt by keys into as many parts as shuffles have, or more, so that the planner expects at most ``most`` bytes in each.
 
     For rows that become many more, or larger ones, in the tasks that they are dealt to: parts merged by their own size are too large then.
+    ``like`` is a table of that size, for rows of a join, whose size the planner doesn't know.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str((df if like is None else like)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // most)), *keys)

@@ -447,9 +447,11 @@ def structural_slice(spark, sf_dir):
     """Contacts and potentials to position sums, aligned positions, energy ratios and replica statistics."""
     part = table(spark, sf_dir, "part")
     potentials = part.where("p_size <= 25").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") / 10.0).alias("potential"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("l_suppkey"), "l_linenumber", "l_partkey").join(part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("l_suppkey"), "l_linenumber", "l_partkey")
+    rows = lines.join(part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
     rows = rows.withColumn("pos", (F.col("l_linenumber") + F.col("l_partkey")) % 13 + 1).where(F.col("pos") <= 8 + F.col("l_orderkey") % 6)
     rows = energies.with_potential(rows, potentials, ("l_partkey",))
+    rows = ranges.by_key(rows.select("l_orderkey", "l_suppkey", "pos", "potential"), "l_orderkey", like=lines)  # a line is narrow, its 26 sums aren't
     t = aggregates.position_pivot(rows, ["l_orderkey", "l_suppkey"], "pos", F.col("potential"), 13, "e", "c")
     t = t.select("l_orderkey", (8 + F.col("l_orderkey") % 6).alias("size"), *[F.round(f"e{i}", 4).alias(f"e{i}") for i in range(1, 14)], *[f"c{i}" for i in range(1, 14)])
     e, c = (arrays.aligned_cells([f"{name}{i}" for i in range(1, 14)], "size") for name in "ec")

@@ -48,3 +48,9 @@ def test_interface_scores_meet_each_pair_in_one_join(spark):
     found = {(r.m, r.chain_from, r.chain_to): (r.n_pairs, round(r.mean_plddt, 9)) for r in got.collect()}
     assert found == {k: (n[0], round(mean(seen), 9)) for k, (n, seen) in want.items()}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_sums_of_positions_are_made_where_lines_were_dealt(spark, sf_dir):
+    plan = queries.structural_slice(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    own = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "l_orderkey" in x.split("),")[0].split("hashpartitioning")[1]]
+    assert len(own) == 1 and "l_suppkey" not in own[0].split("hashpartitioning")[1]
