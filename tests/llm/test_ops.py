@@ -576,6 +576,22 @@ def test_line_dedup_of_the_whole_table(spark, sf_dir):
     assert got == Counter(d for d, _ in gone) and len(got) > 20
 
 
+def test_line_dedup_query_links_lines_of_twenty_words(spark, tmp_path):
+    """The query holds lines of some twenty words and more against each other, and loses less than a tenth of the links to the SimHash."""
+    texts = []
+    for i, n in enumerate([19, 20, 22, 25, 28, 32, 40, 60, 80, 120] * 3):
+        base = letter_words(i, n)
+        texts += [" ".join(x) for x in [base, *[edited(base, e, 7 * i + e) for e in (1, n // 20, n // 20 + 1)]]]
+    docs, links = list(enumerate("\n".join(texts[i : i + 3]) for i in range(0, len(texts), 3))), []
+    table(spark, [t for _, t in docs]).write.parquet(str(tmp_path / "documents.parquet"))
+    gone = brute_lines(docs, lines.PERCENT, lines.APART)
+    got = {r.doc_id: r.n_removed for r in lines.op6(spark, str(tmp_path)).collect() if r.n_removed}
+    assert got == Counter(d for d, _ in gone)
+    assert len(gone) > len(brute_lines(docs)) + 10
+    whole_lines(docs, line_words, takes_part, lines.PERCENT, links=links)
+    assert sum(x <= lines.APART for x in links) >= 0.9 * len(links)
+
+
 @pytest.mark.parametrize("percent", [80, 90, 95])
 def test_line_dedup_of_a_large_group(spark, percent):
     """Variants of one line, most of them near its plain form and few near each other, and variants of its variants."""
