@@ -31,6 +31,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column without nulls as Python strings, made by Arrow all at once."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def cut_units(column: pa.Array, alone: bool = False) -> tuple[np.ndarray, pa.Array]:
     """The units of all texts, and each text's end among them. An empty text has no units."""
     offsets, data = buffers(column)

@@ -220,6 +220,13 @@ def varied(seed, n):
     return out
 
 
+def test_units_become_strings():
+    """All at once, and the same as one by one, from the middle of a column too."""
+    texts = ["", " a", "É\n", "\x00", "😀 é", "日本"]
+    for column in (pa.array(texts, pa.large_string()), pa.array(texts, pa.large_string()).slice(2, 3), pa.array([], pa.large_string())):
+        assert units.strings(column) == column.to_pylist()
+
+
 def test_minima_are_those_of_all_shingles():
     plan = fingerprints.Plan(k=3, bins=16, bits=8)
     texts = [*made_texts(), *[t for t in ODD if t], "A b C", "a B c", "a b", ""]
