@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, documents, sized_join, written
+from .common import as_text, documents, lean, sized_join, written
 from .components import components
 from .words import Words, chunks
 
@@ -173,7 +173,7 @@ def _linked(pairs: DataFrame, segments: DataFrame, num: int, den: int) -> DataFr
     """The pairs (a, b) that reach the fraction: partial overlaps by fragment, summed by pair."""
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("x"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("y"))
-    each = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "x", "y", "fragment").mapInArrow(_overlaps, "a long, b long, fragment int, overlap long")
+    each = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "x", "y", "fragment").mapInArrow(lean(_overlaps), "a long, b long, fragment int, overlap long")
     each = each.groupBy("a", "b", "fragment").agg(F.max("overlap").alias("overlap"))  # a repeated row has its segments twice
     total = each.groupBy("a", "b").agg(F.sum("overlap").alias("inter")).join(pairs, ["a", "b"])
     return total.where(den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b")
@@ -189,7 +189,7 @@ def _possible(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFra
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array([den * m >= num * (p + q - m) for m, p, q in zip(most, na, nb, strict=True)], pa.bool_()))
 
     both = pairs.join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
-    return both.mapInArrow(bound, "a long, b long, na long, nb long").distinct()
+    return both.mapInArrow(lean(bound), "a long, b long, na long, nb long").distinct()
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", fragments: int = FRAGMENTS) -> DataFrame:
@@ -208,7 +208,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     """doc_id, text_key, n, least_id (the smallest id) and best (the smallest id and text key) of every row's group; the last two are null without words."""
     spark = docs.sparkSession
     rows = as_text(docs, text_col, id_col).toDF("doc_id", "text").select("doc_id", F.md5("text").alias("text_key"), "text")
-    found = written(rows.mapInArrow(_sets(k), "doc_id long, text_key string, n long, fp binary, gram long"), "sets")
+    found = written(rows.mapInArrow(lean(_sets(k)), "doc_id long, text_key string, n long, fp binary, gram long"), "sets")
     sets = found.where("gram is null")
     often = found.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "gram").limit(FREQUENT_KEPT).collect()
     grams, counts = np.array([r.gram for r in often], dtype=np.int64).view(np.uint64), np.array([r.c for r in often], dtype=np.int64)
@@ -219,7 +219,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
                                                    F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("best"), F.first("n").alias("n"))
     nodes = written(firsts.select(F.monotonically_increasing_id().alias("node"), "fp", F.col("rep.text_key").alias("text_key"), F.col("rep.doc_id").alias("rep_id"), "least_id", "best", "n"), "nodes")
 
-    prefix = rows.select("doc_id", "text").mapInArrow(_prefixes(k, num, den, frequent), "doc_id long, fp binary, sizes binary, cells array<long>, prefix array<long>")
+    prefix = rows.select("doc_id", "text").mapInArrow(lean(_prefixes(k, num, den, frequent)), "doc_id long, fp binary, sizes binary, cells array<long>, prefix array<long>")
     own = nodes.select(F.col("fp").alias("node_fp"), "rep_id", "node", "n")
     prefix = prefix.join(own, (F.col("fp") == F.col("node_fp")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("node", "n", "sizes", "cells", "prefix")
     prefix = written(prefix, "prefixes")
@@ -245,7 +245,7 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
         active = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
         active = written(active.select("node", F.col("text_key").alias("own_key"), "rep_id"), "active")
         texts = sized_join(rows, active, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id")), "inner").select("node", "text")
-        segments = written(texts.mapInArrow(_segments(k, fragments), "node long, fragment int, grams binary"), "segments")
+        segments = written(texts.mapInArrow(lean(_segments(k, fragments)), "node long, fragment int, grams binary"), "segments")
         return written(_linked(pairs, segments, num, den), "links")
 
     found = links(stars)

@@ -786,5 +786,30 @@ def _run_plain(spark, p, docs, sf_dir):
     return docs
 
 
+def test_python_workers_keep_nothing_of_a_task():
+    """What a task has left in cycles is gone when it ends, though the collector didn't run."""
+    import gc
+    import weakref
+
+    from corvane.llm.common import lean
+
+    class Node:
+        pass
+
+    left = []
+
+    def run(batches):
+        node = Node()
+        node.own = node
+        left.append(weakref.ref(node))
+        yield from batches
+
+    gc.disable()
+    try:
+        assert list(lean(run)(iter([1, 2]))) == [1, 2] and left[0]() is None
+    finally:
+        gc.enable()
+
+
 def test_shingles_of_short_texts():
     assert shingles("A b", 3) == {("a", "b")} and shingles(None, 3) == set()
