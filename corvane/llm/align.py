@@ -21,19 +21,22 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, as_text, documents, held, keep, kind, scratch, sized_join, written
-from .tokens_out import Encoder
-from .units import buffers, cut_units
+from .common import BROADCAST_BYTES, as_text, documents, held, keep, kind, lean, scratch, sized_join, written
+from .tokens_out import Encoder, spread
+from .units import buffers, cut_units, strings
 from .vocab import tokenizer_path
 
 #: Bytes of text of a block, more only if one text has more.
 BLOCK_BYTES = 4 << 20
+#: Units that are learnt at a time.
+LEARNT = 20_000
 #: Pairs of ids that are broadcast at most.
 MOST_PAIRS = 1_000_000
 
@@ -65,17 +68,34 @@ class Sides:
         #: whether texts may be cut into units: both tokenizers have to allow it
         self.by_unit = self.a.by_word and not any("▁" in p.lstrip("▁") for p in pieces)
         self.sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (self.bytes_a, self.bytes_b)]
+        self.bytes = [np.frombuffer(b"".join(side), dtype=np.uint8) for side in (self.bytes_a, self.bytes_b)]
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.limit = limit
 
     def learn(self, words: list[str]) -> None:
         self.a.learn(words)
-        for w, ids in zip(words, self.b.encode([w[1:] for w in words], num_threads=1), strict=True):
-            raw, blob = w.encode(), self.a.known[w]
-            same = b"".join([self.bytes_b[i] for i in ids]) == raw and b"".join([self.bytes_a[i] for i in memoryview(blob).cast("i")]) == raw
-            self.known[w] = (blob, np.array(ids, dtype="<i4").tobytes()) if same else None
+        for first in range(0, len(words), LEARNT):
+            part = words[first : first + LEARNT]
+            a, b = [self.a.known[w] for w in part], self.b.encode([w[1:] for w in part], num_threads=1)
+            sizes = [np.fromiter(map(len, x), np.int64, len(part)) // n for x, n in ((a, 4), (b, 1))]
+            ids = [np.frombuffer(b"".join(a), dtype="<i4"), np.fromiter(chain.from_iterable(b), dtype="<i4", count=int(sizes[1].sum()))]
+            raw = [w.encode() for w in part]
+            same = self._spelt(0, ids[0], sizes[0], raw) & self._spelt(1, ids[1], sizes[1], raw)
+            blob, ends = ids[1].tobytes(), np.cumsum(4 * sizes[1])
+            for w, x, start, end, ok in zip(part, a, (ends - 4 * sizes[1]).tolist(), ends.tolist(), same.tolist(), strict=True):
+                self.known[w] = (x, blob[start:end]) if ok else None
         self.a.known.clear()
 
+    def _spelt(self, side: int, ids: np.ndarray, sizes: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """Whether each word's tokens, of which ``sizes`` says how many there are, have just the word's bytes."""
+        long = np.fromiter(map(len, raw), np.int64, len(raw))
+        after, made = spread(self.bytes[side], self.sizes[side], ids)
+        ends = np.concatenate([[0], after])[np.concatenate([[0], np.cumsum(sizes)])]
+        same = np.diff(ends) == long
+        differ = made[np.repeat(same, np.diff(ends))] != np.frombuffer(b"".join(raw), np.uint8)[np.repeat(same, long)]
+        same[np.repeat(np.flatnonzero(same), long[same])[differ]] = False
+        return same
+
     def block(self, texts: pa.Array) -> tuple[list, list[np.ndarray], np.ndarray, np.ndarray]:
         """The distinct units' lists (ids and ends of either side), and each text's ends among them and unit indexes."""
         if self.by_unit:
@@ -83,13 +103,13 @@ class Sides:
         else:
             units, ends = texts, np.arange(1, len(texts) + 1)
         coded = units.dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = strings(coded.dictionary)
         if len(self.known) > self.limit:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         if new:
             self.learn(new)
-        return [self.known[w] for w in words], ends, coded.indices.to_numpy(zero_copy_only=False)
+        return list(map(self.known.__getitem__, words)), ends, coded.indices.to_numpy(zero_copy_only=False)
 
 
 def sides(path_a: str, path_b: str) -> Sides:
@@ -122,7 +142,7 @@ def token_blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_co
 
     rows = as_text(docs, text_col, id_col).toDF("own_id", "text").select("own_id", F.when(F.col("text") == "", "").otherwise(F.concat(F.lit(" "), "text")).alias("text"))
     units = "array<struct<a: array<int>, ea: array<int>, b: array<int>, eb: array<int>>>"
-    return rows.mapInArrow(run, f"units {units}, docs array<struct<own_id: {kind(rows, 'own_id')}, n_a: long, n_b: long, seq: array<int>>>")
+    return rows.mapInArrow(lean(run), f"units {units}, docs array<struct<own_id: {kind(rows, 'own_id')}, n_a: long, n_b: long, seq: array<int>>>")
 
 
 def _block(both: Sides, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -158,20 +178,25 @@ def _pair(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32) + b
 
 
+def _texts(ids: Column) -> Column:
+    return ids.cast("array<string>")
+
+
 def _ids(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
+    return F.array_join(_texts(ids), ",")
 
 
 def _few_links(unit: Column, common: Column) -> Column:
     """A token of A meets the token of B over its last byte, whose index is how many ends of B come before; so do those of B that end alone."""
     before = lambda ends, e: F.size(F.filter(ends, lambda y: y < e))
-    alone = F.filter(F.sequence(F.lit(0), F.size(unit["eb"]) - 1), lambda j: ~F.array_contains(common, unit["eb"][j]))
-    return F.concat(F.transform(unit["a"], lambda x, i: _pair(x, unit["b"][before(unit["eb"], unit["ea"][i])])), F.transform(alone, lambda j: _pair(unit["a"][before(unit["ea"], unit["eb"][j])], unit["b"][j])))
+    place = lambda e: F.array_position(unit["eb"], e).cast("int") - 1
+    over = F.zip_with(unit["a"], unit["ea"], lambda x, e: _pair(x, unit["b"][before(unit["eb"], e)]))
+    return F.concat(over, F.transform(F.array_except(unit["eb"], common), lambda e: _pair(unit["a"][before(unit["ea"], e)], unit["b"][place(e)])))
 
 
 def _few_groups(unit: Column, common: Column) -> Column:
     """Each side's ids with ``;`` after those that close a group; then the sides' groups side by side."""
-    side = lambda ids, ends: F.split(F.array_join(F.transform(ids, lambda x, i: F.concat(x.cast("string"), F.when(F.array_contains(common, ends[i]), ";").otherwise(","))), ""), ";")
+    side = lambda ids, ends: F.split(F.array_join(F.zip_with(_texts(ids), ends, lambda x, e: F.concat(x, F.when(F.array_contains(common, e), ";").otherwise(","))), ""), ";")
     both = F.zip_with(side(unit["a"], unit["ea"]), side(unit["b"], unit["eb"]), lambda x, y: F.concat(x, F.lit("|"), y))
     return F.array_join(F.slice(both, 1, F.size(common)), ";")
 
@@ -203,18 +228,20 @@ def aligned(unit: Column) -> Column:
     """text (groups as ``a1,a2|b1;...``), links (longs, one for each two tokens that overlap) and groups (their count) of a unit."""
     n_a, n_b = F.size(unit["a"]), F.size(unit["b"])
     one = F.concat(_ids(unit["a"]), F.lit("|"), _ids(unit["b"]))
+    row = lambda got, n: F.struct(got.alias("got"), n.alias("groups"))
+    found = lambda text, links: F.struct(text.alias("text"), links.alias("links"))
 
     def parts(common: Column) -> Column:
         n = F.size(common)
-        found = lambda text, links: F.struct(text.alias("text"), links.alias("links"))
-        none = found(F.lit(""), F.array().cast("array<long>"))
-        each = found(F.array_join(F.zip_with(unit["a"], unit["b"], lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";"), F.zip_with(unit["a"], unit["b"], _pair))
-        whole = found(one, F.when(n_a == 1, F.transform(unit["b"], lambda y: _pair(unit["a"][0], y))).otherwise(F.transform(unit["a"], lambda x: _pair(x, unit["b"][0]))))
         few = found(F.when(n == 1, one).otherwise(_few_groups(unit, common)), _few_links(unit, common))
-        got = F.when(n_a == 0, none).when((n == n_a) & (n == n_b), each).when((n_a == 1) | (n_b == 1), whole).when((n_a <= FEW) & (n_b <= FEW), few).otherwise(_merged(unit))
-        return F.struct(got.alias("got"), n.alias("groups"))
-
-    return bound(F.array_intersect(unit["ea"], unit["eb"]), parts)
+        return row(F.when((n_a <= FEW) & (n_b <= FEW), few).otherwise(_merged(unit)), n)
+
+    none = found(F.lit(""), F.array().cast("array<long>"))
+    each = found(F.array_join(F.zip_with(_texts(unit["a"]), _texts(unit["b"]), lambda x, y: F.concat(x, F.lit("|"), y)), ";"), F.zip_with(unit["a"], unit["b"], _pair))
+    whole = found(one, F.when(n_a == 1, F.transform(unit["b"], lambda y: _pair(unit["a"][0], y))).otherwise(F.transform(unit["a"], lambda x: _pair(x, unit["b"][0]))))
+    # units whose ends are the same on both sides, most of them, and those of one token on a side need no search for common ends
+    same = F.when(n_a == 0, row(none, F.lit(0))).when(unit["ea"] == unit["eb"], row(each, n_a)).when((n_a == 1) | (n_b == 1), row(whole, F.lit(1)))
+    return same.otherwise(bound(F.array_intersect(unit["ea"], unit["eb"]), parts))
 
 
 def alignments(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -227,6 +227,19 @@ def test_units_become_strings():
         assert units.strings(column) == column.to_pylist()
 
 
+def test_units_spelt_by_their_tokens():
+    """Learnt in one go, only units whose tokens lack or change bytes have none, wherever they stand."""
+    both = align.Sides(vocab.tokenizer_path("byte_bpe_50k.json"), vocab.tokenizer_path("piece_bpe_32k.model"))
+    words = [" plain", " \uff46ull", " words", " \u2460", " caf\u00e9"]
+    both.learn(words)
+    for w in words:
+        a, b = both.a.lib.encode(w, add_special_tokens=False).ids, both.b.encode(w[1:])
+        same = b"".join(both.bytes_a[i] for i in a) == b"".join(both.bytes_b[i] for i in b) == w.encode()
+        assert both.known[w] == ((np.array(a, "<i4").tobytes(), np.array(b, "<i4").tobytes()) if same else None)
+    ok = both._spelt(1, np.array(both.b.encode("ab ab"), "<i4"), np.array([len(both.b.encode("ab ab"))]), [b" ab ac"])
+    assert not ok.any()  # as many bytes, but not the same
+
+
 def test_minima_are_those_of_all_shingles():
     plan = fingerprints.Plan(k=3, bins=16, bits=8)
     texts = [*made_texts(), *[t for t in ODD if t], "A b C", "a B c", "a b", ""]
