@@ -34,6 +34,8 @@ import pyarrow.compute as pc
 STATE = -1
 #: Entries that the table of arcs holds at most; a full one is begun anew.
 MOST_ARCS = 1_000_000
+#: New pieces of a batch are split and encoded so many at a time, so that little is held beside the tables.
+RUN = 20_000
 
 
 class MergeAutomaton:
@@ -253,6 +255,13 @@ class WordBpe:
         for w, ids in zip(new, self.automaton.encode_all(map(self.symbols, new)), strict=True):
             self.known[w] = array("I", ids).tobytes()
 
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Split and encode pieces that aren't known yet."""
+        found = [self.split.findall((p if p.isascii() else unicodedata.normalize("NFC", p)).lower()) for p in new]
+        self._learn(w for words in found for w in words)
+        known = self.known
+        self.pieces.update({p: b"".join([known[w] for w in words]) for p, words in zip(new, found, strict=True)})
+
     def encode(self, text: str) -> bytes:
         """The ids of a text as unsigned 32-bit integers in this machine's order, which is little-endian."""
         out: list[bytes] = []
@@ -281,10 +290,8 @@ class WordBpe:
         coded = cut.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [p for p in distinct if p not in self.pieces]
-        found = [self.split.findall((p if p.isascii() else unicodedata.normalize("NFC", p)).lower()) for p in new]
-        self._learn(w for words in found for w in words)
-        known = self.known
-        self.pieces.update({p: b"".join([known[w] for w in words]) for p, words in zip(new, found, strict=True)})
+        for k in range(0, len(new), RUN):
+            self._learn_pieces(new[k : k + RUN])
         # a text that is encoded alone has one empty piece, which its own entry takes the place of
         index, bounds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), cut.offsets.to_numpy()
         for k, i in enumerate(sorted(alone)):

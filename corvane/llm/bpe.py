@@ -12,6 +12,9 @@ from .automaton import WordBpe
 from .common import as_text, documents, kind, map_rows, texts_of
 from .vocab import tokenizer_path
 
+#: Texts that are encoded together. Fewer take less memory beside the tables of words, more share the look-up of equal words.
+ROWS = 250
+
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``ids`` (array of int) of every whole text; null and empty texts have no ids. Each row is encoded on its
@@ -27,7 +30,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
         return step
 
-    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, ids array<int>")
+    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, ids array<int>", rows=ROWS)
 
 
 def decode_documents(rows: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -65,7 +68,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id",
 
         return step
 
-    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(as_text(docs, text_col, id_col), make, f"`{id_col}` {kind(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string", rows=ROWS)
 
 
 def op7(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

@@ -813,3 +813,34 @@ def test_python_workers_keep_nothing_of_a_task():
 
 def test_shingles_of_short_texts():
     assert shingles("A b", 3) == {("a", "b")} and shingles(None, 3) == set()
+
+
+def test_rows_are_handed_on_few_at_a_time(spark):
+    """BPE holds a few texts at once, of however many rows a batch is, and gives the same rows."""
+    import pyarrow as pa
+
+    from corvane.llm.common import map_rows
+
+    def make():
+        def step(batch):
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.num_rows] * batch.num_rows, pa.int64())], ["id", "n"])
+
+        return step
+
+    got = map_rows(spark.range(100).coalesce(1), make, "id long, n long", rows=30).collect()
+    assert sorted(r.id for r in got) == list(range(100)) and sorted({r.n for r in got}) == [10, 30]
+
+
+def test_bpe_learns_in_runs(monkeypatch):
+    """New pieces of a batch are encoded a run at a time, with the ids that all at once give."""
+    from corvane.llm import automaton
+
+    texts = [prose(i, 40) for i in range(30)] + ["Ünïcode \u0301 A.b-C", ""]
+    whole = automaton.WordBpe(vocab.tokenizer_path("word_bpe_49k.json"))
+    want = whole.encode_batch(texts)
+    monkeypatch.setattr(automaton, "RUN", 7)
+    runs = automaton.WordBpe(vocab.tokenizer_path("word_bpe_49k.json"))
+    sizes, learn = [], runs._learn_pieces
+    monkeypatch.setattr(runs, "_learn_pieces", lambda new: (sizes.append(len(new)), learn(new)))
+    got = runs.encode_batch(texts)
+    assert all((a == b).all() for a, b in zip(want, got, strict=True)) and max(sizes) == 7 and len(sizes) > 5
