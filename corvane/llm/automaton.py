@@ -206,10 +206,10 @@ class WordBpe:
 
     Normalising (NFC, lower case) and splitting follow the file; texts outside the Latin ranges, where Python's tables
     might differ from the library's, are normalised and split by the library. Distinct words are encoded once, while
-    at most ``limit`` are kept.
+    at most ``limit`` are kept. When half as many are new, those not met since the last such time go, so that frequent words stay.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 100_000):
         import regex
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -223,6 +223,7 @@ class WordBpe:
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.plain = regex.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ]*")
         self.limit, self.known, self.pieces = limit, {}, {}
+        self.old_known, self.old_pieces = {}, {}
         # The fixed, reversible map of bytes to printable characters: bytes that print stand for themselves.
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         rest = [b for b in range(256) if b not in set(own)]
@@ -251,10 +252,25 @@ class WordBpe:
 
     def _learn(self, words: Iterable[str]) -> None:
         """Encode the words that aren't known yet, in sorted order."""
-        new = sorted({w for w in words if w not in self.known})
+        met = {w for w in words if w not in self.known}
+        self._meet(met, self.known, self.old_known)
+        new = sorted(w for w in met if w not in self.known)
         for w, ids in zip(new, self.automaton.encode_all(map(self.symbols, new)), strict=True):
             self.known[w] = array("I", ids).tobytes()
 
+    @staticmethod
+    def _meet(met: Iterable[str], young: dict[str, bytes], old: dict[str, bytes]) -> None:
+        """Keep those of the older entries that are met again."""
+        if old:
+            young.update((w, old[w]) for w in met if w in old)
+
+    def _age(self) -> None:
+        """Begin new tables where they are full; what was in the older ones only goes."""
+        if 2 * len(self.known) > self.limit:
+            self.old_known, self.known = self.known, {}
+        if 2 * len(self.pieces) > self.limit:
+            self.old_pieces, self.pieces = self.pieces, {}
+
     def _learn_pieces(self, new: list[str]) -> None:
         """Split and encode pieces that aren't known yet."""
         found = [self.split.findall((p if p.isascii() else unicodedata.normalize("NFC", p)).lower()) for p in new]
@@ -282,13 +298,12 @@ class WordBpe:
         class, and those with an added token, are encoded one by one.
         """
         alone = {i for i, t in enumerate(texts) if not self.plain.fullmatch(t) or (self.cut and "<|" in t and self.cut.search(t))}
-        if max(len(self.known), len(self.pieces)) > self.limit:
-            self.known.clear()
-            self.pieces.clear()
+        self._age()
         blobs = [self.encode(texts[i]) for i in sorted(alone)]
         cut = pc.split_pattern(pa.array(["" if i in alone else t for i, t in enumerate(texts)], pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
+        self._meet([p for p in distinct if p not in self.pieces], self.pieces, self.old_pieces)
         new = [p for p in distinct if p not in self.pieces]
         for k in range(0, len(new), RUN):
             self._learn_pieces(new[k : k + RUN])

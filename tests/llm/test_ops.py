@@ -844,3 +844,24 @@ def test_bpe_learns_in_runs(monkeypatch):
     monkeypatch.setattr(runs, "_learn_pieces", lambda new: (sizes.append(len(new)), learn(new)))
     got = runs.encode_batch(texts)
     assert all((a == b).all() for a, b in zip(want, got, strict=True)) and max(sizes) == 7 and len(sizes) > 5
+
+
+def test_bpe_keeps_frequent_words():
+    """Tables of words stay small however many words come; those met all the time are not encoded again, and ids are the same."""
+    from corvane.llm import automaton
+
+    path = vocab.tokenizer_path("word_bpe_49k.json")
+    whole, small = automaton.WordBpe(path), automaton.WordBpe(path, limit=40)
+    coded, encode_all = [], small.automaton.encode_all
+
+    def recorded(words):
+        words = list(words)
+        coded.extend("".join(w) for w in words)
+        return encode_all(words)
+
+    small.automaton.encode_all = recorded
+    for i in range(20):
+        texts = ["always here " + " ".join(f"w{i}x{j}" for j in range(15))]
+        assert all((a == b).all() for a, b in zip(whole.encode_batch(texts), small.encode_batch(texts), strict=True))
+        assert len(small.pieces) + len(small.old_pieces) <= 80 and len(small.known) + len(small.old_known) <= 140
+    assert [w.startswith("always") for w in coded].count(True) == 1
