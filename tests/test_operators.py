@@ -86,6 +86,42 @@ def test_radius_join_equals_nested_loop(spark, seed, radius):
     assert pairs == sorted((a, b) for a in range(60) for b in range(60) if a % 2 == b % 2 and dist(a, b) <= radius)
 
 
+@pytest.mark.parametrize("block", [1, 5, 512])
+def test_radius_join_by_block_equals_nested_loop(spark, monkeypatch, block):
+    monkeypatch.setattr(spatial, "BLOCK", block)
+    r = np.random.default_rng(block)
+    odd = [(-1e-20, 0, 0), (1.0, 0, 0), (1e30, 0, 0), (1e30, 0, 0), (-1e30, 0, 0), (math.nan, 0, 0), (math.inf, 0, 0), (math.inf, 0, 0), (None, 0, 0)]
+    p = [*np.round(r.normal(0, 1, (60, 3)), 1).tolist(), *[(0.5, 0.5, 0.5)] * 9, *odd]
+    df = spark.createDataFrame([(i, i % 2 if i < 60 else 1, "ab"[i % 3 == 0] if i % 7 else None, *[x if x is None else float(x) for x in q]) for i, q in enumerate(p)], "i int, g int, chain string, x double, y double, z double")
+    a, b = (spatial.side(df, s, ["g"], ["i", "chain", "x", "y", "z"]) for s in ("from", "to"))
+    got = spatial.radius_join_by_block(a, b, ["g"], 1.0, (["chain_from", "i_from"], ["chain_to", "i_to"]))
+    assert sorted(got.columns) == sorted(spatial.radius_join(a, b, ["g"], 1.0).columns)
+    key = lambda t: (t.i_from, t.i_to)
+    rows = df.collect()
+    dist = lambda a, b: math.sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))  # noqa: E731  sum() rounds otherwise
+    want = [(a.i, b.i, a.chain, b.chain, dist(a, b)) for a in rows for b in rows if a.g == b.g and None not in (a.x, b.x) and dist(a, b) <= 1.0]
+    assert [(t.i_from, t.i_to, t.chain_from, t.chain_to, t.dist) for t in sorted(got.collect(), key=key)] == want
+
+
+def test_contacts_are_written_in_runs(spark, tmp_path):
+    """All pairs are the result, so what a row takes in the files is what the job writes; distances take eight bytes in any order."""
+    import pyarrow.parquet as pq
+
+    from corvane import queries
+
+    r = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in q], int(c)) for i, (q, c) in enumerate(zip(r.uniform(0, 0.15, (1500, 5)), r.integers(0, 10, 1500), strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    queries.radius_contacts(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    parts = [pq.ParquetFile(f).metadata for f in (tmp_path / "out").glob("*.parquet")]
+    n = sum(m.num_rows for m in parts)
+    taken = sum(m.row_group(g).column(c).total_compressed_size for m in parts for g in range(m.num_row_groups) for c in range(4))
+    p = np.array([q for _, q, _ in rows], "float32").astype("float64")[:, :3]
+    c = np.array([c for _, _, c in rows])
+    assert n == sum(int(((np.sqrt(((p[i] - p) ** 2).sum(1)) <= 0.1) & (c[i] < c)).sum()) for i in range(len(p)))
+    assert taken < 1.2 * n, taken / n
+
+
 def test_radius_is_inclusive_unless_strict(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 0.0), (2, 3.0, 4.0, 0.0)], "i int, x double, y double, z double").withColumn("g", F.lit(1))
     a, b = spatial.side(df.where("i = 1"), "from", ["g"], ["i", "x", "y", "z"]), spatial.side(df.where("i = 2"), "to", ["g"], ["i", "x", "y", "z"])
